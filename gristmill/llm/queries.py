@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from gristmill.llm import pii
+from gristmill.llm import bytebpe, packing, pii, tokenbin
 
 
 def queries():
-    return {"op7_pii": pii.op7_pii}
+    return {
+        "op4_token_files": tokenbin.op4_token_files,
+        "op5_byte_bpe": bytebpe.op5_byte_bpe,
+        "op7_pii": pii.op7_pii,
+        "op9_packing": packing.op9_packing,
+    }
 
 
 def oracle_sql():
