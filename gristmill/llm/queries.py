@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gristmill.llm import bytebpe, packing, pii, tokenbin
+from gristmill.llm import ann, bytebpe, langid, packing, pii, tokenbin
 
 
 def queries():
     return {
+        "op3_language_id": langid.op3_language_id,
         "op4_token_files": tokenbin.op4_token_files,
         "op5_byte_bpe": bytebpe.op5_byte_bpe,
         "op7_pii": pii.op7_pii,
+        "op8_nearest": ann.op8_nearest,
         "op9_packing": packing.op9_packing,
     }
 
