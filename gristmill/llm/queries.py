@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gristmill.llm import ann, bytebpe, langid, packing, pii, tokenbin
+from gristmill.llm import ann, bytebpe, jaccard, langid, packing, pii, tokenbin
 
 
 def queries():
     return {
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_language_id": langid.op3_language_id,
         "op4_token_files": tokenbin.op4_token_files,
         "op5_byte_bpe": bytebpe.op5_byte_bpe,
