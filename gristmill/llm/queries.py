@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gristmill.llm import ann, bytebpe, jaccard, langid, packing, pii, tokenbin
+from gristmill.llm import ann, bytebpe, jaccard, langid, lmscore, packing, pii, shards, tokenbin
 
 
 def queries():
     return {
+        "op1_lm_score": lmscore.op1_lm_score,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_language_id": langid.op3_language_id,
         "op4_token_files": tokenbin.op4_token_files,
         "op5_byte_bpe": bytebpe.op5_byte_bpe,
+        "op6_shards": shards.op6_shards,
         "op7_pii": pii.op7_pii,
         "op8_nearest": ann.op8_nearest,
         "op9_packing": packing.op9_packing,
@@ -18,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_shards": shards.OP6_SQL}
