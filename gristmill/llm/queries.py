@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import ann, bytebpe, jaccard, langid, lmscore, packing, pii, shards, tokenbin
+from gristmill.llm import ann, bytebpe, jaccard, langid, lmscore, media, packing, pii, shards, tokenbin
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_pii": pii.op7_pii,
         "op8_nearest": ann.op8_nearest,
         "op9_packing": packing.op9_packing,
+        "op10_media_copies": media.op10_media_copies,
     }
 
 
