@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from gristmill.plans import bench_plans, conversation_plans, geometry_plans, sampling_plans, score_plans, text_plans
+
+GROUPS = (score_plans, text_plans, geometry_plans, sampling_plans, conversation_plans, bench_plans)
+
 
 def queries():
-    return {}
+    return {name: q for g in GROUPS for name, q in g.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for g in GROUPS for name, sql in g.ORACLE.items()}
