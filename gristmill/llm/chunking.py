@@ -18,9 +18,11 @@ _SPACES = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x
 OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
 
 #: Chunks that a worker keeps, and the longest one worth keeping; a full cache starts anew.
-MOST_CHUNKS, LONGEST_KEPT = 300_000, 48
+MOST_CHUNKS, LONGEST_KEPT = 1_000_000, 48
 #: Characters of text whose chunks are looked up together.
 GROUP_CHARS = 1 << 20
+#: Chunks that are encoded as one text.
+JOINED = 512
 
 
 class ChunkEncoder:
@@ -60,6 +62,57 @@ class ChunkEncoder:
             yield from self._group(group)
 
 
+class _Joined:
+    """Encodes chunks many at a time, as one text, and cuts the ids at the chunks' ends by the bytes that ids stand for.
+
+    If the ends of all chunks of a text don't fall on ends of ids (a normaliser changed lengths), it is halved, down
+    to single chunks. Chunks that may not stand in any text (see ``alone``) are encoded by themselves.
+    """
+
+    def __init__(self, tokenizer, byte_level: bool):
+        import numpy as np
+
+        self.np, self.t, self.byte_level = np, tokenizer, byte_level
+        self.sep = "" if byte_level else " "
+        self.size = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        special = tokenizer.get_added_tokens_decoder()
+        for token, i in tokenizer.get_vocab().items():
+            plain = token if byte_level or i in special else token.removesuffix("</w>")
+            self.size[i] = len(plain.encode()) if i in special else len(plain)
+
+    def alone(self, chunk: str) -> bool:
+        """Byte-level: a chunk that doesn't begin with white space would join the one before it; nor may it end with any."""
+        return self.byte_level and (chunk[0] not in " \t\n\r" or chunk[-1] in " \t\n\r" or bool(OTHER_SPACE.search(chunk)))
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        found = self.t.encode_batch_fast(chunks, add_special_tokens=False)
+        return [self.np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _run(self, chunks: list[str]) -> list[bytes]:
+        if len(chunks) <= 4:
+            return self._each(chunks)
+        np = self.np
+        ids = np.array(self.t.encode_batch_fast([self.sep.join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        have = np.cumsum(self.size[ids])
+        ends = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        at = np.searchsorted(have, ends)
+        if not len(have) or have[-1] != ends[-1] or not (have[at] == ends).all():
+            half = len(chunks) // 2
+            return self._run(chunks[:half]) + self._run(chunks[half:])
+        raw, cut = ids.tobytes(), ((at + 1) * 4).tolist()
+        return [raw[x:y] for x, y in zip([0, *cut], cut, strict=False)]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        out: dict[int, bytes] = {}
+        single = [i for i, c in enumerate(chunks) if self.alone(c)] if self.byte_level else []
+        out.update(zip(single, self._each([chunks[i] for i in single]), strict=True))
+        rest = [i for i in range(len(chunks)) if i not in out] if out else list(range(len(chunks)))
+        for lo in range(0, len(rest), JOINED):
+            part = rest[lo : lo + JOINED]
+            out.update(zip(part, self._run([chunks[i] for i in part]), strict=True))
+        return [out[i] for i in range(len(chunks))]
+
+
 _LOADED: dict[tuple, ChunkEncoder] = {}
 
 
@@ -68,13 +121,8 @@ def tokenizer_encoder(path: str, byte_level: bool) -> ChunkEncoder:
     key = (path, byte_level)
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
-
+        encode = _Joined(Tokenizer.from_file(path), byte_level)
         _LOADED[key] = ChunkEncoder(encode, BYTE_CHUNK, OTHER_SPACE) if byte_level else ChunkEncoder(encode, WORD_CHUNK)
     return _LOADED[key]
