@@ -216,3 +216,29 @@ def test_answer_text(spark):
     assert one(spark, a=T.with_article(F.lit("apple")), b=T.plural(F.lit("bus"))) == ("an apple", "buses")
     assert one(spark, a=T.broad_category(F.lit("entity - whole (x)")), b=T.detailed_category(F.lit("entity - whole (x)"))) == ("entity", "entity - whole")
     assert one(spark, v=T.canonicalize(F.lit(" a, b.  c!"))) == "a b c"
+
+
+def test_web_calls_and_boxes(spark):
+    from gristmill.functions import web as B
+
+    df = spark.createDataFrame([('click(uid="a", x=1)',), ("os.system(1)",), ("oops(",), (None,)], "t string")
+    got = [r[0] for r in df.select(B.parse_call("t")).collect()]
+    assert got == ['{"name": "click", "arguments": {"uid": "a", "x": 1}}', None, None, None]
+    text = F.lit("(uid = a.b) one [[bbox]] x=1 y=2 width=3 height=4\n(uid = axb) two")
+    assert one(spark, v=B.candidate_box(text, F.lit("a.b"))) == [1, 2, 4, 6]
+    assert one(spark, v=B.candidate_box(text, F.lit("axb"))) is None
+    assert one(spark, v=B.candidate_box(F.lit(None).cast("string"), F.lit("q"))) is None
+    assert one(spark, w=B.viewport(F.lit(" 720.5h x 1280w "))[0], h=B.viewport(F.lit("x"))[1]) == (1280, None)
+
+
+def test_token_arrays(spark):
+    from gristmill.functions import sequences as Q
+
+    ids = F.array(*(F.lit(i) for i in (5, 6, 7)))
+    assert one(spark, v=Q.until(ids, 6)) == [5, 6] and one(spark, v=Q.until(ids, 9)) == [5, 6, 7]
+    assert one(spark, v=Q.padded(ids, 5, 0)) == [5, 6, 7, 0, 0]
+    assert one(spark, v=Q.middle_frames(F.lit(4), F.lit(2))) == [0, 1, 1, 1]
+    assert one(spark, v=Q.largest_number(F.array(F.lit("image_2.jpg"), F.lit("image_10.jpg"), F.lit("x.jpg")))) == 10
+    assert len(one(spark, v=Q.masked_places(F.lit(5), F.lit(0.0), 1))) == 1
+    ends = one(spark, v=Q.with_end(ids, 9, F.lit(True), 3))
+    assert ends[:4] == [5, 6, 7, 9] and set(ends[4:]) <= {9} and len(ends) <= 8
