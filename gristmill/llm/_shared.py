@@ -64,5 +64,13 @@ def store_of(uri: str):
     return (fs.LocalFileSystem(), unquote(u.path)) if u.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
 
 
+def pieces(batches, most_bytes: int = 4 << 20):
+    """Arrow batches cut so that few megabytes are turned into Python objects, or sent back, at once."""
+    for b in batches:
+        step = max(1, b.num_rows * most_bytes // max(1, b.nbytes))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

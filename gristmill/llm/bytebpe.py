@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm._shared import table
+from gristmill.llm._shared import pieces, table
 from gristmill.llm.chunking import BYTE_CHUNK, OTHER_SPACE, ChunkEncoder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         _, chunks = loaded(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             ids = list(chunks.texts(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -171,7 +171,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 
     def run(batches):
         bpe, _ = loaded(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             raw = [bpe.decode(i or b"") for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "bytes"])
 
@@ -185,7 +185,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches):
         bpe, chunks = loaded(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             n, of_ids, of_bytes = [], [], []
             for ids in chunks.texts(b.column(1).to_pylist()):
                 n.append(len(ids) // 4)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
-from gristmill.llm._shared import table, written
+from gristmill.llm._shared import pieces, table, written
 from gristmill.llm.graphs import components
 
 #: log2 of the sketch's width (it has two rows of 32-bit counts), and buckets of it that travel together.
@@ -40,40 +40,44 @@ FREQUENT, FREQUENT_LOAD = 256, 4
 NODE_BITS = 23
 
 
-def _chunks(counts: np.ndarray, part: int) -> pa.RecordBatch:
-    full = [i for i in range(len(counts) // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
-    data = [counts[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in full]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([part % 32] * len(full), pa.int32()), pa.array(data, pa.binary())], ["chunk", "part", "counts"]
-    )
-
-
-def bucket_counts(rows: DataFrame, places, width: int) -> np.ndarray:
+def bucket_counts(rows: DataFrame, places, width: int, dtype: str = "<u4") -> np.ndarray:
     """How many values fall into each of width buckets; places(batch) yields arrays of bucket numbers.
 
-    Partitions count for themselves; their counts, of fixed size, are summed in two rounds.
+    Partitions count for themselves; their counts, of fixed size, are summed in two rounds. Counts beyond what
+    dtype holds stay at its most.
     """
 
     def count(batches):
         from pyspark import TaskContext
 
-        counts = np.zeros(width, np.int64)
-        for b in batches:
+        counts, part = np.zeros(width, np.int32), TaskContext.get().partitionId() % 32
+        for b in pieces(batches):
             for at in places(b):
-                counts += np.bincount(at, minlength=width)
-        yield _chunks(counts, TaskContext.get().partitionId())
+                np.add.at(counts, at, 1)
+        for lo in range(0, width // CHUNK, 16):
+            full = [i for i in range(lo, min(lo + 16, width // CHUNK)) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
+            if full:
+                data = [counts[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([part] * len(full), pa.int32()), pa.array(data, pa.binary())], ["chunk", "part", "counts"])
+
+    def total(t: pa.Table) -> np.ndarray:
+        out = np.zeros(CHUNK, np.int64)
+        for x in t.column("counts"):
+            out += np.frombuffer(x.as_buffer(), "<i8")
+        return out
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for x in t.column("counts"):
-            total += np.frombuffer(x.as_buffer(), "<i8")
-        return pa.table({"chunk": t.column("chunk")[:1], "part": t.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return t.slice(0, 1).set_column(2, "counts", pa.array([total(t).tobytes()], pa.binary()))
+
+    def finish(t: pa.Table) -> pa.Table:
+        small = np.minimum(total(t), np.iinfo(dtype).max).astype(dtype)
+        return t.slice(0, 1).set_column(2, "counts", pa.array([small.tobytes()], pa.binary()))
 
     schema = "chunk int, part int, counts binary"
-    summed = rows.mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
-    out = np.zeros(width, np.int64)
+    summed = rows.mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(finish, schema)
+    out = np.zeros(width, dtype)
     for r in summed.collect():  # width numbers, whatever the input
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype)
     return out
 
 
@@ -89,7 +93,7 @@ def word_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         for words, _, _ in hashing.words_of(batch.column(0).to_pylist()):
             yield from _rows_of(words, bits)
 
-    return np.minimum(bucket_counts(docs, places, 2 << bits), (1 << 32) - 1).astype(np.uint32)
+    return bucket_counts(docs, places, 2 << bits)
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -150,12 +154,12 @@ def index(docs: DataFrame, k: int, num: int, den: int, bits: int = SKETCH_BITS)
 
     spark = docs.sparkSession
     sketch = word_sketch(docs.select("text"), bits)
-    frequent = FREQUENT + FREQUENT_LOAD * float(sketch.sum()) / len(sketch)
+    frequent = FREQUENT + FREQUENT_LOAD * float(sketch.sum(dtype=np.float64)) / len(sketch)
     shared = spark.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches):
         counts = shared.value
-        for b in batches:
+        for b in pieces(batches):
             ns, keys, found = [], [], []
             for words, tokens, at in _sets(b.column(1).to_pylist(), k):
                 ns.append(len(tokens))
@@ -192,11 +196,11 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     """The pairs (a, b) of document ids whose sets are similar enough."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(np.packbits(bucket_counts(nodes, _node_places, 1 << NODE_BITS) > 0))  # of fixed size
+    wanted = spark.sparkContext.broadcast(np.packbits(bucket_counts(nodes, _node_places, 1 << NODE_BITS, "<u1") > 0))  # of fixed size
 
     def sets(batches):
-        bitmap = np.unpackbits(wanted.value).astype(bool)
-        for b in batches:
+        bitmap = np.unpackbits(wanted.value).view(bool)
+        for b in pieces(batches):
             b = b.filter(b.column(0).is_valid())
             if b.num_rows:
                 b = b.filter(pa.array(bitmap[next(_node_places(b))]))
@@ -204,7 +208,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "tokens"])
 
     def similar(batches):
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
@@ -284,3 +288,15 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 0.9 or more on three-word shingles."""
     return similarity_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+#: The query's rows by comparing all pairs that share a shingle; for small tables.
+OP2_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+  x AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS t FROM s),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+  e AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+  ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT doc_id, b FROM reach JOIN ends ON r = a),
+  c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+  SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c USING (doc_id)"""

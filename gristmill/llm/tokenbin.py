@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import fresh_path, hadoop, table
+from gristmill.llm._shared import fresh_path, hadoop, pieces, table
 from gristmill.llm.chunking import tokenizer_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -96,7 +96,7 @@ def write(
         encoder = tokenizer_encoder(path, False)
         end = np.array([end_id], "<u4").tobytes()
         part = None
-        for b in batches:
+        for b in pieces(batches):
             if part is None:
                 part = _Part(root, f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", dtype)
             ids = [i + end for i in encoder.texts(b.column(1).to_pylist())]
