@@ -195,3 +195,41 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_digest(F.col("spans"), KINDS[:4]), 256).alias("base_sha256"),
         _digest(F.col("spans"), KINDS).alias("spans"),
     )
+
+
+#: The kinds' patterns without look-behind and possessive loops, for an engine that needs neither.
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+}
+_SQL_GOOD = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR try_cast(p AS HUGEINT) > 255)) = 0",
+    "card": """length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INT
+      WHEN d[length(d) - i]::INT > 4 THEN d[length(d) - i]::INT * 2 - 9 ELSE d[length(d) - i]::INT * 2 END)) % 10 = 0""",
+    "phone": "length(d) BETWEEN 9 AND 15",
+    "iban": """list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
+      lambda a, b: (a * (CASE WHEN b > 9 THEN 100 ELSE 10 END) + b) % 97) = 1""",
+}
+
+
+def oracle_sql() -> str:
+    """The query's rows in SQL: matches and what lies between them, whose lengths add up to positions."""
+    parts = []
+    for rank, kind in enumerate(KINDS):
+        text = "translate(t, '_', '-')" if kind == "iban" else "t"  # so that a word's border is that of letters and digits
+        found = f"SELECT doc_id, regexp_extract_all({text}, '{_SQL_PATTERNS[kind]}') AS ms, string_split_regex({text}, '{_SQL_PATTERNS[kind]}') AS gaps FROM docs"
+        each = f"SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM ({found}) WHERE len(ms) > 0"
+        placed = f"""SELECT doc_id, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d,
+          list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM ({each})"""
+        parts.append(f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, start::BIGINT AS start, (start + length(m))::BIGINT AS stop FROM ({placed}) WHERE {_SQL_GOOD[kind]}")
+    spans = " UNION ALL ".join(parts)
+    counts = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS[:4])
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({spans}),
+      per_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS[:4])},
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS every FROM spans GROUP BY doc_id)
+      SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM docs LEFT JOIN per_doc USING (doc_id)"""

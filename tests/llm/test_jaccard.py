@@ -143,3 +143,12 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(df).collect()}
     assert got == {x: top(x) for e in edges for x in e if e[0] != e[1] or x in got}
     assert components(df.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert got(jaccard.op2_jaccard_join(spark, sf)) == sorted(con.execute(jaccard.OP2_SQL).fetchall())

@@ -72,3 +72,20 @@ def test_query_matches_brute_force_on_documents(spark):
 
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [t for t in ODD if t is None or len(t) < 5000] + ["x_GB82WEST12345698765432 1.2.3.0004 5.6.7.999999999999999999999999999999999999999999"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for sf in (str(tmp_path), "/root/testdata/sf0.001"):
+        con = duckdb.connect()
+        path = f"{sf}/documents.parquet/*.parquet" if sf == str(tmp_path) else f"{sf}/documents.parquet"
+        con.execute(f"create view documents as select * from read_parquet('{path}')")
+        got = sorted(map(tuple, pii.op7_pii(spark, sf).collect()))
+        rel = con.execute(pii.oracle_sql())
+        assert [c[0] for c in rel.description] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+        assert got == sorted(rel.fetchall())
