@@ -12,7 +12,9 @@ kept apart by size class (powers of two); a set whose partners may be in the nex
 
 Entries are not expanded into pairs. In each, all nodes are first verified against its least and its greatest
 node; nodes found linked become one component, and only nodes of an entry that are still in different components
-are paired. Pairs are verified on the exact sets. Sizes too far apart are never paired.
+are paired. Every set also has the parities of its shingles in 512 buckets: two sets differ in at least as many
+shingles as parities, so a pair with too many different ones, or of sizes too far apart, is never made. Pairs that
+are left are verified on the exact sets.
 
 Defined results for odd input: a null or empty text, or one of white space alone, has the empty set and no link;
 copies and repeated rows get one component; rows that share an id are one document; a row without id has no
@@ -36,6 +38,8 @@ from gristmill.llm.graphs import components
 SKETCH_BITS, CHUNK = 21, 8192
 #: A shingle is frequent if its rarest word has at least this count plus this many times the mean of the sketch.
 FREQUENT, FREQUENT_LOAD = 256, 4
+#: 64-bit words of parities.
+PARITY_WORDS = 8
 #: log2 of the width of the table of nodes under verification.
 NODE_BITS = 23
 
@@ -140,6 +144,23 @@ def entries(tokens: np.ndarray, counts: np.ndarray, frequent: float, num: int, d
     return np.concatenate(out)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether each of the buckets has an odd number of the shingles, as 64-bit words."""
+    counts = np.bincount((tokens >> np.uint64(11)) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS)
+    return np.packbits((counts & 1).astype(bool)).view("<i8")
+
+
+def words_of_parity(marks: list[np.ndarray]) -> pa.Array:
+    offsets = np.arange(len(marks) + 1, dtype=np.int32) * PARITY_WORDS
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
+
+
+def may_link(p, m, q, n, num: int, den: int):
+    """Whether sets of m and n shingles with parities p and q can be similar enough."""
+    apart = sum(F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(PARITY_WORDS))
+    return (F.least(m, n) * den >= F.greatest(m, n) * num) & (apart * (den + num) <= (m + n) * (den - num))
+
+
 def _sets(texts: list[str | None], k: int):
     """For each text: sorted distinct shingles, and for each of these the place of its first shingle's words."""
     for words, bounds, n in hashing.words_of(texts):
@@ -149,7 +170,7 @@ def _sets(texts: list[str | None], k: int):
 
 
 def index(docs: DataFrame, k: int, num: int, den: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """docs (doc_id long, text): doc_id, n, key (of the set; null if empty), entries."""
+    """docs (doc_id long, text): doc_id, n, key (of the set; null if empty), parity, entries."""
     import xxhash
 
     spark = docs.sparkSession
@@ -160,9 +181,10 @@ def index(docs: DataFrame, k: int, num: int, den: int, bits: int = SKETCH_BITS)
     def run(batches):
         counts = shared.value
         for b in pieces(batches):
-            ns, keys, found = [], [], []
+            ns, keys, marks, found = [], [], [], []
             for words, tokens, at in _sets(b.column(1).to_pylist(), k):
                 ns.append(len(tokens))
+                marks.append(parities(tokens))
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 if len(tokens):
                     one, two = _rows_of(words, bits)
@@ -181,10 +203,11 @@ def index(docs: DataFrame, k: int, num: int, den: int, bits: int = SKETCH_BITS)
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n", "key", "entries"]
+                [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), words_of_parity(marks), lists],
+                ["doc_id", "n", "key", "parity", "entries"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, entries array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, parity array<long>, entries array<long>")
 
 
 def _node_places(batch):
@@ -231,43 +254,34 @@ def similarity_classes(
     """doc_id, n_shingles, component_id: the least id that links of similarity num/den or more lead to."""
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = written(index(base, k, num, den), "entries")
-    nodes = (
-        rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("entries").alias("entries"))
-    )
-    listed = nodes.select("node", "n", F.explode("entries").alias("entry"))
-    ends = (
-        listed.groupBy("entry")
-        .agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"))
-        .filter(F.col("lo.node") < F.col("hi.node"))
-    )
+    by_set = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key")
+    nodes = written(by_set.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes")
+    listed = by_set.agg(F.min("doc_id").alias("node"), F.first("entries").alias("entries")).select("node", F.explode("entries").alias("entry"))
+    ends = listed.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     shared = written(listed.join(ends, "entry"), "shared")
 
-    def close(m, n):
-        return (F.least(m, n) * den >= F.greatest(m, n) * num)
-
-    star = lambda end: shared.filter(close(F.col("n"), F.col(end)["n"]) & (F.col("node") != F.col(end)["node"])).select(
-        F.least("node", F.col(end)["node"]).alias("a"), F.greatest("node", F.col(end)["node"]).alias("b")
-    )
-    stars = written(star("lo").union(star("hi")).distinct(), "pairs")
+    # A node may stand for several sets, of which any may link.
+    star = lambda end: shared.filter(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
+    side = lambda name, n, p: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("parity").alias(p))
+    stars = star("lo").union(star("hi")).distinct().join(side("a", "m", "p"), "a")
+    other = side("b2", "n", "q")
+    stars = stars.join(other, (F.col("b") == F.col("b2")) & may_link(F.col("p"), F.col("m"), F.col("q"), F.col("n"), num, den))
+    stars = written(stars.select("a", "b").distinct(), "pairs")
     by_row = rows.select("doc_id", "key").join(nodes.select("key", "node"), "key")
     same = by_row.join(by_row.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").filter("node <> least")
     links = verify(stars, base, k, num, den).union(same.select(F.col("least").alias("a"), F.col("node").alias("b")))
     links = written(links, "links")
     found = components(links)
 
-    classed = shared.select("entry", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = shared.select("entry", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_entries = classed.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("entry")
-    classed = written(classed.join(open_entries, "entry", "left_semi"), "open")
-    other = classed.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component")))
-    rest = (
-        classed.join(other, "entry")
-        .filter((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & close(F.col("n"), F.col("n2")))
-        .select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    classed = classed.join(open_entries, "entry", "left_semi").join(nodes.select("node", "n", "parity"), "node")
+    classed = written(classed.select("entry", "node", "component", "n", "parity"), "open")
+    other = classed.select(*(F.col(c).alias(f"{c}2") for c in classed.columns))
+    apart = (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
+    close = may_link(F.col("parity"), F.col("n"), F.col("parity2"), F.col("n2"), num, den)
+    rest = classed.join(other, (F.col("entry") == F.col("entry2")) & apart & close)
+    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(verify(rest, base, k, num, den))
