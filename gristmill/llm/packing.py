@@ -201,10 +201,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces from cut() with sequence_id and offset. The pieces are written once, so that ranks stay what they are."""
-    pieces = written(pieces, "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    cuts = written(cuts, "pieces")
+    counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
     base = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     place = slots(plan(totals, capacity))  # bounded by the capacity, not by the rows
@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(base, ["length", "part"]).select(
+    ranked = cuts.join(base, ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("local") + F.col("base")).alias("rank")
     )
     return ranked.mapInArrow(
