@@ -5,9 +5,9 @@ orientation from the intensity around it, and 128 binary tests rotated by it. De
 32-bit keys, one for each Hamming table, so two that differ in up to three bits share a key for certain. In a
 table entry every image is matched with the least and the greatest image; matches of two images vote for a
 rotation, scale and shift, and images with enough agreeing keypoints, a share of the smaller image's, are copies.
-Images that linked become one class; entries that are still in several classes, and hold at most ``list_limit``
-images, are then compared pair by pair across classes. Longer ones are patterns that stand everywhere; images that
-share nothing else with any class are not compared by them.
+Images that linked become one class; entries that are still in several classes are then compared pair by pair
+across classes, however long they are: those of more than ``BLOCK`` points are dealt into blocks, and every two blocks
+of an entry meet in a task of their own.
 
 An image is a two-dimensional array of bytes, in a column as a binary portable graymap (P5). Defined results for
 odd input: null, empty or undecodable images have no keypoints and are copies of nothing; images with equal pixels
@@ -33,8 +33,9 @@ from gristmill.llm.jaccard import bucket_counts
 
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
 AREA_PER_POINT, LEAST_POINTS = 3072, 4
-MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT, LIST_LIMIT = 20, 4, 0.3, 16, 50
-KEY_BITS = 23
+MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT = 20, 4, 0.3, 16
+#: log2 of the width of the table of keys, and points of an entry that meet in one task.
+KEY_BITS, BLOCK = 23, 1024
 
 _rng = np.random.default_rng(11)
 _y, _x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -178,10 +179,14 @@ def _listed(nodes: DataFrame) -> DataFrame:
     return nodes.select("points", "node", "n").mapInArrow(run, f"entry long, node long, n int, point {POINT}")
 
 
+def _near(p: Column, q: Column) -> Column:
+    return F.bit_count(p["d0"].bitwiseXOR(q["d0"])) + F.bit_count(p["d1"].bitwiseXOR(q["d1"])) <= MAX_DISTANCE
+
+
 def _links(matches: DataFrame) -> DataFrame:
     """(a, b) of images with enough agreeing matches; matches: a, b, n (of the smaller), p, q (points of a and b)."""
     p, q = F.col("p"), F.col("q")
-    near = matches.filter(F.bit_count(p["d0"].bitwiseXOR(q["d0"])) + F.bit_count(p["d1"].bitwiseXOR(q["d1"])) <= MAX_DISTANCE)
+    near = matches.filter(_near(p, q))
     turn = F.pmod(q["turn"] - p["turn"], F.lit(TURNS))
     angle, scale = turn * (2 * math.pi / TURNS), F.pow(F.lit(2.0), q["octave"] - p["octave"])
     dx = q["x"] - scale * (p["x"] * F.cos(angle) - p["y"] * F.sin(angle))
@@ -202,7 +207,18 @@ def _match(listed: DataFrame, node: Column, n: Column, point: Column) -> DataFra
     )
 
 
-def copies(described: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+def _across(opened: DataFrame, block: int) -> DataFrame:
+    """Every two near points of an entry in different classes, once; opened: entry, node, n, point, class, m (points of the entry)."""
+    k = F.ceil(F.col("m") / block).cast("int")
+    dealt = opened.withColumn("own", F.pmod(F.xxhash64("node"), k).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), k - 1)))
+    dealt = dealt.select("entry", "node", "n", "point", "class", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
+    other = dealt.select("entry", "i", "j", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "point", "class", "own")))
+    once = (F.col("i") == F.col("j")) | (F.col("own") != F.col("own2"))
+    apart = (F.col("node") < F.col("node2")) & (F.col("class") != F.col("class2"))
+    return dealt.join(other, ["entry", "i", "j"]).filter(apart & once & _near(F.col("point"), F.col("point2")))
+
+
+def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
     """id, n_points, class_id: the least id of the images that copies lead to. described: of describe()."""
     described = written(described, "points")
     nodes = (
@@ -221,11 +237,9 @@ def copies(described: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
 
     classed = listed.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     several = classed.groupBy("entry").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("m"))
-    several = several.filter((F.col("c0") < F.col("c1")) & F.col("m").between(3, list_limit)).select("entry")
-    classed = written(classed.join(several, "entry").select("entry", "node", "n", "point", "class"), "open")
-    other = classed.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "point", "class")))
-    pairs = classed.join(other, "entry").filter((F.col("node") < F.col("node2")) & (F.col("class") != F.col("class2")))
-    rest = written(_links(_match(pairs, F.col("node2"), F.col("n2"), F.col("point2"))), "links")
+    several = several.filter((F.col("c0") < F.col("c1")) & (F.col("m") >= 3)).select("entry", "m")
+    opened = written(classed.join(several, "entry").select("entry", "node", "n", "point", "class", "m"), "open")
+    rest = written(_links(_match(_across(opened, block), F.col("node2"), F.col("n2"), F.col("point2"))), "links")
     if not rest.isEmpty():
         found = components(links.union(rest))
     by_digest = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))

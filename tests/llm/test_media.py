@@ -44,6 +44,25 @@ def test_many_copies_of_one_image(spark):
     assert all(got[100 + i] == 100 + i for i in range(20))
 
 
+def described(spark, images):
+    """images: {node: [(x, y, descriptor)]}; equal descriptors share all four keys, others none."""
+    word = lambda d, half: int(np.random.default_rng([d, half]).integers(-(2**63), 2**63 - 1))
+    rows = [(i, bytearray(b"%d" % i), [(x, y, 0, 0, word(d, 0), word(d, 1)) for x, y, d in points]) for i, points in images.items()]
+    return spark.createDataFrame(rows, f"id long, digest binary, points array<{media.POINT}>")
+
+
+def scattered(seed, keys):
+    return [(*map(int, np.random.default_rng([seed, d]).integers(0, 50_000, 2)), d) for d in keys]
+
+
+def test_copies_that_share_keys_of_everyone_alone(spark):
+    images = {i: scattered(i, range(6)) for i in range(80)}
+    images[41] = [(x + 3, y, d) for x, y, d in images[40]]
+    for block in (7, 1024):
+        got = {r["id"]: r["class_id"] for r in media.copies(described(spark, images), block).collect()}
+        assert got == {i: 40 if i == 41 else i for i in range(80)}
+
+
 def test_broken_and_empty_input(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"P5 9 9 255\nxx")), (None, bytearray(media.encode_graymap(scene(1))))], "n long, image binary")
     got = media.copies(media.describe(df, "n", "image")).collect()
