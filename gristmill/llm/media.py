@@ -6,7 +6,8 @@ orientation from the intensity around it, and 128 binary tests rotated by it. De
 table entry every image is matched with the least and the greatest image; matches of two images vote for a
 rotation, scale and shift, and images with enough agreeing keypoints, a share of the smaller image's, are copies.
 Images that linked become one class; entries that are still in several classes are then compared pair by pair
-across classes, however long they are: those of more than ``BLOCK`` points are dealt into blocks, and every two blocks
+across classes, with every point and however long they are. All entries that two images of different classes share are
+among them, so the matches of two images are judged together, also those that the stars saw. Entries of more than ``BLOCK`` points are dealt into blocks, and every two blocks
 of an entry meet in a task of their own.
 
 An image is a two-dimensional array of bytes, in a column as a binary portable graymap (P5). Defined results for
@@ -237,7 +238,7 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
 
     classed = listed.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     several = classed.groupBy("entry").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("m"))
-    several = several.filter((F.col("c0") < F.col("c1")) & (F.col("m") >= 3)).select("entry", "m")
+    several = several.filter(F.col("c0") < F.col("c1")).select("entry", "m")
     opened = written(classed.join(several, "entry").select("entry", "node", "n", "point", "class", "m"), "open")
     rest = written(_links(_match(_across(opened, block), F.col("node2"), F.col("n2"), F.col("point2"))), "links")
     if not rest.isEmpty():

@@ -63,6 +63,21 @@ def test_copies_that_share_keys_of_everyone_alone(spark):
         assert got == {i: 40 if i == 41 else i for i in range(80)}
 
 
+def test_evidence_of_short_and_long_entries_adds_up(spark):
+    images = {i: scattered(i, range(6)) for i in (0, 1, 2, 99)}
+    images[0], images[99] = scattered(0, (3, 4, 5)), scattered(99, (3, 4, 5))
+    images[2] = [(x + 3, y, d) for x, y, d in images[1]]
+    got = {r["id"]: r["class_id"] for r in media.copies(described(spark, images)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 99: 99}
+
+
+def test_a_pivot_has_all_its_points(spark):
+    near = [(1000 * i, 2000 * i * i, 0) for i in range(6)]
+    images = {0: near, 1: [(x + 3, y, d) for x, y, d in near], 2: [(7, 7, 0)]}
+    got = {r["id"]: r["class_id"] for r in media.copies(described(spark, images)).collect()}
+    assert got[0] == got[1] == 0
+
+
 def test_broken_and_empty_input(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"P5 9 9 255\nxx")), (None, bytearray(media.encode_graymap(scene(1))))], "n long, image binary")
     got = media.copies(media.describe(df, "n", "image")).collect()
