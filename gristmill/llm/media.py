@@ -33,7 +33,7 @@ from gristmill.llm.graphs import components
 from gristmill.llm.jaccard import bucket_counts
 
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
-AREA_PER_POINT, LEAST_POINTS = 3072, 4
+AREA_PER_POINT, LEAST_POINTS = 3072, 16
 MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT = 20, 4, 0.3, 16
 #: log2 of the width of the table of keys, and points of an entry that meet in one task.
 KEY_BITS, BLOCK = 23, 1024
@@ -251,6 +251,8 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
 TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 #: Words a line, cells a word's side, pixels a cell's side, and the area of such an image that gets a keypoint.
 WORDS_A_LINE, CELLS, CELL, PAGE_AREA = 16, 4, 1, 768
+#: Blank pixels around a page, so that words at its edges and pages of one line have keypoints.
+FRAME = MARGIN + 1
 
 
 def render_pages(pages: list[str | None]):
@@ -267,7 +269,7 @@ def render_pages(pages: list[str | None]):
             cells = np.zeros((lines * WORDS_A_LINE, CELLS * CELLS), np.uint8)
             cells[: len(own)] = ((own[:, None] >> shifts) & np.uint64(3)) * np.uint64(85)
             grid = cells.reshape(lines, WORDS_A_LINE, CELLS, CELLS).transpose(0, 2, 1, 3).reshape(lines * CELLS, WORDS_A_LINE * CELLS)
-            yield grid.repeat(CELL, axis=0).repeat(CELL, axis=1)
+            yield np.pad(grid.repeat(CELL, axis=0).repeat(CELL, axis=1), FRAME)
 
 
 def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,16 @@ def test_broken_and_empty_input(spark):
     assert media.copies(media.describe(df.limit(0), "n", "image")).count() == 0
 
 
+def test_short_pages_with_an_edited_word(spark):
+    pages = []
+    for k, n in enumerate((16, 48, 90, 150)):
+        own = [f"w{i}" for i in np.random.default_rng(k).integers(0, 3000, n)]
+        pages += [(10 * k, " ".join(own)), (10 * k + 1, " ".join([*own[: n // 2], "edited", *own[n // 2 + 1 :]]))]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {r["id"]: r["class_id"] for r in media.copies(media.describe(df, "page_id", "html", media.render_pages, media.PAGE_AREA)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in pages}
+
+
 def test_pages(spark):
     words = lambda seed, n: " ".join(np.random.default_rng(seed).choice([f"w{i}" for i in range(3000)], n))
     body = words(1, 320)
