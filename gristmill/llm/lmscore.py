@@ -5,8 +5,10 @@ word is a token. The network adds up a vector for each of the two words on eithe
 tanh, and gives a distribution over classes of words and one over the words of a class; the product is a proper
 distribution over ids. It is trained in numpy on every token of every document: partitions start a round from
 common weights, run Adagrad over their tokens, and their weights are averaged by tokens. Round r of R trains on
-the documents whose hash is r modulo R, so that the rounds together see each document once. A document's score is
-the sum of the log-probabilities of all its tokens, each given its neighbours.
+the documents whose hash is r modulo R, so that the rounds together see each document once. A token's probability is
+that of its id given its neighbours, times, where words share the id, that of the word among these: from the counts of
+all words of the corpus (Witten-Bell; what is left for unseen words is even over all hashes). The counts grow with the
+corpus and stay distributed. A document's score is the sum of the log-probabilities of all its tokens.
 
 Defined results for odd input: a null or empty text has no tokens, sum 0 and a null mean; equal texts have equal
 scores; repeated rows stay repeated and count as often in training; an empty table gives an empty table; other
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
-from gristmill.llm._shared import pieces, table
+from gristmill.llm._shared import pieces, table, written
 
 SIDE, HIDDEN, CLASSES, PER_CLASS, HASHED = 2, 16, 24, 24, 128
 VOCABULARY = CLASSES * PER_CLASS
@@ -151,8 +153,8 @@ def contexts(texts: list[str | None], known: np.ndarray):
         yield np.stack([padded[at + j] for j in (*range(-SIDE, 0), *range(1, SIDE + 1))]), ids, bounds
 
 
-def frequent_words(texts: DataFrame) -> np.ndarray:
-    """The most frequent words of all texts (the one column): hashes and ids, by hash."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (its hash), n: every word of all texts (the one column)."""
 
     def count(batches):
         for b in pieces(batches):
@@ -160,7 +162,12 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
                 word, n = np.unique(words, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counts = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(texts: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
+    """The most frequent words of all texts (the one column): hashes and ids, by hash. counts: of word_counts(), if known."""
+    counts = word_counts(texts) if counts is None else counts
     top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED).collect()]
     words = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -231,8 +238,60 @@ def score(docs: DataFrame, net: Net, known: np.ndarray, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
+def within_ids(texts: DataFrame, known: np.ndarray, counts: DataFrame) -> DataFrame:
+    """key, within: the log-probabilities, summed over a text, of its words among those that share their ids.
+
+    texts: key (equal for equal texts), text. Of the words of an id, N tokens of T kinds, one that was seen n times has
+    n / (N + T); T / (N + T) is for the unseen, over the 2^64 / HASHED hashes of an id.
+    """
+    spark = texts.sparkSession
+    words = spark.sparkContext.broadcast(known)  # of fixed size
+
+    def rare(batches):
+        for b in pieces(batches):
+            owner, word, n, at = [], [], [], 0
+            for hashes, bounds, m in hashing.words_of(b.column(1).to_pylist()):
+                shared = token_ids(hashes, words.value) >= VOCABULARY - HASHED
+                for i in range(m):
+                    own, k = np.unique(hashes[bounds[i] : bounds[i + 1]][shared[bounds[i] : bounds[i + 1]]], return_counts=True)
+                    owner.append(np.full(len(own), at + i))
+                    word.append(own.view(np.int64))
+                    n.append(k)
+                at += m
+            if owner:
+                take = pa.array(np.concatenate(owner).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(np.concatenate(word)), pa.array(np.concatenate(n).astype(np.int32))], ["key", "word", "k"])
+
+    place = F.shiftrightunsigned("word", 40) % HASHED
+    frequent = spark.createDataFrame([(w,) for w in known[0].view(np.int64).tolist()], "word long")
+    sums = counts.join(F.broadcast(frequent), "word", "left_anti").groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()
+    seen, kinds = [0] * HASHED, [0] * HASHED
+    for row in sums:  # HASHED rows at most
+        seen[row["place"]], kinds[row["place"]] = row["n"], row["t"]
+    total = F.array(*(F.lit(float(np.log(max(n + t, 1)))) for n, t in zip(seen, kinds, strict=True)))
+    unseen = F.array(*(F.lit(float(np.log(t / (n + t)) if t else 0.0) - float(np.log(2.0**64 / HASHED))) for n, t in zip(seen, kinds, strict=True)))
+    at = place.cast("int")
+    log_prob = F.when(F.col("n").isNull(), unseen[at]).otherwise(F.log("n") - total[at])
+    found = texts.select("key", "text").mapInArrow(rare, "key binary, word long, k int").join(counts, "word", "left")
+    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
+    summed = found.groupBy("key").agg(F.sum(F.col("k") * log_prob).alias("within"))
+    return summed.join(copies, "key").select("key", (F.col("within") / F.col("copies")).alias("within"))
+
+
+def score_words(docs: DataFrame, net: Net, known: np.ndarray, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score(), of words and not only of their ids. counts: of word_counts()."""
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), F.unhex(F.md5(docs[text_col])).alias("key")).alias("row"), docs[text_col].alias("text"))
+    within = within_ids(keyed.select("row.key", "text"), known, counts)
+    ids = score(keyed, net, known, "row", "text").select("row.id", "row.key", "n_tokens", "log_likelihood")
+    total = F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))
+    return ids.join(within, "key", "left").select(
+        F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob")
+    )
+
+
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = frequent_words(docs.select("text"))
-    return score(docs, train(docs, known), known)
+    counts = written(word_counts(docs.select("text")), "words")
+    known = frequent_words(docs.select("text"), counts)
+    return score_words(docs, train(docs, known), known, counts)

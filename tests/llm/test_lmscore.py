@@ -74,3 +74,26 @@ def test_odd_rows(spark):
     known = lmscore.frequent_words(empty.select("text"))
     assert lmscore.score(empty, lmscore.train(empty, known), known).count() == 0
     assert lmscore.op1_lm_score(spark, SF).columns == ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"]
+
+
+def test_words_that_share_an_id_are_told_apart(spark):
+    """Before, a word never seen scored as a word of the corpus with its id."""
+    first = " ".join(f"f{i}" for i in range(VOCABULARY - lmscore.HASHED))
+    corpus = spark.createDataFrame([(1, f"{first} {first} {first} often often rare"), (2, "more")], "doc_id long, text string")
+    counts = lmscore.word_counts(corpus.select("text"))
+    known = lmscore.frequent_words(corpus.select("text"), counts)
+    place = {w: int(ids[0]) for w in ("often", "rare", "more") for _, ids, _ in lmscore.contexts([w], known)}
+    new = next(w for w in map("new{}".format, range(100_000)) if next(lmscore.contexts([w], known))[1][0] == place["rare"])
+    tried = spark.createDataFrame([(1, "rare"), (2, new), (3, "rare"), (4, None), (5, "f1"), (None, "rare rare")], "doc_id long, text string")
+    net = Net.fresh(1)
+    plain = {r["doc_id"]: r["log_likelihood"] for r in lmscore.score(tried, net, known).collect()}
+    rows = lmscore.score_words(tried, net, known, counts).collect()
+    got = {r["doc_id"]: r["log_likelihood"] for r in rows}
+    beside = [(w, {"often": 2, "rare": 1, "more": 1}[w]) for w in place if place[w] == place["rare"]]
+    n, t = sum(k for _, k in beside), len(beside)
+    assert plain[1] == plain[2]
+    assert got[1] - plain[1] == pytest.approx(np.log(1 / (n + t)))
+    assert got[2] - plain[2] == pytest.approx(np.log(t / (n + t)) - np.log(2.0**64 / lmscore.HASHED))
+    assert got[None] - plain[None] == pytest.approx(2 * np.log(1 / (n + t)))
+    assert got[1] == got[3] and got[4] == 0 and got[5] == plain[5]
+    assert all(r["mean_log_prob"] == (r["log_likelihood"] / r["n_tokens"] if r["n_tokens"] else None) for r in rows)
