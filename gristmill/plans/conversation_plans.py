@@ -60,7 +60,7 @@ def sequence_offsets(spark, d):
 
 def mask_hash(spark, d):
     """Tokens masked with a probability of their sample, by hash."""
-    t = table(spark, d, "documents").select("doc_id", F.least(F.size(F.split("text", " ")), F.lit(64)).alias("n"))
+    t = table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n"))
     p = 0.001 + 0.999 * uniform("p", F.col("doc_id"))
     masked = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: uniform("m", F.col("doc_id"), i) < F.col("p"))
     return t.withColumn("p", p).select("doc_id", F.round("p", 9).alias("p"), F.size(masked).alias("masked"))

@@ -1,5 +1,6 @@
 """Queries over whole texts and tables, against plain Python."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -25,3 +26,11 @@ def test_f1_over_whole_texts_and_all_items(spark, tmp_path):
     best = {i: max(a, key=lambda k: (f1[k, i], -k)) for i in b}
     assert {i: x for i, (x, _) in got.items()} == best
     assert {i: y for i, (_, y) in got.items()} == pytest.approx({i: f1[best[i], i] for i in b}, abs=2e-9)
+
+
+def test_mask_of_every_token(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    drawn = lambda *k: int(hashlib.sha256("\x1f".join(map(str, k)).encode()).hexdigest()[:13], 16) / 16**13
+    p = {k: 0.001 + 0.999 * drawn("p", k) for k in texts}
+    want = {k: sum(drawn("m", k, i + 1) < p[k] for i in range(len(t.split(" ")))) for k, t in texts.items()}
+    assert {r["doc_id"]: r["masked"] for r in catalogue.queries()["mask_hash"](spark, SF).collect()} == want
