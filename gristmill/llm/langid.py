@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Bounds of what is learned from and of the model.
 MAX_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST_GRAM = 20_000, 60_000, 60_000, 4
-#: Words longer than this are cut before they are looked up, and unseen words that a worker remembers.
+#: Words longer than this are cut into pieces before they are looked up, and unseen words that a worker remembers.
 LONGEST_WORD, MOST_KEPT = 64, 300_000
 
 
@@ -46,7 +46,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w[:LONGEST_WORD] for w in WORD.findall(text.lower())] if text else []
+    return [w[i : i + LONGEST_WORD] for w in WORD.findall(text.lower()) for i in range(0, len(w), LONGEST_WORD)] if text else []
 
 
 def _counted(rows: DataFrame, max_words: int, max_grams: int) -> tuple[list, list]:

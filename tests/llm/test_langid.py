@@ -41,3 +41,7 @@ def test_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
     long = spark.createDataFrame([(1, "the " * 200_000 + "x" * 100_000)], "doc_id long, text string")
     assert langid.predict(long, model).first()["lang_pred"] == "en"
+
+
+def test_long_runs_are_cut_into_pieces():
+    assert langid.words_of("Ab " + "x" * 150) == ["ab", "x" * 64, "x" * 64, "x" * 22]
