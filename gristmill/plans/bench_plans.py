@@ -42,7 +42,7 @@ def text_link(spark, d):
     """Pages linked to the best of five detections around a box."""
     p, k = table(spark, d, "pages"), F.col("page_id")
     box = F.array(*(x.cast("double") for x in (h(k, 0) % 800, h(k, 1) % 600, h(k, 0) % 800 + 60, h(k, 1) % 600 + 20)))
-    title = F.regexp_extract("html", r"<title>([^<]{1,60})", 1)
+    title = F.regexp_extract("html", r"<title>([^<]+)", 1)
     t = p.select("page_id", title.alias("text"), box.alias("box"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
     e = t.select("page_id", "text", "box", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("index"))
     key = F.concat_ws(":", "page_id", "index")

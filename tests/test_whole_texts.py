@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from gristmill.plans import catalogue
+from gristmill.plans import bench_plans, catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,11 @@ def test_mask_of_every_token(spark):
     p = {k: 0.001 + 0.999 * drawn("p", k) for k in texts}
     want = {k: sum(drawn("m", k, i + 1) < p[k] for i in range(len(t.split(" ")))) for k, t in texts.items()}
     assert {r["doc_id"]: r["masked"] for r in catalogue.queries()["mask_hash"](spark, SF).collect()} == want
+
+
+def test_links_of_whole_titles(spark, tmp_path, monkeypatch):
+    title, seen, plain = "word " * 30 + "end", [], bench_plans.L.best_links
+    spark.createDataFrame([(1, f"<title>{title}</title>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(bench_plans.L, "best_links", lambda t, *a: (seen.append(t), plain(t, *a))[1])
+    assert bench_plans.text_link(spark, str(tmp_path)).count() == 1
+    assert [r["text"] for r in seen[0].collect()] == [title]
