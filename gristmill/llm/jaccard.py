@@ -12,7 +12,7 @@ kept apart by size class (powers of two); a set whose partners may be in the nex
 
 Entries are not expanded into pairs. In each, all nodes are first verified against its least and its greatest
 node; nodes found linked become one component, and only nodes of an entry that are still in different components
-are paired. Every set also has the parities of its shingles in 512 buckets: two sets differ in at least as many
+are paired, in blocks of ``BLOCK`` nodes. Every set also has the parities of its shingles in 512 buckets: two sets differ in at least as many
 shingles as parities, so a pair with too many different ones, or of sizes too far apart, is never made. Pairs that
 are left are verified on the exact sets.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
 from gristmill.llm._shared import pieces, table, written
-from gristmill.llm.graphs import components
+from gristmill.llm.graphs import components, pairs_within
 
 #: log2 of the sketch's width (it has two rows of 32-bit counts), and buckets of it that travel together.
 SKETCH_BITS, CHUNK = 21, 8192
@@ -40,8 +40,8 @@ SKETCH_BITS, CHUNK = 21, 8192
 FREQUENT, FREQUENT_LOAD = 256, 4
 #: 64-bit words of parities.
 PARITY_WORDS = 8
-#: log2 of the width of the table of nodes under verification.
-NODE_BITS = 23
+#: log2 of the width of the table of nodes under verification, and nodes of an open entry that meet in one task.
+NODE_BITS, BLOCK = 23, 1024
 
 
 def bucket_counts(rows: DataFrame, places, width: int, dtype: str = "<u4") -> np.ndarray:
@@ -274,13 +274,11 @@ def similarity_classes(
     found = components(links)
 
     classed = shared.select("entry", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_entries = classed.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("entry")
-    classed = classed.join(open_entries, "entry", "left_semi").join(nodes.select("node", "n", "parity"), "node")
-    classed = written(classed.select("entry", "node", "component", "n", "parity"), "open")
-    other = classed.select(*(F.col(c).alias(f"{c}2") for c in classed.columns))
-    apart = (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
+    open_entries = classed.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"))
+    classed = classed.join(open_entries.filter("c0 <> c1"), "entry").join(nodes.select("node", "n", "parity"), "node")
+    classed = written(classed.select("entry", "node", "component", "n", "parity", "m"), "open")
     close = may_link(F.col("parity"), F.col("n"), F.col("parity2"), F.col("n2"), num, den)
-    rest = classed.join(other, (F.col("entry") == F.col("entry2")) & apart & close)
+    rest = pairs_within(classed, "entry", "m", BLOCK).filter((F.col("component") != F.col("component2")) & close)
     rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
     if not rest.isEmpty():

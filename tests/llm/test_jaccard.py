@@ -63,8 +63,9 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("k,num,frequent", [(3, 90, 4), (5, 80, 1), (3, 90, 10**9)])
-def test_no_link_is_lost(spark, monkeypatch, k, num, frequent):
+@pytest.mark.parametrize("k,num,frequent,block", [(3, 90, 4, 1024), (5, 80, 1, 3), (3, 90, 10**9, 1024)])
+def test_no_link_is_lost(spark, monkeypatch, k, num, frequent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "FREQUENT_LOAD", 0)
     rows = corpus(k * 7 + num)
@@ -72,6 +73,27 @@ def test_no_link_is_lost(spark, monkeypatch, k, num, frequent):
     assert got(jaccard.similarity_classes(df, k, num, 100)) == classes(rows, k, num, 100)
 
 
+def test_long_words_have_hashes_of_their_own(monkeypatch):
+    """Thue-Morse words and their complements, which polynomials modulo a power of two can't tell apart."""
+    word, pairs = "a", []
+    while len(word) < 4096:
+        other = word.translate(str.maketrans("ab", "ba"))
+        pairs.append((word, other))
+        word += other
+    for one, two in pairs:
+        found = [next(hashing.words_of([t]))[0].tolist() for t in (one, two)]
+        assert found[0] != found[1]
+
+
+def test_words_of_texts_in_windows(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abAB \t\n\x0b\x0c\ré文") for _ in range(rng.randrange(300))) for _ in range(60)] + [None, "x" * 70, " "]
+    whole = [w[b[i] : b[i + 1]].tolist() for w, b, n in hashing.words_of(texts) for i in range(n)]
+    assert [len(w) for w in whole] == [len(WORD.findall(t or "")) for t in texts]
+    monkeypatch.setattr(hashing, "GROUP_BYTES", 16)
+    assert [w[b[i] : b[i + 1]].tolist() for w, b, n in hashing.words_of(texts) for i in range(n)] == whole
+
+
 def test_query_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
