@@ -65,8 +65,8 @@ class ChunkEncoder:
 class _Joined:
     """Encodes chunks many at a time, as one text, and cuts the ids at the chunks' ends by the bytes that ids stand for.
 
-    If the ends of all chunks of a text don't fall on ends of ids (a normaliser changed lengths), it is halved, down
-    to single chunks. Chunks that may not stand in any text (see ``alone``) are encoded by themselves.
+    Only chunks whose ids stand for just their own bytes are joined; all others are encoded by themselves (see
+    ``alone``). If the ends of all chunks of a text don't fall on ends of ids, it is halved, down to single chunks.
     """
 
     def __init__(self, tokenizer, byte_level: bool):
@@ -81,8 +81,14 @@ class _Joined:
             self.size[i] = len(plain.encode()) if i in special else len(plain)
 
     def alone(self, chunk: str) -> bool:
-        """Byte-level: a chunk that doesn't begin with white space would join the one before it; nor may it end with any."""
-        return self.byte_level and (chunk[0] not in " \t\n\r" or chunk[-1] in " \t\n\r" or bool(OTHER_SPACE.search(chunk)))
+        """Whether a chunk is encoded by itself.
+
+        Byte-level: one that doesn't begin with white space would join the one before it; nor may it end with any.
+        Words: a normaliser may change the length of what isn't printable ASCII, so that ends can't be told by sums.
+        """
+        if self.byte_level:
+            return chunk[0] not in " \t\n\r" or chunk[-1] in " \t\n\r" or bool(OTHER_SPACE.search(chunk))
+        return not (chunk.isascii() and chunk.isprintable())
 
     def _each(self, chunks: list[str]) -> list[bytes]:
         found = self.t.encode_batch_fast(chunks, add_special_tokens=False)
@@ -104,7 +110,7 @@ class _Joined:
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
         out: dict[int, bytes] = {}
-        single = [i for i, c in enumerate(chunks) if self.alone(c)] if self.byte_level else []
+        single = [i for i, c in enumerate(chunks) if self.alone(c)]
         out.update(zip(single, self._each([chunks[i] for i in single]), strict=True))
         rest = [i for i in range(len(chunks)) if i not in out] if out else list(range(len(chunks)))
         for lo in range(0, len(rest), JOINED):

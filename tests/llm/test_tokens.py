@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -79,6 +80,19 @@ def test_chunks_equal_whole_texts(name, byte_level, text):
     assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_many_chunks_at_once_equal_the_library(name, byte_level):
+    """Letters whose case or composed form has another length, wide blanks and marks, thousands of chunks a call."""
+    from gristmill.llm.chunking import tokenizer_encoder
+
+    rng = random.Random(5)
+    odd = "abcXYZ'.19 \t\n\u0130\u3000\u0301\u0300\u2126\u00c5\ufb01\u1e9e\u03a3\x85\xa0\u2028\x0b\x1c\u200b\ufeff\u0345\uac00\u1100\u1161\u0958\U0001f600\u6587"
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.9 else chr(rng.randrange(1, 0xD800)) for _ in range(rng.choice([5, 20, 120]))) for _ in range(4000)]
+    t = tokenizer(name)
+    got = list(tokenizer_encoder(public_tokenizers.path(name), byte_level).texts(texts))
+    assert got == [raw(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 _kept = {}
 
 
