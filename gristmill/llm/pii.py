@@ -1,5 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
+A kind has a base score; a word that goes with it, shortly before the span, raises it. Email, address, card, phone and
+account numbers have patterns or checksums that suffice, so their base scores pass the threshold. National numbers,
+phones without a country and secrets look like much else: they pass only with such a word before them.
+
 Only DataFrame functions run here. Defined results for odd input: a null text counts as empty and has no
 span; positions are code points; equal texts give equal spans; an empty table gives an empty table; other
 columns of the input are ignored, whatever they are called. The character U+0001 in a text is treated as
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from gristmill.llm._shared import table
 
 #: Kinds in the order that breaks ties between spans with one start.
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local", "secret")
 
 #: Group loops are possessive: Java runs these without recursion, so long runs can't overflow the stack. The
 #: look-behinds only skip starts that can't match when the start of their run doesn't, which keeps runs linear.
@@ -24,21 +28,28 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ssn": r"(?<![A-Za-z0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9])",
+    "local": r"(?<![A-Za-z0-9])[0-9]{2,5}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}",
 }
 
 #: What a text must hold for the pattern to be worth running.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None}
-
-#: Score of a confirmed span without context, and words that raise it by CONTEXT_GAIN when they stand close before.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
-CONTEXT = {
-    "email": r"(?i)\b(e-?mail|mail|contact|write)\b",
-    "ip": r"(?i)\b(ip|host|server|address|addr)\b",
-    "card": r"(?i)\b(card|credit|visa|mastercard|debit|payment)\b",
-    "phone": r"(?i)\b(phone|tel|call|mobile|fax)\b",
-    "iban": r"(?i)\b(iban|account|konto|compte|cuenta|bank)\b",
+HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "local": None, "secret": None}
+
+#: Percents: the score of a confirmed span, and what is added (up to 100) if a word of its kind stands close before it.
+BASE_SCORE = {"email": 90, "ip": 60, "card": 70, "phone": 60, "iban": 80, "ssn": 40, "local": 40, "secret": 35}
+CONTEXT_WORDS = {
+    "email": "e-?mail|mail|contact|write",
+    "ip": "ip|host|server|address|addr",
+    "card": "card|credit|visa|mastercard|debit|payment",
+    "phone": "phone|tel|call|mobile|fax",
+    "iban": "iban|account|konto|compte|cuenta|bank",
+    "ssn": "ssn|social security|national id|tax id",
+    "local": "phone|tel|call|mobile|fax|telefon|tel[eé]fono|t[eé]l[eé]phone",
+    "secret": "token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credentials?",
 }
-CONTEXT_GAIN, CONTEXT_CHARS = 0.1, 40
+CONTEXT = {k: f"(?i)(^|[^A-Za-z0-9])({words})([^A-Za-z0-9]|$)" for k, words in CONTEXT_WORDS.items()}
+CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 25, 40, 50
 
 
 def _proposed(text: Column, kind: str) -> Column:
@@ -107,21 +118,27 @@ def _confirmed(m: Column, kind: str) -> Column:
         return F.char_length(digits).between(9, 15)
     if kind == "iban":
         return mod97(m)
+    if kind == "ssn":  # numbers that are given to no one
+        return ~m.rlike("^(000|666|9)|-00-|-0000$")
+    if kind == "local":
+        return F.char_length(digits).between(9, 12)
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
-def _scored(text: Column, proposed: Column, kind: str, min_score: float) -> Column:
+def _scored(text: Column, proposed: Column, kind: str, min_score: int) -> Column:
     def score(s):
         begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
         before = F.substring(text, begin + 1, s["start"] - begin)
-        value = F.when(before.rlike(CONTEXT[kind]), BASE_SCORE[kind] + CONTEXT_GAIN).otherwise(BASE_SCORE[kind])
+        value = F.when(before.rlike(CONTEXT[kind]), min(BASE_SCORE[kind] + CONTEXT_GAIN, 100)).otherwise(BASE_SCORE[kind])
         return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["match"].alias("match"), value.alias("score"))
 
     kept = F.filter(proposed, lambda s: _confirmed(s["match"], kind))
     return F.filter(F.transform(kept, score), lambda s: s["score"] >= min_score)
 
 
-def find_spans(text: Column, kinds: tuple[str, ...] = KINDS, min_score: float = 0.5) -> dict[str, Column]:
+def find_spans(text: Column, kinds: tuple[str, ...] = KINDS, min_score: int = LEAST_SCORE) -> dict[str, Column]:
     """Per kind an array<struct<start,stop,match,score>>; text must not be null."""
     safe = F.translate(text, "\u0001", "\u0002")
     return {kind: _scored(text, _proposed(safe, kind), kind, min_score) for kind in kinds}
@@ -142,7 +159,7 @@ def _merged(found: dict[str, Column]) -> Column:
     return F.array_sort(F.concat(*(_ranked(found[k], k) for k in KINDS)))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = LEAST_SCORE) -> DataFrame:
     """id and ``spans``: array<struct<start,rank,stop,kind,match,score>> by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(id_col, *(c.alias(f"_{k}") for k, c in find_spans(text, min_score=min_score).items()))
@@ -194,6 +211,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in KINDS[:4]),
         F.sha2(_digest(F.col("spans"), KINDS[:4]), 256).alias("base_sha256"),
         _digest(F.col("spans"), KINDS).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
@@ -204,7 +223,12 @@ _SQL_PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "local": r"\b[0-9]{2,5}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}\b",
+    "secret": r"[A-Za-z0-9+/_-]{16,}={0,2}",
 }
+#: Underlines that these turn into other marks, so that a word's border is that of letters and digits.
+_SQL_TEXT = {"iban": "translate(t, '_', '-')", "ssn": "translate(t, '_', ',')", "local": "translate(t, '_', ',')"}
 _SQL_GOOD = {
     "email": "true",
     "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR try_cast(p AS HUGEINT) > 255)) = 0",
@@ -213,6 +237,9 @@ _SQL_GOOD = {
     "phone": "length(d) BETWEEN 9 AND 15",
     "iban": """list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
       lambda a, b: (a * (CASE WHEN b > 9 THEN 100 ELSE 10 END) + b) % 97) = 1""",
+    "ssn": "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')",
+    "local": "length(d) BETWEEN 9 AND 12",
+    "secret": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
 }
 
 
@@ -220,16 +247,21 @@ def oracle_sql() -> str:
     """The query's rows in SQL: matches and what lies between them, whose lengths add up to positions."""
     parts = []
     for rank, kind in enumerate(KINDS):
-        text = "translate(t, '_', '-')" if kind == "iban" else "t"  # so that a word's border is that of letters and digits
-        found = f"SELECT doc_id, regexp_extract_all({text}, '{_SQL_PATTERNS[kind]}') AS ms, string_split_regex({text}, '{_SQL_PATTERNS[kind]}') AS gaps FROM docs"
-        each = f"SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM ({found}) WHERE len(ms) > 0"
-        placed = f"""SELECT doc_id, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d,
+        text = _SQL_TEXT.get(kind, "t")
+        found = f"SELECT doc_id, t, regexp_extract_all({text}, '{_SQL_PATTERNS[kind]}') AS ms, string_split_regex({text}, '{_SQL_PATTERNS[kind]}') AS gaps FROM docs"
+        each = f"SELECT doc_id, t, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM ({found}) WHERE len(ms) > 0"
+        placed = f"""SELECT doc_id, t, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d,
           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM ({each})"""
-        parts.append(f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, start::BIGINT AS start, (start + length(m))::BIGINT AS stop FROM ({placed}) WHERE {_SQL_GOOD[kind]}")
+        before = f"substr(t, (greatest(start - {CONTEXT_CHARS}, 0) + 1)::BIGINT, least(start, {CONTEXT_CHARS})::BIGINT)"
+        score = f"CASE WHEN regexp_matches({before}, '{CONTEXT[kind]}') THEN {min(BASE_SCORE[kind] + CONTEXT_GAIN, 100)} ELSE {BASE_SCORE[kind]} END"
+        parts.append(
+            f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, start::BIGINT AS start, (start + length(m))::BIGINT AS stop, {score} AS score FROM ({placed}) WHERE {_SQL_GOOD[kind]} AND score >= {LEAST_SCORE}"
+        )
     spans = " UNION ALL ".join(parts)
     counts = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS[:4])
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({spans}),
       per_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS[:4])},
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
-        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS every FROM spans GROUP BY doc_id)
-      SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM docs LEFT JOIN per_doc USING (doc_id)"""
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS every,
+        count(*) AS n_spans, string_agg(score::VARCHAR, ',' ORDER BY start, rank) AS scores FROM spans GROUP BY doc_id)
+      SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(scores, '') AS scores FROM docs LEFT JOIN per_doc USING (doc_id)"""

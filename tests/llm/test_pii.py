@@ -22,6 +22,9 @@ ODD = [
     "7" * 30000 + " " + "a" * 30000 + " " + "1." * 9000,
     "iban DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE89 3704 0044 0532 0130 01",
     "me@x.yz " * 300,
+    "ssn 078-05-1120, 078-05-1120 ssn 000-05-1120 and 219-09-9999; the social security number 219-09-99991 219_09-9999",
+    "tel 030 123 4567 then " + "x" * 40 + " 030 123 4567, fax (017) 555-7713 or Telefon 089)-555.1234_",
+    'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" ' + "y" * 50 + " 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde API_KEY: reundindtitolaiauxx then Secret=abcdefgh12345678==",
 ]
 
 
@@ -34,7 +37,7 @@ def odd(spark):
 def test_base_spans_match_brute_force(odd):
     got = {r["doc_id"]: r for r in pii.detect(odd).collect()}
     for i, text in enumerate(ODD):
-        spans = [(s["kind"], s["start"], s["stop"]) for s in got[i]["spans"] if s["kind"] != "iban"]
+        spans = [(s["kind"], s["start"], s["stop"]) for s in got[i]["spans"] if s["kind"] in pii.KINDS[:4]]
         assert spans == base_spans(text), (i, spans[:5])
 
 
@@ -42,7 +45,17 @@ def test_account_numbers_and_context(odd):
     got = next(r for r in pii.detect(odd).collect() if r["doc_id"] == 10)
     accounts = [s for s in got["spans"] if s["kind"] == "iban"]
     assert [s["match"] for s in accounts] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
-    assert accounts[0]["score"] == pytest.approx(0.9)
+    assert [s["score"] for s in accounts] == [100, 100]
+
+
+def test_context_decides_kinds_below_the_threshold(odd):
+    got = {r["doc_id"]: r for r in pii.detect(odd).collect()}
+    assert [(s["kind"], s["start"], s["score"]) for s in got[12]["spans"]] == [("ssn", 4, 65), ("ssn", 17, 65), ("ssn", 49, 65)]
+    assert [(s["kind"], s["match"], s["score"]) for s in got[13]["spans"]] == [("local", m, 65) for m in ("030 123 4567", "017) 555-7713", "089)-555.1234")]
+    found = [("secret", m, 60) for m in ("2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "abcdefgh12345678==")]
+    assert [(s["kind"], s["match"], s["score"]) for s in got[14]["spans"]] == found
+    every = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.detect(odd, min_score=0).collect()}
+    assert [len(every[i]) for i in (12, 13, 14)] == [3, 4, 3]
 
 
 def test_redact_keeps_columns_and_replaces_every_span(spark):
@@ -87,5 +100,5 @@ def test_query_against_sql(spark, tmp_path):
         con.execute(f"create view documents as select * from read_parquet('{path}')")
         got = sorted(map(tuple, pii.op7_pii(spark, sf).collect()))
         rel = con.execute(pii.oracle_sql())
-        assert [c[0] for c in rel.description] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+        assert [c[0] for c in rel.description] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "scores"]
         assert got == sorted(rel.fetchall())
