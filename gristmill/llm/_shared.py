@@ -48,9 +48,21 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes of rows that Spark sends to a Python worker at once, on either side of the socket.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as texts are long: Spark's own bound of 64 MB is replaced, one that a user chose stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).removesuffix("b") == str(64 << 20):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives the loss of any executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,4 +85,5 @@ def pieces(batches, most_bytes: int = 4 << 20):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gristmill.llm._shared import pieces, table
+from gristmill.llm._shared import pieces, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -96,6 +96,7 @@ def _logs(counts: pa.Table, langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Learn from rows with a label and a text; of more than max_rows about max_rows are taken, by a hash of the id."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
     ).filter(F.col("lang").isNotNull())
