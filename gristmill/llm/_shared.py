@@ -65,7 +65,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     small_batches(spark)
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table of written() that nothing will read again."""
+    remove(df.sparkSession, df._folder)
 
 
 def store_of(uri: str):

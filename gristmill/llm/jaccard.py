@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
-from gristmill.llm._shared import pieces, table, written
+from gristmill.llm._shared import discard, pieces, table, written
 from gristmill.llm.graphs import components, pairs_within
 
 #: log2 of the sketch's width (it has two rows of 32-bit counts), and buckets of it that travel together.
@@ -48,8 +48,9 @@ def bucket_counts(rows: DataFrame, places, width: int, dtype: str = "<u4") -> np
     """How many values fall into each of width buckets; places(batch) yields arrays of bucket numbers.
 
     Partitions count for themselves; their counts, of fixed size, are summed in two rounds. Counts beyond what
-    dtype holds stay at its most.
+    dtype holds stay at its most, also on the way.
     """
+    most = np.iinfo(dtype).max
 
     def count(batches):
         from pyspark import TaskContext
@@ -61,24 +62,17 @@ def bucket_counts(rows: DataFrame, places, width: int, dtype: str = "<u4") -> np
         for lo in range(0, width // CHUNK, 16):
             full = [i for i in range(lo, min(lo + 16, width // CHUNK)) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
             if full:
-                data = [counts[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in full]
+                data = [np.minimum(counts[i * CHUNK : (i + 1) * CHUNK].astype(np.int64), most).astype(dtype).tobytes() for i in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([part] * len(full), pa.int32()), pa.array(data, pa.binary())], ["chunk", "part", "counts"])
 
-    def total(t: pa.Table) -> np.ndarray:
-        out = np.zeros(CHUNK, np.int64)
-        for x in t.column("counts"):
-            out += np.frombuffer(x.as_buffer(), "<i8")
-        return out
-
     def add(t: pa.Table) -> pa.Table:
-        return t.slice(0, 1).set_column(2, "counts", pa.array([total(t).tobytes()], pa.binary()))
-
-    def finish(t: pa.Table) -> pa.Table:
-        small = np.minimum(total(t), np.iinfo(dtype).max).astype(dtype)
-        return t.slice(0, 1).set_column(2, "counts", pa.array([small.tobytes()], pa.binary()))
+        total = np.zeros(CHUNK, np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype)
+        return t.slice(0, 1).set_column(2, "counts", pa.array([np.minimum(total, most).astype(dtype).tobytes()], pa.binary()))
 
     schema = "chunk int, part int, counts binary"
-    summed = rows.mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(finish, schema)
+    summed = rows.mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     out = np.zeros(width, dtype)
     for r in summed.collect():  # width numbers, whatever the input
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype)
@@ -216,7 +210,7 @@ def _node_places(batch):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose sets are similar enough."""
+    """The pairs (a, b) of document ids whose sets are similar enough, as a written table."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(np.packbits(bucket_counts(nodes, _node_places, 1 << NODE_BITS, "<u1") > 0))  # of fixed size
@@ -245,7 +239,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     own = written(own, "sets")
     joined = pairs.join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     joined = joined.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(similar, "a long, b long").distinct()
+    out = written(joined.mapInArrow(similar, "a long, b long").distinct(), "similar")
+    discard(own)
+    return out
 
 
 def similarity_classes(
@@ -281,6 +277,8 @@ def similarity_classes(
     rest = pairs_within(classed, "entry", "m", BLOCK).filter((F.col("component") != F.col("component2")) & close)
     rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
+    discard(shared)
+    discard(classed)
     if not rest.isEmpty():
         links = links.union(verify(rest, base, k, num, den))
         found = components(links)
