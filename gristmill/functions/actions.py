@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import compact, first_filled
+from gristmill.functions.text import compact, first_filled, strip
 
 # The actions, the grammar of a prediction and of an answer, and the prompts' wording.
 ACTIONS = ("lclick", "hover", "type_in")
@@ -19,25 +19,40 @@ TASK_HEAD = "Complete the following web task by predicting the next GUI action.\
 HISTORY_HEAD = "\nPrevious actions:\n"
 
 
+def parsed_prediction(text: Column) -> Column:
+    """struct action, box, value, error: of the first action in a text; an action with a bad box keeps its name.
+
+    The text is bound once, so that an expensive expression isn't repeated for every field.
+    """
+
+    def parse(t):
+        get = lambda i: F.regexp_extract(t, PREDICTION, i)
+        blank = F.length(strip(F.coalesce(t, F.lit("")))) == 0
+        found = ~blank & t.rlike(PREDICTION)
+        box = F.array(*(get(i).cast("double") for i in range(2, 6)))
+        return F.struct(
+            F.when(found, F.lower(get(1))).alias("action"), F.when(found, box).alias("box"),
+            F.when(found, strip(get(6))).otherwise("").alias("value"), blank.alias("blank"),
+        )
+
+    def judge(r):
+        box = r["box"]
+        error = (
+            F.when(r["blank"], "empty_prediction")
+            .when(r["action"].isNull(), "action_or_bbox_not_found")
+            .when(F.exists(box, lambda v: F.abs(v) == float("inf")), "non_finite_bbox")
+            .when(F.exists(box, lambda v: (v < 0) | (v > 1000)), "bbox_out_of_range")
+            .when((box[2] <= box[0]) | (box[3] <= box[1]), "degenerate_bbox")
+        )
+        return F.struct(r["action"].alias("action"), box.alias("box"), r["value"].alias("value"), error.alias("error"))
+
+    return F.get(F.transform(F.transform(F.array(text), parse), judge), F.lit(0))
+
+
 def parse_prediction(text: Column) -> dict[str, Column]:
-    """action, box, value, error: of the first action in a text; an action with a bad box keeps its name."""
-    get = lambda i: F.regexp_extract(text, PREDICTION, i)
-    blank = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
-    found = ~blank & (get(1) != "")
-    box = F.array(*(get(i).cast("double") for i in range(2, 6)))
-    error = (
-        F.when(blank, "empty_prediction")
-        .when(~found, "action_or_bbox_not_found")
-        .when(F.exists(box, lambda v: F.abs(v) == float("inf")), "non_finite_bbox")
-        .when(F.exists(box, lambda v: (v < 0) | (v > 1000)), "bbox_out_of_range")
-        .when((box[2] <= box[0]) | (box[3] <= box[1]), "degenerate_bbox")
-    )
-    return {
-        "action": F.when(found, F.lower(get(1))),
-        "box": F.when(found, box),
-        "value": F.when(found, F.trim(get(6))).otherwise(""),
-        "error": error,
-    }
+    """The fields of parsed_prediction() as columns."""
+    parsed = parsed_prediction(text)
+    return {name: parsed[name] for name in ("action", "box", "value", "error")}
 
 
 def render_action(action: Column, box: Column, value: Column | None = None) -> Column:

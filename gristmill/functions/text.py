@@ -18,6 +18,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\x00", " "), SPACES, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, rf"{SPACES[:4]}\A{SPACES[4:]}|{SPACES[4:]}\z", "")
+
+
 def redact(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, EMAIL, EMAIL_MARK), PASSWORD, PASSWORD_MARK)
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,20 +12,13 @@ from gristmill.functions.text import broad_category, detailed_category
 THRESHOLD, COUNTING_THRESHOLD, MAX_OBJECTS, POSITION_THRESHOLD = 0.3, 0.9, 16, 0.1
 
 
-def pixel_iou(a, b) -> float:
-    area = lambda x1, y1, x2, y2: max(x2 - x1 + 1, 0) * max(y2 - y1 + 1, 0)
-    both = area(max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3]))
-    union = area(*a) + area(*b) - both
-    return both / union if union else 0.0
-
-
-def suppress(boxes: list, threshold: float) -> list[int]:
-    """Places of boxes, best first, that overlap no kept better one by the threshold or more; 1 keeps all."""
-    kept: list[int] = []
-    for i, b in enumerate(boxes):
-        if threshold == 1 or all(pixel_iou(boxes[k], b) < threshold for k in kept):
-            kept.append(i)
-    return kept
+def pixel_iou(a: Column, b: Column) -> Column:
+    """Overlap of two boxes whose borders belong to them; 0 without any area."""
+    side = lambda low, high: F.greatest(high - low + 1, F.lit(0.0))
+    area = lambda c: side(c[0], c[2]) * side(c[1], c[3])
+    both = side(F.greatest(a[0], b[0]), F.least(a[2], b[2])) * side(F.greatest(a[1], b[1]), F.least(a[3], b[3]))
+    union = area(a) + area(b) - both
+    return F.when(union != 0, both / union).otherwise(0.0)
 
 
 def top_objects(detections: DataFrame, keys: list[str], score: str, counting: str | None = None, n: int = MAX_OBJECTS) -> DataFrame:
@@ -37,79 +29,86 @@ def top_objects(detections: DataFrame, keys: list[str], score: str, counting: st
 
 
 def suppressed(detections: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Greedy suppression within each key; groups hold at most MAX_OBJECTS rows (top_objects)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        return pdf.iloc[suppress([list(b) for b in pdf["box"]], threshold)]
-
-    return detections.groupBy(*keys).applyInPandas(run, detections.schema)
-
-
-def relative(a, b) -> set[str]:
-    """Where box a lies of box b."""
-    off = [(a[i] + a[i + 2]) / 2 - (b[i] + b[i + 2]) / 2 for i in (0, 1)]
-    rest = [max(abs(o) - POSITION_THRESHOLD * (abs(a[i + 2] - a[i]) + abs(b[i + 2] - b[i])), 0) * ((o > 0) - (o < 0)) for i, o in enumerate(off)]
-    if all(abs(r) < 1e-3 for r in rest):
-        return set()
-    length = (off[0] ** 2 + off[1] ** 2) ** 0.5
-    dx, dy = rest[0] / length, rest[1] / length
-    tests = {"left of": dx < -0.5, "right of": dx > 0.5, "above": dy < -0.5, "below": dy > 0.5}
-    return {name for name, holds in tests.items() if holds}
+    """Greedy suppression within each key, best rank first: a box that overlaps a kept one by the threshold or more goes.
 
-
-def judge(objects: dict[str, list[dict]], include: list[dict], exclude: list[dict]) -> tuple[bool, str]:
-    """Whether all clauses hold. objects: class -> [{box, color}], best first.
-
-    A clause with a position holds if all its objects lie so of all objects of the clause it names; if that clause
-    failed, so does this one.
+    Groups hold at most MAX_OBJECTS rows of a class (top_objects), so a fold over an array of them stays small. A
+    threshold of 1 keeps all.
+    """
+    if threshold == 1:
+        return detections
+    rest = [c for c in detections.columns if c not in keys and c != "rank"]
+    ranked = detections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("_all"))
+    apart = lambda kept, x: F.forall(kept, lambda k: pixel_iou(k["box"], x["box"]) < threshold)
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return ranked.select(*keys, F.explode(kept).alias("_x")).select(*keys, "_x.*").select(*detections.columns)
+
+
+def relative(a: Column, b: Column) -> Column:
+    """Where box a lies of box b: an array of sides, none if they are too close."""
+    middle = lambda c, i: (c[i] + c[i + 2]) / 2
+    extent = lambda c, i: F.abs(c[i + 2] - c[i])
+    off = [middle(a, i) - middle(b, i) for i in (0, 1)]
+    rest = [F.greatest(F.abs(o) - POSITION_THRESHOLD * (extent(a, i) + extent(b, i)), F.lit(0.0)) * F.signum(o) for i, o in enumerate(off)]
+    length = F.sqrt(off[0] * off[0] + off[1] * off[1])
+    dx, dy = (F.try_divide(r, length) for r in rest)
+    side = lambda name, holds: F.when(holds, F.lit(name))
+    sides = F.array_compact(F.array(side("left of", dx < -0.5), side("right of", dx > 0.5), side("above", dy < -0.5), side("below", dy > 0.5)))
+    near = (F.abs(rest[0]) < 1e-3) & (F.abs(rest[1]) < 1e-3)
+    return F.when(near, F.slice(sides, 1, 0)).otherwise(sides)
+
+
+def judged_rules(objects: str, include: str, exclude: str) -> Column:
+    """struct correct, reason: whether all clauses hold, by a fold over the clauses in order.
+
+    objects: array<struct<class,box,color>>, best first. Clauses: array<struct<class,count,color,side,of>>, where of is the
+    place (from 0) of an earlier clause. One with a side holds if all its objects lie so of all objects of the clause
+    it names; if that clause failed, so does this one. Excluded classes must have fewer than their count.
     """
-    problems: list[str] = []
-    groups: list[list[dict] | None] = []
-    for clause in include:
-        name, n = clause["class"], clause["count"]
-        found = objects.get(name, [])[:n]
-        problem = None
-        if len(found) < n:
-            problem = f"expected {name}>={n}, found {len(found)}"
-        elif clause.get("color") and sum(o.get("color") == clause["color"] for o in found) < n:
-            have = sum(o.get("color") == clause["color"] for o in found)
-            problem = f"expected {clause['color']} {name}>={n}, found {have} {clause['color']}"
-        elif clause.get("position"):
-            side, at = clause["position"]
-            if groups[at] is None:
-                problem = f"no target for {name} to be {side}"
-            elif any(side not in relative(o["box"], t["box"]) for o in found for t in groups[at]):
-                problem = f"expected {name} {side} target"
-        groups.append(None if problem else found)
-        if problem:
-            problems.append(problem)
-    for clause in exclude:
-        have = len(objects.get(clause["class"], []))
-        if have >= clause["count"]:
-            problems.append(f"expected {clause['class']}<{clause['count']}, found {have}")
-    return not problems, "\n".join(problems)
-
-
-def gate(scores: dict[int, float], parents: dict[int, list[int]]) -> dict[int, float]:
-    """Scores in the order of questions; one with a parent that stands at 0 by then becomes 0. Parent 0 is none."""
-    out = dict(scores)
-    for q, above in parents.items():
-        if any(p != 0 and out[p] == 0 for p in above):
-            out[q] = 0.0
-    return out
+    word = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("0"))
+    all_of = lambda name: F.filter(objects, lambda o: o["class"] == name)
+
+    def step(acc, c):
+        found = F.slice(all_of(c["class"]), 1, c["count"])
+        colored = F.size(F.filter(found, lambda o: o["color"] == c["color"]))
+        target = F.get(acc["groups"], c["of"])
+        beside = F.exists(found, lambda o: F.exists(target["found"], lambda t: ~F.array_contains(relative(o["box"], t["box"]), c["side"])))
+        problem = (
+            F.when(F.size(found) < c["count"], word("expected ", c["class"], ">=", number(c["count"]), ", found ", number(F.size(found))))
+            .when(c["color"].isNotNull() & (colored < c["count"]), word("expected ", c["color"], " ", c["class"], ">=", number(c["count"]), ", found ", number(colored), " ", c["color"]))
+            .when(c["side"].isNotNull() & ~F.coalesce(target["ok"], F.lit(False)), word("no target for ", c["class"], " to be ", c["side"]))
+            .when(c["side"].isNotNull() & beside, word("expected ", c["class"], " ", c["side"], " target"))
+        )
+        group = F.struct(problem.isNull().alias("ok"), found.alias("found"))
+        problems = F.when(problem.isNull(), acc["problems"]).otherwise(F.concat(acc["problems"], F.array(problem)))
+        return F.struct(F.concat(acc["groups"], F.array(group)).alias("groups"), problems.alias("problems"))
+
+    none = F.slice(F.transform(objects, lambda o: F.struct(F.lit(True).alias("ok"), F.array(o).alias("found"))), 1, 0)
+    start = F.struct(none.alias("groups"), F.array().cast("array<string>").alias("problems"))
+    wanted = F.aggregate(include, start, step, lambda acc: acc["problems"])
+    unwanted = F.array_compact(F.transform(exclude, lambda c: F.when(
+        F.size(all_of(c["class"])) >= c["count"], word("expected ", c["class"], "<", number(c["count"]), ", found ", number(F.size(all_of(c["class"]))))
+    )))
+    problems = F.concat(wanted, unwanted)
+    return F.struct((F.size(problems) == 0).alias("correct"), F.array_join(problems, "\n").alias("reason"))
 
 
 def gated(rows: DataFrame, item: str, order: str = "order") -> DataFrame:
-    """rows: item, order, question, score, parents array<int>. Adds gated; an item's questions come in one group."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    """rows: item, order, question, score, parents array<int>. Adds gated, by a fold over an item's questions in order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        found = gate(dict(zip(pdf["question"], pdf["score"], strict=True)), {q: list(p) for q, p in zip(pdf["question"], pdf["parents"], strict=True)})
-        return pdf.assign(gated=[float(found[q]) for q in pdf["question"]])
-
-    return rows.groupBy(item).applyInPandas(run, f"{kinds}, gated double")
+    The fold carries the questions that stand at 0, at first those scored 0: one with such a parent joins them. Parent 0
+    is none; one that the item doesn't have is an error.
+    """
+    rest = [c for c in rows.columns if c not in (item, order)]
+    asked = rows.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("_all"))
+    wrong = F.transform(F.filter("_all", lambda q: q["score"] == 0), lambda q: q["question"])
+    known = F.transform("_all", lambda q: q["question"])
+    other = lambda p: F.when(F.array_contains(known, p), F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("no question "), p.cast("string"))).cast("boolean"))
+    falls = lambda zero, q: F.exists(q["parents"], lambda p: F.when(p == 0, F.lit(False)).when(F.array_contains(zero, p), F.lit(True)).otherwise(other(p)))
+    zero = F.aggregate("_all", wrong, lambda acc, q: F.when(falls(acc, q), F.concat(acc, F.array(q["question"]))).otherwise(acc))
+    each = asked.select(item, zero.alias("_zero"), F.explode("_all").alias("_q"))
+    value = F.when(F.array_contains("_zero", F.col("_q.question")), 0.0).otherwise(F.col("_q.score").cast("double"))
+    return each.select(item, "_q.*", value.alias("gated")).select(*rows.columns, "gated")
 
 
 def questions(csv: DataFrame, index: str = "row_index", item: str = "item_id") -> DataFrame:

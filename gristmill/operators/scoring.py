@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import geometry as G
-from gristmill.functions.actions import ACTIONS, parse_prediction
+from gristmill.functions.actions import ACTIONS, parsed_prediction
 
 
 def judged(rows: DataFrame, has_parsed: bool = False) -> DataFrame:
@@ -20,9 +20,9 @@ def judged(rows: DataFrame, has_parsed: bool = False) -> DataFrame:
         good = action.isin(*ACTIONS) & (F.size(box) == 4) & F.forall(box, lambda v: (v >= 0) & (v <= 1000)) & (box[2] > box[0]) & (box[3] > box[1])
         error = F.when(~F.coalesce(good, F.lit(False)), F.coalesce(F.nullif(F.col("parse_error"), F.lit("")), F.lit("invalid_parsed_prediction")))
     else:
-        parsed = parse_prediction(F.col("prediction"))
-        action, box, error = parsed["action"], parsed["box"], parsed["error"]
-    out = rows.select("*", action.alias("predicted"), error.alias("error"), box.alias("_box"))
+        rows = rows.withColumn("_parsed", parsed_prediction(F.col("prediction")))
+        action, box, error = F.col("_parsed.action"), F.col("_parsed.box"), F.col("_parsed.error")
+    out = rows.select("*", action.alias("predicted"), error.alias("error"), box.alias("_box")).drop("_parsed")
     x, y = (F.col("_box")[0] + F.col("_box")[2]) / 2.0, (F.col("_box")[1] + F.col("_box")[3]) / 2.0
     hit = F.coalesce(F.col("error").isNull() & G.point_in_box(x, y, F.col("target_box")), F.lit(False))
     same = F.coalesce(F.col("predicted") == F.lower("target_action"), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.operators import genbench as B
@@ -84,9 +85,8 @@ def dpg_rollup(spark, d):
 def dpg_gate(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     q = li.select("l_orderkey", F.col("l_linenumber").alias("order"), F.col("l_linenumber").alias("question"), (F.col("q") > 20).cast("double").alias("score"))
-    numbered = q.join(q.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("question")).alias("all")), "l_orderkey")
-    parent = F.coalesce(F.array_max(F.filter("all", lambda x: x < F.col("question"))), F.lit(0))
-    rows = numbered.withColumn("parents", F.array(parent)).drop("all")
+    before = F.lag("question").over(W.partitionBy("l_orderkey").orderBy("question"))
+    rows = q.withColumn("parents", F.array(F.coalesce(before, F.lit(0))))
     return B.gated(rows, "l_orderkey").groupBy("l_orderkey").agg(F.round(F.avg("gated"), 9).alias("score"), F.round(F.avg("score"), 9).alias("plain"))
 
 
@@ -136,13 +136,25 @@ QUERIES = {f.__name__: f for f in (
     tumbling_windows, sliding_windows, session_windows, stream_dedup,
 )}
 
-_P = r"""p AS (SELECT doc_id, item_id, string_split_regex(lower(d.text), '\s+')[1:12] AS a, string_split_regex(lower(b.text), '\s+')[1:12] AS b
-  FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
- f AS (SELECT doc_id, item_id, round(2.0::DOUBLE * list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))) / (len(a) + len(b)), 9) AS f1 FROM p)"""
+_P = r"""dt AS (SELECT doc_id, t, count(*) AS m FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+')) AS t FROM documents) GROUP BY ALL),
+ bt AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+')) AS t FROM benchmark) GROUP BY ALL),
+ c AS (SELECT doc_id, item_id, sum(least(m, n)) AS c FROM dt JOIN bt USING (t) GROUP BY ALL),
+ ds AS (SELECT doc_id, sum(m) AS a FROM dt GROUP BY ALL), bs AS (SELECT item_id, sum(n) AS b FROM bt GROUP BY ALL),
+ f AS (SELECT doc_id, item_id, round(2.0::DOUBLE * c / (a + b), 9) AS f1 FROM c JOIN ds USING (doc_id) JOIN bs USING (item_id))"""
 _DET = f"""e AS (SELECT event_id, user_id, event_type, {sql_h("event_id", 4)} / 65536.0::DOUBLE AS score FROM events)"""
 ORACLE = {
-    "token_f1": f"WITH {_P} SELECT doc_id, f1 FROM f",
-    "best_candidate": f"WITH {_P} SELECT item_id, arg_max(doc_id, (f1, -doc_id)) AS doc_id, max(f1) AS f1 FROM f GROUP BY 1",
+    "token_f1": f"WITH {_P} SELECT doc_id, coalesce(max(f1), 0) AS f1 FROM (SELECT doc_id FROM documents) LEFT JOIN f USING (doc_id) GROUP BY 1",
+    "best_candidate": f"""WITH {_P}, x AS (SELECT item_id, arg_max(doc_id, (f1, -doc_id)) AS doc_id, max(f1) AS f1 FROM f GROUP BY 1)
+      SELECT item_id, coalesce(doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id, coalesce(f1, 0) AS f1 FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN x USING (item_id)""",
+    "nms_topk": f"""WITH RECURSIVE {_DET.replace('AS score FROM', f"AS score, {sql_h('event_id', 0)} % 300 AS x, {sql_h('event_id', 1)} % 300 AS y, {sql_h('event_id', 2)} % 100 + 40 AS w, {sql_h('event_id', 3)} % 100 + 40 AS h FROM")},
+      r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score DESC, event_id)::INT AS rank FROM e WHERE score > 0.3),
+      t AS (SELECT user_id, event_type, list({{'r': rank, 'id': event_id, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY rank) AS a FROM r WHERE rank <= 16 GROUP BY ALL),
+      k AS (SELECT user_id, event_type, a, 0 AS i, []::INT[] AS kept FROM t UNION ALL
+        SELECT user_id, event_type, a, i + 1, CASE WHEN len(list_filter(kept, lambda j: (greatest(least(a[j].x + a[j].w, a[i + 1].x + a[i + 1].w) - greatest(a[j].x, a[i + 1].x) + 1, 0)
+            * greatest(least(a[j].y + a[j].h, a[i + 1].y + a[i + 1].h) - greatest(a[j].y, a[i + 1].y) + 1, 0)) * 2
+          >= (a[j].w + 1) * (a[j].h + 1) + (a[i + 1].w + 1) * (a[i + 1].h + 1) - (greatest(least(a[j].x + a[j].w, a[i + 1].x + a[i + 1].w) - greatest(a[j].x, a[i + 1].x) + 1, 0)
+            * greatest(least(a[j].y + a[j].h, a[i + 1].y + a[i + 1].h) - greatest(a[j].y, a[i + 1].y) + 1, 0)))) = 0 THEN list_append(kept, (i + 1)::INT) ELSE kept END FROM k WHERE i < len(a))
+      SELECT user_id, event_type, a[j].id AS event_id, j AS rank FROM (SELECT *, unnest(kept) AS j FROM k WHERE i = len(a))""",
     "geneval_summary": f"""WITH e AS (SELECT event_id, event_type AS tag, user_id % 50 AS prompt, {sql_h("event_id", 0)} % 3 = 0 AS ok FROM events),
       p AS (SELECT tag, prompt, count(*) AS n, count(*) FILTER (ok) AS good, bool_or(ok)::INT AS any_ok, min(event_id) AS f FROM e GROUP BY 1, 2)
       SELECT tag, sum(n)::BIGINT AS images, round(sum(good) / sum(n), 9) AS image_share, round(avg(any_ok), 9) AS prompt_share, min(f) AS first_seen FROM p GROUP BY 1""",

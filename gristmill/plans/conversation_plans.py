@@ -113,7 +113,7 @@ ORACLE = {
     "plan_lengths": f"""WITH {_TURNS}, w AS (SELECT conv_id, sum(len(string_split(text, ' '))) AS w, count(*) AS m FROM k GROUP BY 1), c AS (SELECT DISTINCT conv_id FROM conversations)
       SELECT conv_id, coalesce(w, 0)::INT AS words, (coalesce(w, 0) + 2 * coalesce(m, 0))::INT AS tokens FROM c LEFT JOIN w USING (conv_id)""",
     "sequence_offsets": f"WITH {_TURNS} SELECT conv_id, i, length(text) AS n, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY i) - length(text))::BIGINT AS start FROM k",
-    "mask_hash": """WITH t AS (SELECT doc_id, least(len(string_split(text, ' ')), 64) AS n, 0.001::DOUBLE + 0.999::DOUBLE * (('0x' || substr(sha256('p' || chr(31) || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS p FROM documents),
+    "mask_hash": """WITH t AS (SELECT doc_id, len(string_split(text, ' ')) AS n, 0.001::DOUBLE + 0.999::DOUBLE * (('0x' || substr(sha256('p' || chr(31) || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS p FROM documents),
       i AS (SELECT *, unnest(range(1, n + 1)) AS i FROM t)
       SELECT doc_id, round(p, 9) AS p, (count(*) FILTER (('0x' || substr(sha256('m' || chr(31) || doc_id || chr(31) || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p))::INT AS masked FROM i GROUP BY 1, 2""",
     "image_plans": f"""SELECT page_id, concat_ws(',', CASE WHEN {sql_h("page_id", 0)} % 2 = 0 THEN 'vae_image1' END, CASE WHEN {sql_h("page_id", 1)} % 2 = 0 THEN 'vae_image0' END, CASE WHEN {sql_h("page_id", 2)} % 2 = 0 THEN 'vit_image0' END) AS plan FROM pages""",

@@ -19,8 +19,8 @@ def stable_sample(spark, d):
 
 
 def balanced_repeat(spark, d):
-    small = _docs(spark, d).filter("lang = 'de'")
-    return P.balanced_repeat(small, 2 * 100 + 37, 42, "doc_id").select("doc_id", "variant")
+    docs = _docs(spark, d)
+    return P.balanced_repeat(docs, 2 * docs.count() + 37, 42, "doc_id").select("doc_id", "variant")
 
 
 def variant_topup(spark, d):
@@ -78,9 +78,10 @@ def union_sources(spark, d):
 
 
 def except_both(spark, d):
-    o, c = table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    a = c.subtract(o).select("k", F.lit("no order").alias("side"))
-    return a.union(o.subtract(c).select("k", F.lit("no customer")))
+    """Suppliers and users of events by number: those that are on one side only."""
+    s, u = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, d, "events").select((F.col("user_id") + 5).alias("k"))
+    a = s.subtract(u).select("k", F.lit("supplier").alias("side"))
+    return a.union(u.subtract(s).select("k", F.lit("user")))
 
 
 def intersect_keys(spark, d):
@@ -153,8 +154,8 @@ QUERIES = {f.__name__: f for f in (
 _hex = lambda *parts: "substr(sha256(" + " || chr(31) || ".join(parts) + "), 1, 16)"
 ORACLE = {
     "stable_sample": f"SELECT doc_id, source FROM documents ORDER BY {_hex("'42'", 'doc_id')}, doc_id LIMIT 100",
-    "balanced_repeat": f"""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY {_hex("'42'", "'selection'", "doc_id")}, doc_id) - 1 AS i, count(*) OVER () AS t FROM documents WHERE lang = 'de')
-      SELECT doc_id, unnest(range((236 - i) // t + 1))::INT AS variant FROM o WHERE i < 237""",
+    "balanced_repeat": f"""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY {_hex("'42'", "'selection'", "doc_id")}, doc_id) - 1 AS i, count(*) OVER () AS t FROM documents)
+      SELECT doc_id, unnest(range((2 * t + 36 - i) // t + 1))::INT AS variant FROM o""",
     "variant_topup": f"""WITH n AS (SELECT (count(*) * 2.5)::INT AS n, count(*) AS t FROM supplier), v AS (SELECT s_suppkey, v::INT AS variant FROM supplier, range(10) r(v)),
       o AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY {_hex("'7'", "variant", "s_suppkey")}, s_suppkey) AS r FROM v)
       SELECT s_suppkey, variant FROM o, n WHERE variant * t + r <= floor(t * 2.5)""",
@@ -171,8 +172,8 @@ ORACLE = {
     "seeds": f"""SELECT event_id, ('0x' || substr(sha256('42' || chr(31) || 'u' || event_id), 1, 8))::BIGINT AS seed, {_hex("'s'", "'u' || event_id")} AS hex FROM events""",
     "last_k_actions": """SELECT event_id, coalesce(array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), ','), '') AS history FROM events""",
     "union_sources": "SELECT 'c' AS kind, c_custkey AS k, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_suppkey, NULL FROM supplier",
-    "except_both": """(SELECT k, 'no order' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)) UNION ALL
-      (SELECT k, 'no customer' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer))""",
+    "except_both": """(SELECT k, 'supplier' AS side FROM (SELECT s_suppkey AS k FROM supplier EXCEPT SELECT user_id + 5 FROM events)) UNION ALL
+      (SELECT k, 'user' FROM (SELECT user_id + 5 AS k FROM events EXCEPT SELECT s_suppkey FROM supplier))""",
     "intersect_keys": "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey FROM supplier",
     "semi_join_prefilter": "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1",
     "stem_join": r"SELECT page_id, doc_id, source FROM (SELECT page_id, try_cast(regexp_extract(url, '/(\d+)(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages) JOIN documents USING (doc_id)",

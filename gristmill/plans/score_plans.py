@@ -68,7 +68,10 @@ def runtime_unpivot(spark, d):
 
 
 def _partial(spark, d):
-    return predictions(spark, d).filter(F.col("event_id") % 11 != 0)
+    """Predictions of the events whose user is a customer with an order."""
+    buyers = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    kept = table(spark, d, "events").join(buyers, "user_id", "left_semi").select("event_id")
+    return predictions(spark, d).join(kept, "event_id", "left_semi")
 
 
 def coverage_missing(spark, d):
@@ -76,12 +79,12 @@ def coverage_missing(spark, d):
 
 
 def coverage_unexpected(spark, d):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").filter("c_custkey % 3 <> 0")
-    return o.join(c, o.o_custkey == c.c_custkey, "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    o, s = table(spark, d, "orders"), table(spark, d, "supplier")
+    return o.join(s, o.o_custkey == s.s_suppkey, "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
 def coverage_struct(spark, d):
-    return S.coverage(targets(spark, d).filter("event_id % 13 <> 0"), _partial(spark, d), "event_id")
+    return S.coverage(targets(spark, d).filter("value >= 5"), _partial(spark, d), "event_id")
 
 
 def macro_average_nulls(spark, d):
@@ -104,8 +107,8 @@ def paired_join(spark, d):
 
 def run_comparison(spark, d):
     o = table(spark, d, "orders").select("o_orderpriority", "o_totalprice", (F.col("o_orderkey") % 2).alias("run"))
-    agg = lambda r, n: o.filter(F.col("run") == r).groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias(n))
-    both = agg(0, "base").join(agg(1, "new"), "o_orderpriority", "full")
+    mean = lambda r: F.avg(F.when(F.col("run") == r, F.col("o_totalprice")))
+    both = o.groupBy("o_orderpriority").agg(mean(0).alias("base"), mean(1).alias("new"))
     return both.select("o_orderpriority", F.round("base", 6).alias("base"), F.round("new", 6).alias("new"), F.round(S.percent_change(F.col("new"), F.col("base")), 6).alias("change"))
 
 
@@ -156,10 +159,10 @@ ORACLE = {
       f AS (SELECT *, CASE WHEN seconds > 0 THEN tokens / seconds END AS per_second FROM e),
       l AS (SELECT 'seconds' AS field, seconds AS v FROM f UNION ALL SELECT 'tokens', tokens FROM f UNION ALL SELECT 'prefill', prefill FROM f UNION ALL SELECT 'per_second', per_second FROM f)
       SELECT field, {_BLOCK} FROM l GROUP BY 1""",
-    "coverage_missing": with_sql("SELECT event_id, target_action FROM targets WHERE event_id % 11 = 0"),
-    "coverage_unexpected": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1",
+    "coverage_missing": with_sql("SELECT event_id, target_action FROM targets WHERE user_id NOT IN (SELECT o_custkey FROM orders)"),
+    "coverage_unexpected": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1",
     "coverage_struct": """SELECT count(*) FILTER (t) AS targets, count(*) FILTER (p) AS predictions, count(*) FILTER (t AND p) AS joined, count(*) FILTER (t AND NOT p) AS missing,
-      count(*) FILTER (p AND NOT t) AS unexpected FROM (SELECT event_id % 13 <> 0 AS t, event_id % 11 <> 0 AS p FROM events)""",
+      count(*) FILTER (p AND NOT t) AS unexpected FROM (SELECT coalesce(value >= 5, false) AS t, coalesce(user_id IN (SELECT o_custkey FROM orders), false) AS p FROM events)""",
     "macro_average_nulls": """SELECT round(avg(latency), 9) AS latency, round(avg(score), 9) AS score, count(*) AS benchmarks FROM
       (SELECT event_type, avg(CASE WHEN event_type <> 'click' THEN value END) AS latency, avg(value) AS score FROM events GROUP BY 1)""",
     "context_bucket_metrics": """SELECT CASE WHEN t <= 32768 THEN '16k_32k' WHEN t <= 49152 THEN '32k_48k' WHEN t <= 65536 THEN '48k_64k' ELSE 'over_64k' END AS bucket, count(*) AS n,

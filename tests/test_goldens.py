@@ -191,9 +191,15 @@ def test_packer():
     assert not p.add_mandatory("m", 12) and p.add_mandatory("m", 11)
 
 
-def test_rules_over_objects():
-    o = {"cat": [{"box": [0, 0, 10, 10], "color": "red"}], "dog": [{"box": [50, 0, 60, 10], "color": "blue"}, {"box": [80, 0, 90, 10], "color": "blue"}]}
-    ok = lambda inc, exc=(): B.judge(o, list(inc), list(exc))[0]
+def test_rules_over_objects(spark):
+    things = [("cat", [0.0, 0.0, 10.0, 10.0], "red"), ("dog", [50.0, 0.0, 60.0, 10.0], "blue"), ("dog", [80.0, 0.0, 90.0, 10.0], "blue")]
+
+    def ok(include, exclude=()):
+        clause = lambda c: (c["class"], c["count"], c.get("color"), *c.get("position", (None, None)))
+        kind = "array<struct<class:string,count:int,color:string,side:string,of:int>>"
+        df = spark.createDataFrame([(things, [clause(c) for c in include], [clause(c) for c in exclude])], f"objects array<struct<class:string,box:array<double>,color:string>>, include {kind}, exclude {kind}")
+        return df.select(B.judged_rules("objects", "include", "exclude").alias("r")).first()["r"]["correct"]
+
     cat = {"class": "cat", "count": 1}
     assert ok([cat, {"class": "dog", "count": 2, "position": ("right of", 0)}])
     assert not ok([cat, {"class": "dog", "count": 1, "position": ("above", 0)}])
@@ -202,13 +208,33 @@ def test_rules_over_objects():
     assert ok([cat], [{"class": "dog", "count": 3}]) and not ok([cat], [{"class": "dog", "count": 2}])
 
 
-def test_gate_cascades_in_order_and_suppression():
-    assert B.gate({1: 0.0, 2: 1.0, 3: 1.0}, {1: [0], 2: [1], 3: [2]}) == {1: 0.0, 2: 0.0, 3: 0.0}
-    assert B.gate({1: 1.0, 2: 1.0, 3: 0.0}, {1: [2], 2: [3], 3: [0]}) == {1: 1.0, 2: 0.0, 3: 0.0}
-    with pytest.raises(KeyError):
-        B.gate({1: 1.0}, {1: [9]})
-    assert B.suppress([[0, 0, 10, 10], [1, 1, 10, 10], [50, 50, 60, 60]], 0.5) == [0, 2]
-    assert B.pixel_iou([0, 0, 9, 9], [0, 0, 9, 9]) == 1
+def gate(spark, scores, parents):
+    rows = [(1, i, q, scores[q], p) for i, (q, p) in enumerate(parents.items())]
+    df = spark.createDataFrame(rows, "item int, order int, question int, score double, parents array<int>")
+    return {r["question"]: r["gated"] for r in B.gated(df, "item").collect()}
+
+
+def test_gate_cascades_in_order(spark):
+    assert gate(spark, {1: 0.0, 2: 1.0, 3: 1.0}, {1: [0], 2: [1], 3: [2]}) == {1: 0.0, 2: 0.0, 3: 0.0}
+    assert gate(spark, {1: 1.0, 2: 1.0, 3: 0.0}, {1: [2], 2: [3], 3: [0]}) == {1: 1.0, 2: 0.0, 3: 0.0}
+    with pytest.raises(Exception, match="no question 9"):
+        gate(spark, {1: 1.0}, {1: [9]})
+
+
+def test_suppression(spark):
+    boxes = [[0, 0, 10, 10], [1, 1, 10, 10], [50, 50, 60, 60]]
+    df = spark.createDataFrame([("k", i + 1, [float(v) for v in x]) for i, x in enumerate(boxes)], "k string, rank int, box array<double>")
+    kept = lambda t: sorted(r["rank"] for r in B.suppressed(df, ["k"], t).collect())
+    assert kept(0.5) == [1, 3] and kept(1) == [1, 2, 3]
+    box = F.array(*(F.lit(float(v)) for v in (0, 0, 9, 9)))
+    assert one(spark, v=B.pixel_iou(box, box)) == 1
+
+
+def test_prediction_of_other_white_space(spark):
+    p = A.parse_prediction(F.lit("\n\t "))
+    assert one(spark, v=p["error"]) == "empty_prediction"
+    p = A.parse_prediction(F.lit("lclick [1,2,3,4] \tx\t"))
+    assert one(spark, v=p["value"]) == "x"
 
 
 def test_answer_text(spark):
@@ -224,6 +250,10 @@ def test_web_calls_and_boxes(spark):
     df = spark.createDataFrame([('click(uid="a", x=1)',), ("os.system(1)",), ("oops(",), (None,)], "t string")
     got = [r[0] for r in df.select(B.parse_call("t")).collect()]
     assert got == ['{"name": "click", "arguments": {"uid": "a", "x": 1}}', None, None, None]
+    calls = [("Say(text='it\\'s \\x41', n=-1.5e2, ok=True, none=None, l=[1, 'b'], d={'k': 2})",), ('load(1, "u", url="x")',), ("f(a=b)",), ("f(a=1) + 1",), ("f()",)]
+    got = [r[0] for r in spark.createDataFrame(calls, "t string").select(B.parse_call("t")).collect()]
+    assert got[0] == '{"name": "say", "arguments": {"text": "it\'s A", "n": -150.0, "ok": true, "none": null, "l": [1, "b"], "d": {"k": 2}}}'
+    assert got[1:] == ['{"name": "load", "arguments": {"url": "x"}}', None, None, '{"name": "f", "arguments": {}}']
     text = F.lit("(uid = a.b) one [[bbox]] x=1 y=2 width=3 height=4\n(uid = axb) two")
     assert one(spark, v=B.candidate_box(text, F.lit("a.b"))) == [1, 2, 4, 6]
     assert one(spark, v=B.candidate_box(text, F.lit("axb"))) is None
