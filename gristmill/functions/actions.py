@@ -126,3 +126,18 @@ def history_prompt(task: Column, actions: Column, index: Column, most: int = 8)
     lines = F.array_join(F.transform(last, lambda a: F.concat(F.lit("- "), compact(a, 300))), "\n")
     head = F.concat(F.lit(TASK_HEAD), compact(task, 1000))
     return F.when(F.size(last) > 0, F.concat(head, F.lit(HISTORY_HEAD), lines)).otherwise(head)
+
+
+# The wording of prompts for elements and whole pages.
+ELEMENT = ('Locate and click the ', ' UI element described as: "', '".')
+PAGE = ("The following ", " images are non-overlapping tiles from one ", " webpage screenshot, ordered left-to-right and then top-to-bottom. Treat them as one complete page. ")
+PAGE_END = " Return the action and bounding box with coordinates normalized to the complete original screenshot in [0,1000]."
+
+
+def element_prompt(domain: Column, instruction: Column) -> Column:
+    return F.concat(F.lit(ELEMENT[0]), domain, F.lit(ELEMENT[1]), instruction, F.lit(ELEMENT[2]))
+
+
+def page_prompt(instruction: Column, width: Column, height: Column, tiles: Column) -> Column:
+    size = F.concat_ws("x", width.cast("string"), height.cast("string"))
+    return F.concat(F.lit(PAGE[0]), tiles.cast("string"), F.lit(PAGE[1]), size, F.lit(PAGE[2]), instruction, F.lit(PAGE_END))

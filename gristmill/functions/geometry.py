@@ -218,3 +218,34 @@ def timesteps(n: int, shift: float) -> Column:
 def flat_positions(rows: Column, cols: Column, most: int) -> Column:
     """Ids r * most + c of a grid's cells, row by row."""
     return F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.sequence(F.lit(0), cols - 1), lambda c: r * most + c)))
+
+
+def spread_positions(rows: Column, cols: Column, most: int) -> Column:
+    """Ids of a grid's cells, row by row, as if it were stretched over a grid of most x most."""
+    at = lambda i, n: F.floor(i * most / n)
+    each = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.sequence(F.lit(0), cols - 1), lambda c: at(r, rows) * most + at(c, cols)))
+    return F.flatten(each)
+
+
+def adaptive_length(n: Column) -> Column:
+    """Three quarters of the next power of two, or that power beyond them."""
+    power = next_power_of_two(n)
+    part = F.floor(power * 3 / 4)
+    return F.when(n > part, power).otherwise(part).cast("long")
+
+
+def guided_scale(t: Column, scale: Column, low: float, high: float) -> Column:
+    """A guidance scale inside its interval of steps, 1 outside; the lower end is outside."""
+    return F.when((t > low) & (t <= high), scale).otherwise(1.0)
+
+
+def quarter_crops(side: Column, n: Column) -> Column:
+    """The first n crops of a picture of four, row by row; none for a single one."""
+    cell = lambda i: F.array(*(F.lit(v) * side for v in (i % 2, i // 2, i % 2 + 1, i // 2 + 1)))
+    every = F.array(*(cell(i) for i in range(4)))
+    return F.when(n <= 1, F.slice(every, 1, 0)).otherwise(F.slice(every, 1, F.least(n, F.lit(4))))
+
+
+def box_list(box: Column) -> Column:
+    """A box as a list is written: [1.0, 2.5]."""
+    return F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("double").cast("string")), ", "), F.lit("]"))

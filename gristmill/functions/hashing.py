@@ -34,3 +34,19 @@ def uniform(*parts) -> Column:
 def paired_seed(seed: int, key: Column) -> Column:
     """32 bits from a base seed and a pairing key."""
     return F.conv(F.substring(F.sha2(F.concat_ws(SEPARATOR, F.lit(str(seed)), key), 256), 1, 8), 16, 10).cast("long")
+
+
+def sample_hash(file: Column, instruction: Column, box: Column) -> Column:
+    """Twenty hex digits of a sample's file, instruction and box as a list."""
+    from gristmill.functions.geometry import box_list
+
+    return F.substring(F.sha2(F.concat_ws(SEPARATOR, file, instruction, box_list(box)), 256), 1, 20)
+
+
+def cache_key(digest: Column, box: Column) -> Column:
+    """A digest and a box to three places."""
+    return F.concat(digest, F.lit(":"), F.array_join(F.transform(box, lambda v: F.format_string("%.3f", v.cast("double"))), ","))
+
+
+def utc_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

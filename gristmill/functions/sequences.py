@@ -97,3 +97,57 @@ def sin_cos(position: Column, size: int) -> Column:
     angle = lambda i: position / F.pow(F.lit(10000.0), i / float(half))
     steps = F.sequence(F.lit(0), F.lit(half - 1))
     return F.concat(F.transform(steps, lambda i: F.sin(angle(i))), F.transform(steps, lambda i: F.cos(angle(i))))
+
+
+def adapted(ids: Column, end: int, *seed) -> Column:
+    """By hash one in ten is extended by 1 to n end ids, one in ten of more than 16 cut to 1 to n - 1."""
+    n, u, v = F.size(ids), uniform("a", *seed), uniform("b", *seed)
+    more = F.concat(ids, F.array_repeat(F.lit(end), (F.floor(v * n) + 1).cast("int")))
+    less = F.slice(ids, 1, (F.floor(v * (n - 1)) + 1).cast("int"))
+    return F.when((u < 0.1) & (n > 0), more).when((u >= 0.1) & (u < 0.2) & (n > 16), less).otherwise(ids)
+
+
+def merged_segments(types: Column, lengths: Column, modes: Column) -> Column:
+    """struct lengths, modes: one full segment for plans of texts and understood images alone."""
+    one = F.forall(types, lambda t: t.isin("text", "vit_image")) & (F.size(lengths) > 0)
+    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+    same = F.transform(lengths, lambda x: x.cast("long"))
+    return F.struct(F.when(one, F.array(total)).otherwise(same).alias("lengths"), F.when(one, F.array(F.lit("full"))).otherwise(modes).alias("modes"))
+
+
+def edit_steps(images: Column, merge: Column, *seed) -> Column:
+    """struct start, end, merged: an edit_span() of which a longer one is told at once if it is to be merged, up to the last but one image."""
+    span = edit_span(images, *seed)
+    merged = ((span["end"] - span["start"]) > 1) & merge
+    end = F.when(merged & (span["end"] == images - 1), span["end"] - 1).otherwise(span["end"])
+    return F.struct(span["start"].alias("start"), end.alias("end"), merged.alias("merged"))
+
+
+def token_loss(loss: Column, tokens: Column, world: int = 1) -> Column:
+    """Summed loss over summed tokens, times the number of ranks."""
+    return F.sum(loss) * world / F.sum(tokens)
+
+
+def byte_tokens(text: Column) -> Column:
+    """Ids of a text's bytes, a tokenizer that needs no vocabulary."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1)
+    return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
+
+
+def byte_text(ids: Column) -> Column:
+    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 2, "0")), "")), "UTF-8")
+
+
+def patches(values: Column, channels: int, height: int, width: int, size: int) -> Column:
+    """An image of channels x height x width numbers as rows of patches, each by row, column and channel."""
+    if height % size or width % size:
+        raise ValueError("patches must fill the image")
+    across, each = width // size, size * size * channels
+
+    def number(patch: Column, k: Column) -> Column:
+        row = F.floor(patch / across) * size + F.floor(k / (size * channels))
+        col = patch % across * size + F.floor(k / channels) % size
+        return F.get(values, (k % channels * (height * width) + row * width + col).cast("int"))
+
+    many = F.sequence(F.lit(0), F.lit(height // size * across - 1))
+    return F.transform(many, lambda p: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda k: number(p, k)))

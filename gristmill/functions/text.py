@@ -71,3 +71,21 @@ def pick_caption(captions: list[Column], *seed) -> Column:
     filled = F.filter(F.array(*captions), lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0)
     at = (stable_int(*seed) % F.greatest(F.size(filled), F.lit(1))).cast("int")
     return F.when(F.size(filled) == 0, " ").otherwise(F.get(filled, at))
+
+
+def with_frames(turns: Column, frames: Column, video: str = "<video>", image: str = "<image>") -> Column:
+    """Turns of which the first names a video, its mark replaced by one of an image for every frame; else an error."""
+    first = F.get(turns, F.lit(0))
+    new = F.replace(first, F.lit(video), F.repeat(F.lit(image), frames))
+    checked = F.when(F.contains(first, F.lit(video)), new).otherwise(F.raise_error(F.lit("the first turn names no video")).cast("string"))
+    return F.concat(F.array(checked), F.slice(turns, 2, F.greatest(F.size(turns) - 1, F.lit(0))))
+
+
+def marked_images(text: Column) -> Column:
+    """array<struct<text,image>>: what stands between numbered image marks, stripped, and the marks' numbers, in order."""
+    mark = r"<img><\|image_(\d+)\|></img>"
+    numbers = F.regexp_extract_all(text, F.lit(mark), 1)
+    said = lambda t: F.struct(strip(t).alias("text"), F.lit(None).cast("int").alias("image"))
+    shown = lambda n: F.struct(F.lit(None).cast("string").alias("text"), n.cast("int").alias("image"))
+    each = F.transform(F.split(text, mark, -1), lambda t, i: F.when(i < F.size(numbers), F.array(said(t), shown(F.get(numbers, i)))).otherwise(F.array(said(t))))
+    return F.filter(F.flatten(each), lambda e: e["image"].isNotNull() | (e["text"] != ""))

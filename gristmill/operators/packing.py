@@ -27,12 +27,27 @@ class Packer:
     curr: int = 0
     members: list = field(default_factory=list)
     waiting: deque = field(default_factory=deque)
+    #: For each mandatory group its samples, which come round and round.
+    mandatory: list[list] = field(default_factory=list)
+    turns: list[int] = field(default_factory=list)
+
+    def _open(self) -> None:
+        """One sample of each mandatory group; those that are too long are passed over."""
+        self.turns = self.turns or [0] * len(self.mandatory)
+        for g, samples in enumerate(self.mandatory):
+            for _ in samples:
+                taken = self.add_mandatory(*samples[self.turns[g] % len(samples)])
+                self.turns[g] += 1
+                if taken:
+                    break
 
     def _emit(self) -> list:
         out, self.members, self.curr = self.members, [], 0
         return out
 
     def _offer(self, key, tokens: int, waited: bool) -> Iterator[list]:
+        if self.mandatory and not self.members:
+            self._open()
         if tokens > self.most_per_sample:
             return
         if self.curr + tokens > self.most:
@@ -79,19 +94,23 @@ def pack_stream(samples: Iterable[tuple], packer: Packer) -> Iterator[list]:
     yield from packer.finish()
 
 
-def pack(rows: DataFrame, shard: str, order: str, key: str, tokens: str, **limits) -> DataFrame:
+def pack(rows: DataFrame, shard: str, order: str, key: str, tokens: str, mandatory: str | None = None, **limits) -> DataFrame:
     """shard, sequence, position, key, tokens: every shard is packed on its own, in its order.
 
-    A shard is what one reader would read; it must fit a task's memory as (key, tokens) pairs.
+    A shard is what one reader would read; it must fit a task's memory as (key, tokens) pairs. mandatory: a column that
+    names the mandatory group of a row; null for the others.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"`{shard}` {kinds[shard]}, sequence long, position long, `{key}` {kinds[key]}, tokens long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        out = []
-        for i, members in enumerate(pack_stream(zip(pdf[key], pdf[tokens], strict=True), Packer(**limits))):
+        out, groups, free = [], [], pdf
+        if mandatory:
+            free = pdf[pdf[mandatory].isna()]
+            groups = [list(zip(g[key], g[tokens], strict=True)) for _, g in pdf[pdf[mandatory].notna()].groupby(mandatory)]
+        for i, members in enumerate(pack_stream(zip(free[key], free[tokens], strict=True), Packer(**limits, mandatory=groups))):
             out += [(pdf[shard].iloc[0], i, j, k, n) for j, (k, n) in enumerate(members)]
         return pd.DataFrame(out, columns=[shard, "sequence", "position", key, "tokens"])
 
-    return rows.select(*dict.fromkeys((shard, order, key, tokens))).groupBy(shard).applyInPandas(run, schema)
+    return rows.select(*dict.fromkeys((shard, order, key, tokens, *([mandatory] if mandatory else [])))).groupBy(shard).applyInPandas(run, schema)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gristmill.plans import bench_plans, conversation_plans, geometry_plans, sampling_plans, score_plans, sequence_plans, text_plans
+from gristmill.plans import bench_plans, conversation_plans, geometry_plans, io_plans, record_plans, sampling_plans, score_plans, sequence_plans, text_plans
 
-GROUPS = (score_plans, text_plans, geometry_plans, sampling_plans, conversation_plans, sequence_plans, bench_plans)
+GROUPS = (score_plans, text_plans, geometry_plans, sampling_plans, conversation_plans, sequence_plans, bench_plans, record_plans, io_plans)
 
 
 def queries():

@@ -96,9 +96,17 @@ def pack_sequences_keep(spark, d):
     return packing.pack(t, "source", "doc_id", "doc_id", "tokens", **LIMITS, drop_overflow=False)
 
 
+def pack_mandatory(spark, d):
+    """Every sequence begins with a document of the labels' good ones and one of the toxic ones."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+    group = table(spark, d, "labels").groupBy("doc_id").agg(F.min(kind).alias("kind"))
+    t = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").alias("tokens")).join(group, "doc_id", "left")
+    return packing.pack(t, "source", "doc_id", "doc_id", "tokens", "kind", **LIMITS)
+
+
 QUERIES = {f.__name__: f for f in (
     conversation_normalize, conversation_rounds, pair_shape, inline_image_split, zero_loss_filter, plan_lengths, sequence_offsets, mask_hash, image_plans,
-    attention_segments, pack_sequences, pack_sequences_keep,
+    attention_segments, pack_sequences, pack_sequences_keep, pack_mandatory,
 )}
 
 _TURNS = """t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN trim(text) ELSE '<image> ' || text END AS text FROM conversations WHERE role IN ('user', 'assistant')),

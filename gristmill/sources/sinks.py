@@ -75,6 +75,37 @@ def content_addressed(rows: DataFrame, content: str) -> DataFrame:
     return named.withColumn("path", F.concat_ws("/", F.substring("sha256", 1, 2), F.col("sha256")))
 
 
+def write_contents(rows: DataFrame, content: str, path: str) -> None:
+    """Every content once, as a file xx/digest below path; one that is there already stays as it is."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    u = urlparse(path)
+    local = unquote(u.path) if u.scheme in ("", "file") else None
+
+    def put(part):
+        import os
+        import uuid
+
+        store, base = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(path)
+        for r in part:
+            name = f"{base}/{r['path']}"
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                store.create_dir(os.path.dirname(name), recursive=True)
+                aside = f"{os.path.dirname(name)}/.{uuid.uuid4().hex}"  # a lost task leaves no half of a file under the name
+                with store.open_output_stream(aside) as out:
+                    out.write(bytes(r[content]))
+                store.move(aside, name)
+
+    content_addressed(rows, content).foreachPartition(put)
+
+
+def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
+    """Write rows by a column; of partitions that are there only those with new rows are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def merge_manifest(previous: dict, new: dict) -> dict:
     """Selected sources are replaced, the others stay; totals are counted again."""
     sources = previous.get("sources", {}) | new
