@@ -7,8 +7,8 @@ table entry every image is matched with the least and the greatest image; matche
 rotation, scale and shift, and images with enough agreeing keypoints, a share of the smaller image's, are copies.
 Images that linked become one class; entries that are still in several classes are then compared pair by pair
 across classes, with every point and however long they are. All entries that two images of different classes share are
-among them, so the matches of two images are judged together, also those that the stars saw. Entries of more than ``BLOCK`` points are dealt into blocks, and every two blocks
-of an entry meet in a task of their own.
+among them, so the matches of two images are judged together, also those that the stars saw. Entries of more than
+``BLOCK`` points are dealt into blocks, and every two blocks of an entry meet in a task of their own.
 
 An image is a two-dimensional array of bytes, in a column as a binary portable graymap (P5). Defined results for
 odd input: null, empty or undecodable images have no keypoints and are copies of nothing; images with equal pixels
@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
-from gristmill.llm._shared import pieces, table, written
-from gristmill.llm.graphs import components
+from gristmill.llm._shared import discard, pieces, table, written
+from gristmill.llm.graphs import components, pairs_within
 from gristmill.llm.jaccard import bucket_counts
 
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
@@ -153,7 +153,7 @@ def _flat_points(batch) -> np.ndarray:
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """entry, node, n, point: an image's points under their keys; keys that one point alone has are left out."""
+    """entry, node, i: an image's points, by number, under their keys; keys that one point alone has are left out."""
 
     def places(batch):
         if len(points := _flat_points(batch)):
@@ -168,34 +168,61 @@ def _listed(nodes: DataFrame) -> DataFrame:
             points = _flat_points(b)
             if not len(points):
                 continue
-            owner = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(b.num_rows), sizes)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keys = _keys(points)
             at, t = np.nonzero(known[(keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)])
-            take = pa.array(owner[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at, t].view(np.int64)), b.column(1).take(take), b.column(2).take(take), b.column(0).flatten().take(pa.array(at))],
-                ["entry", "node", "n", "point"],
+                [pa.array(keys[at, t].view(np.int64)), b.column(1).take(pa.array(owner[at])), pa.array(number[at].astype(np.int32))], ["entry", "node", "i"]
             )
 
-    return nodes.select("points", "node", "n").mapInArrow(run, f"entry long, node long, n int, point {POINT}")
+    return nodes.select("points", "node").mapInArrow(run, "entry long, node long, i int")
+
+
+def _shared(listed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entry, node, n, point of the entries that two images or more have.
+
+    Entries and numbers of points are shuffled first; only what is shared is joined with its point.
+    """
+    several = listed.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("entry")
+    rows = listed.join(several, "entry").join(nodes.select("node", "n", "points"), "node")
+    return rows.select("entry", "node", "n", F.get("points", F.col("i")).alias("point"))
 
 
 def _near(p: Column, q: Column) -> Column:
     return F.bit_count(p["d0"].bitwiseXOR(q["d0"])) + F.bit_count(p["d1"].bitwiseXOR(q["d1"])) <= MAX_DISTANCE
 
 
+def _packed(p: Column) -> Column:
+    """A point's place, octave and turn as one number: 32 bits, 20, 1 and 5."""
+    part = lambda name, bits: F.shiftleft(p[name].cast("long"), bits)
+    return part("y", 26).bitwiseOR(part("x", 6)).bitwiseOR(part("octave", 5)).bitwiseOR(p["turn"].cast("long"))
+
+
+def _unpacked(c: str) -> tuple[Column, Column, Column, Column]:
+    """x, y, octave, turn."""
+    part = lambda shift, bits: F.shiftright(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1))
+    return part(6, 20), F.shiftright(F.col(c), 26), part(5, 1), part(0, 5)
+
+
 def _links(matches: DataFrame) -> DataFrame:
-    """(a, b) of images with enough agreeing matches; matches: a, b, n (of the smaller), p, q (points of a and b)."""
-    p, q = F.col("p"), F.col("q")
-    near = matches.filter(_near(p, q))
-    turn = F.pmod(q["turn"] - p["turn"], F.lit(TURNS))
-    angle, scale = turn * (2 * math.pi / TURNS), F.pow(F.lit(2.0), q["octave"] - p["octave"])
-    dx = q["x"] - scale * (p["x"] * F.cos(angle) - p["y"] * F.sin(angle))
-    dy = q["y"] - scale * (p["x"] * F.sin(angle) + p["y"] * F.cos(angle))
+    """(a, b) of images with enough agreeing matches; matches: a, b, n (of the smaller), p, q (points of a and b).
+
+    Matches are dealt by pair once, as two numbers; all that follows stays where they are.
+    """
+    near = matches.filter(_near(F.col("p"), F.col("q"))).select("a", "b", "n", _packed(F.col("p")).alias("p"), _packed(F.col("q")).alias("q"))
+    near = near.repartition("a", "b")
+    (px, py, po, pt), (qx, qy, qo, qt) = _unpacked("p"), _unpacked("q")
+    turn = F.pmod(qt - pt, F.lit(TURNS))
+    angle, scale = turn * (2 * math.pi / TURNS), F.pow(F.lit(2.0), qo - po)
+    dx = qx - scale * (px * F.cos(angle) - py * F.sin(angle))
+    dy = qy - scale * (px * F.sin(angle) + py * F.cos(angle))
     # Two grids, half a cell apart, so that no shift is always on a border.
-    grids = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.floor((dx + g) / SHIFT).alias("u"), F.floor((dy + g) / SHIFT).alias("v")) for g in (0, SHIFT // 2))))
-    votes = near.select("a", "b", "n", p["x"].alias("x"), p["y"].alias("y"), p["octave"].alias("o"), turn.alias("turn"), (q["octave"] - p["octave"]).alias("s"), grids.alias("at"))
-    models = votes.distinct().groupBy("a", "b", "turn", "s", "at").agg(F.first("n").alias("n"), F.count("*").alias("inliers"))
+    grids = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.floor((F.col("dx") + g) / SHIFT).alias("u"), F.floor((F.col("dy") + g) / SHIFT).alias("v")) for g in (0, SHIFT // 2))))
+    moved = near.select("a", "b", "n", F.shiftright("p", 5).alias("point"), turn.alias("turn"), (qo - po).alias("s"), dx.alias("dx"), dy.alias("dy"))
+    votes = moved.select("a", "b", "n", "point", "turn", "s", grids.alias("at")).distinct()
+    models = votes.groupBy("a", "b", "turn", "s", "at").agg(F.first("n").alias("n"), F.count("*").alias("inliers"))
     return models.filter((F.col("inliers") >= LEAST_INLIERS) & (F.col("inliers") >= LEAST_SHARE * F.col("n"))).select("a", "b").distinct()
 
 
@@ -208,17 +235,6 @@ def _match(listed: DataFrame, node: Column, n: Column, point: Column) -> DataFra
     )
 
 
-def _across(opened: DataFrame, block: int) -> DataFrame:
-    """Every two near points of an entry in different classes, once; opened: entry, node, n, point, class, m (points of the entry)."""
-    k = F.ceil(F.col("m") / block).cast("int")
-    dealt = opened.withColumn("own", F.pmod(F.xxhash64("node"), k).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), k - 1)))
-    dealt = dealt.select("entry", "node", "n", "point", "class", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
-    other = dealt.select("entry", "i", "j", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "point", "class", "own")))
-    once = (F.col("i") == F.col("j")) | (F.col("own") != F.col("own2"))
-    apart = (F.col("node") < F.col("node2")) & (F.col("class") != F.col("class2"))
-    return dealt.join(other, ["entry", "i", "j"]).filter(apart & once & _near(F.col("point"), F.col("point2")))
-
-
 def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
     """id, n_points, class_id: the least id of the images that copies lead to. described: of describe()."""
     described = written(described, "points")
@@ -228,19 +244,26 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
         .agg(F.min("id").alias("node"), F.first("points").alias("points"))
         .withColumn("n", F.size("points"))
     )
+    nodes = written(nodes, "nodes")
     listed = written(_listed(nodes), "listed")
+    shared = written(_shared(listed, nodes), "shared")
+    discard(listed)
     end = F.struct("node", "n", "point")
-    ends = listed.groupBy("entry").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).filter(F.col("lo.node") < F.col("hi.node"))
-    shared = listed.join(ends, "entry")
-    stars = [_match(shared, F.col(f"{e}.node"), F.col(f"{e}.n"), F.col(f"{e}.point")) for e in ("lo", "hi")]
+    ends = shared.groupBy("entry").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
+    starred = shared.join(ends, "entry")
+    stars = [_match(starred, F.col(f"{e}.node"), F.col(f"{e}.n"), F.col(f"{e}.point")) for e in ("lo", "hi")]
     links = written(_links(stars[0].union(stars[1])), "links")
     found = components(links)
 
-    classed = listed.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classed = shared.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     several = classed.groupBy("entry").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("m"))
     several = several.filter(F.col("c0") < F.col("c1")).select("entry", "m")
     opened = written(classed.join(several, "entry").select("entry", "node", "n", "point", "class", "m"), "open")
-    rest = written(_links(_match(_across(opened, block), F.col("node2"), F.col("n2"), F.col("point2"))), "links")
+    discard(shared)
+    apart = (F.col("class") != F.col("class2")) & _near(F.col("point"), F.col("point2"))
+    across = pairs_within(opened, "entry", "m", block).filter(apart)
+    rest = written(_links(_match(across, F.col("node2"), F.col("n2"), F.col("point2"))), "links")
+    discard(opened)
     if not rest.isEmpty():
         found = components(links.union(rest))
     by_digest = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
