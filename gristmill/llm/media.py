@@ -30,13 +30,12 @@ from pyspark.sql import functions as F
 from gristmill.llm import hashing
 from gristmill.llm._shared import discard, pieces, table, written
 from gristmill.llm.graphs import components, pairs_within
-from gristmill.llm.jaccard import bucket_counts
 
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
 AREA_PER_POINT, LEAST_POINTS = 3072, 16
 MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT = 20, 4, 0.3, 16
-#: log2 of the width of the table of keys, and points of an entry that meet in one task.
-KEY_BITS, BLOCK = 23, 1024
+#: Points of an entry that meet in one task.
+BLOCK = 1024
 
 _rng = np.random.default_rng(11)
 _y, _x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -153,29 +152,19 @@ def _flat_points(batch) -> np.ndarray:
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """entry, node, i: an image's points, by number, under their keys; keys that one point alone has are left out."""
-
-    def places(batch):
-        if len(points := _flat_points(batch)):
-            yield (_keys(points).ravel() >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-
-    counts = bucket_counts(nodes.select("points"), places, 1 << KEY_BITS, "<u1")
-    several = nodes.sparkSession.sparkContext.broadcast(np.packbits(counts > 1))  # of fixed size
+    """entry, node, i: an image's points, by number, under their keys."""
 
     def run(batches):
-        known = np.unpackbits(several.value).view(bool)
         for b in pieces(batches):
             points = _flat_points(b)
-            if not len(points):
-                continue
-            sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(b.num_rows), sizes)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keys = _keys(points)
-            at, t = np.nonzero(known[(keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at, t].view(np.int64)), b.column(1).take(pa.array(owner[at])), pa.array(number[at].astype(np.int32))], ["entry", "node", "i"]
-            )
+            if len(points):
+                sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(b.num_rows), sizes)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = np.repeat(np.arange(len(owner)), 4)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_keys(points).ravel().view(np.int64)), b.column(1).take(pa.array(owner[at])), pa.array(number[at].astype(np.int32))], ["entry", "node", "i"]
+                )
 
     return nodes.select("points", "node").mapInArrow(run, "entry long, node long, i int")
 
@@ -245,6 +234,8 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("n", F.size("points"))
     )
     nodes = written(nodes, "nodes")
+    rows = written(described.select("id", "digest", F.size("points").alias("n_points")), "images")
+    discard(described)
     listed = written(_listed(nodes), "listed")
     shared = written(_shared(listed, nodes), "shared")
     discard(listed)
@@ -267,7 +258,7 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
     if not rest.isEmpty():
         found = components(links.union(rest))
     by_digest = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
-    out = described.select("id", "digest", F.size("points").alias("n_points")).join(by_digest, "digest", "left")
+    out = rows.join(by_digest, "digest", "left")
     return out.select("id", F.col("n_points").cast("long").alias("n_points"), F.coalesce("class", "id").alias("class_id"))
 
 
