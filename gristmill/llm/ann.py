@@ -54,9 +54,9 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
         if sure.shape[1] > k:  # k candidates score at least this; one more as the query itself may be among them
             floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
         rows, cols = np.nonzero((near + off >= floor[:, None]) & ~own)
-        for at in range(0, len(rows), 1 << 16):
-            r, j = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)] + lo
-            scores = (q[r] * c[j]).sum(axis=1)
+        for at in range(0, len(rows), 1 << 14):
+            r, j = rows[at : at + (1 << 14)], cols[at : at + (1 << 14)] + lo
+            scores = np.add.accumulate(q[r] * c[j], axis=1)[:, -1]  # components in order, as any plain loop adds them
             for i, s, v in zip(r.tolist(), scores.tolist(), cid[j].tolist(), strict=True):
                 heap = heaps[i]
                 if len(heap) < k:
@@ -131,3 +131,10 @@ def nearest(
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+#: The query's rows by comparing all pairs; for small tables.
+OP8_SQL = """WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+  v AS (SELECT vec_id, min(e) AS e FROM x WHERE len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0 GROUP BY 1),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""

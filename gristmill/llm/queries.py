@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_jaccard_join": jaccard.OP2_SQL, "op6_shards": shards.OP6_SQL, "op7_pii": pii.oracle_sql()}
+    return {"op2_jaccard_join": jaccard.OP2_SQL, "op6_shards": shards.OP6_SQL, "op7_pii": pii.oracle_sql(), "op8_nearest": ann.OP8_SQL}

@@ -7,7 +7,9 @@ fan-in) into files of the target size, one task a run, streaming row groups from
 A task writes under a name of its own; what a lost task leaves is in no manifest and goes with vacuum().
 
 Defined results for odd input: rows come back as they went in, nulls, repeated rows and extra columns included;
-an empty table makes no shard and a version without any; its schema is kept in the manifest.
+an empty table makes no shard and a version without any; the manifest keeps the schema, the columns of all that was
+appended: a shard that lacks one reads as nulls there, and a column that comes with another type is refused. Long texts
+make larger files, not more memory than a row group; rows of one key stay as many as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from gristmill.llm._shared import fresh_path, hadoop, store_of, table
 
@@ -35,6 +37,15 @@ class Shard:
     n_bytes: int
 
 
+def merged_schema(old: StructType, new: StructType) -> StructType:
+    """The columns of both, by name, all nullable; ValueError if a column has two types."""
+    kinds = {f.name: f.dataType for f in old}
+    for f in new:
+        if kinds.setdefault(f.name, f.dataType) != f.dataType:
+            raise ValueError(f"column {f.name} is {kinds[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
+
+
 @dataclass
 class Manifest:
     version: int
@@ -85,6 +96,7 @@ class ShardStore:
     def append(self, rows: DataFrame, shard_rows: int = ARRIVAL_ROWS) -> Manifest:
         """Rows become new shards of at most shard_rows rows; earlier shards stay as they are."""
         last = self.manifest()
+        schema = merged_schema(StructType.fromJson(json.loads(last.schema)) if last else StructType(), rows.schema)
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", shard_rows).parquet(folder)
         counts = {
@@ -93,7 +105,7 @@ class ShardStore:
         }  # one row a file
         sizes = {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder))}
         new = [Shard(f"{folder}/{name}", n, sizes[name]) for name, n in sorted(counts.items())]
-        return self._commit(Manifest(last.version + 1 if last else 1, rows.schema.json(), (last.shards if last else []) + new))
+        return self._commit(Manifest(last.version + 1 if last else 1, schema.json(), (last.shards if last else []) + new))
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -166,25 +178,30 @@ def plan_runs(sizes: list[int], target: int, fan_in: int) -> list[list[int]]:
 
 
 def merge_files(paths: list[str], name: str) -> tuple[int, int]:
-    """Append the rows of Parquet files to a new one, a row group in memory at a time."""
-    writer, held, size, n_rows = None, [], 0, 0
-    fs, out = store_of(name)
+    """Append the rows of Parquet files to a new one, a row group in memory at a time; columns that a file lacks are null."""
+    schemas = []
     for p in paths:
         source, path = store_of(p)
         with source.open_input_file(path) as f:
-            file = pq.ParquetFile(f)
-            for batch in file.iter_batches(batch_size=1024):
-                if writer is None:
-                    writer = pq.ParquetWriter(out, file.schema_arrow, filesystem=fs, compression="zstd")
-                held.append(batch)
-                size += batch.nbytes
-                n_rows += batch.num_rows
-                if size >= ROW_GROUP_BYTES:
-                    writer.write_table(pa.Table.from_batches(held), row_group_size=n_rows)
-                    held, size = [], 0
-    if held:
-        writer.write_table(pa.Table.from_batches(held), row_group_size=n_rows)
-    writer.close()
+            schemas.append(pq.read_schema(f).remove_metadata())
+    schema = pa.unify_schemas(schemas)
+    held, size, n_rows = [], 0, 0
+    fs, out = store_of(name)
+    with pq.ParquetWriter(out, schema, filesystem=fs, compression="zstd") as writer:
+        for p in paths:
+            source, path = store_of(p)
+            with source.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=1024):
+                    there = batch.schema.names
+                    columns = [batch.column(c.name) if c.name in there else pa.nulls(batch.num_rows, c.type) for c in schema]
+                    held.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+                    size += batch.nbytes
+                    n_rows += batch.num_rows
+                    if size >= ROW_GROUP_BYTES:
+                        writer.write_table(pa.Table.from_batches(held, schema), row_group_size=n_rows)
+                        held, size = [], 0
+        if held:
+            writer.write_table(pa.Table.from_batches(held, schema), row_group_size=n_rows)
     return n_rows, fs.get_file_info(out).size
 
 

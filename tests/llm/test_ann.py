@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import ann
@@ -53,3 +54,16 @@ def test_vectors_that_take_no_part(spark):
     got = grouped(ann.nearest(df, F.col("id") % 20 == 0, 20).collect())
     assert got == {0: [(4, 0.5), (5, -1.0)]}
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_sql(spark, sf):
+    """Scores too are equal to the last bit: both add up the components in order."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '/root/testdata/{sf}/embeddings.parquet'")
+    rel = con.execute(ann.OP8_SQL)
+    names = [c[0] for c in rel.description]
+    got = ann.op8_nearest(spark, f"/root/testdata/{sf}").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())

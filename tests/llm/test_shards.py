@@ -56,3 +56,17 @@ def test_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert got == sorted(con.execute(shards.OP6_SQL).fetchall())
+
+
+def test_columns_that_come_and_go(spark, tmp_path):
+    store = shards.ShardStore(spark, f"{tmp_path}/s")
+    store.append(spark.createDataFrame([(1, "a", 1.5), (1, "a", 1.5)], "id long, text string, extra double"), 1)
+    store.append(spark.createDataFrame([(2, "x" * 200_000), (3, None)], "id long, text string"), 1)
+    want = [(1, "a", 1.5), (1, "a", 1.5), (2, "x" * 200_000, None), (3, None, None)]
+    assert sorted((tuple(r) for r in store.read().select("id", "text", "extra").collect()), key=lambda r: r[0]) == want
+    store.compact(fan_in=2)
+    store.vacuum()
+    assert len(store.manifest().shards) < 4
+    assert sorted((tuple(r) for r in store.read().select("id", "text", "extra").collect()), key=lambda r: r[0]) == want
+    with pytest.raises(ValueError, match="column id"):
+        store.append(spark.createDataFrame([("1",)], "id string"))
