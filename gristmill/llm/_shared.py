@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,12 +61,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+@contextmanager
+def sized_tasks(spark: SparkSession) -> Iterator[None]:
+    """Merge shuffled partitions up to their advisory size, so that a table has files by its bytes and not by the number of cores.
+
+    A local file system without Hadoop's native library starts four programs for every file that it creates.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives the loss of any executor."""
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    with sized_tasks(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
