@@ -75,17 +75,32 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _by_id(ids: np.ndarray) -> np.ndarray:
+    """The order that sorts small ids and keeps ties; of 16 bits, numpy sorts by radix."""
+    return np.argsort(ids.astype(np.int16), kind="stable")
+
+
 def log_probs(net: Net, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target given its neighbours; around: (2 * SIDE, n) ids."""
+    cls = target // PER_CLASS
+    order = _by_id(cls)
+    around, cls, word = around[:, order], cls[order], target[order] % PER_CLASS
     h = np.tanh(sum(net.context[j][around[j]] for j in range(2 * SIDE)) + net.bias)
-    cls, word = target // PER_CLASS, target % PER_CLASS
-    out = _log_softmax(h @ net.classes + net.class_bias)[np.arange(len(target)), cls]
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    logs = _log_softmax(h @ net.classes + net.class_bias)[np.arange(len(cls)), cls]
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            out[at] += _log_softmax(h[at] @ net.words[c] + net.word_bias[c])[np.arange(len(at)), word[at]]
+        lo, hi = bounds[c], bounds[c + 1]
+        if lo < hi:
+            logs[lo:hi] += _log_softmax(h[lo:hi] @ net.words[c] + net.word_bias[c])[np.arange(hi - lo), word[lo:hi]]
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -103,31 +118,31 @@ class Trainer:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
+        cls = target // PER_CLASS
+        order = _by_id(cls)
+        around, cls, word = around[:, order], cls[order], target[order] % PER_CLASS
         h = np.tanh(sum(net.context[j][around[j]] for j in range(2 * SIDE)) + net.bias)
-        cls, word = target // PER_CLASS, target % PER_CLASS
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        d = np.exp(_log_softmax(h @ net.classes + net.class_bias))
+        bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
+        d = _softmax(h @ net.classes + net.class_bias)
         d[np.arange(n), cls] -= 1
         d /= n
         dh = d @ net.classes.T
         g_classes, g_class_bias = h.T @ d, d.sum(axis=0)
         for c in range(CLASSES):
-            at = order[bounds[c] : bounds[c + 1]]
-            if len(at):
-                hc = h[at]
-                dw = np.exp(_log_softmax(hc @ net.words[c] + net.word_bias[c]))
-                dw[np.arange(len(at)), word[at]] -= 1
+            lo, hi = bounds[c], bounds[c + 1]
+            if lo < hi:
+                dw = _softmax(h[lo:hi] @ net.words[c] + net.word_bias[c])
+                dw[np.arange(hi - lo), word[lo:hi]] -= 1
                 dw /= n
-                dh[at] += dw @ net.words[c].T
-                self._apply(4, hc.T @ dw, c)
+                dh[lo:hi] += dw @ net.words[c].T
+                self._apply(4, h[lo:hi].T @ dw, c)
                 self._apply(5, dw.sum(axis=0), c)
         self._apply(2, g_classes)
         self._apply(3, g_class_bias)
         dh *= 1 - h * h
         self._apply(1, dh.sum(axis=0))
         for j in range(2 * SIDE):
-            by = np.argsort(around[j], kind="stable")
+            by = _by_id(around[j])
             ids = around[j][by]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             self._apply(0, np.add.reduceat(dh[by], first, axis=0), (j, ids[first]))
@@ -271,8 +286,9 @@ def within_ids(texts: DataFrame, known: np.ndarray, counts: DataFrame) -> DataFr
     total = F.array(*(F.lit(float(np.log(max(n + t, 1)))) for n, t in zip(seen, kinds, strict=True)))
     unseen = F.array(*(F.lit(float(np.log(t / (n + t)) if t else 0.0) - float(np.log(2.0**64 / HASHED))) for n, t in zip(seen, kinds, strict=True)))
     at = place.cast("int")
-    log_prob = F.when(F.col("n").isNull(), unseen[at]).otherwise(F.log("n") - total[at])
-    found = texts.select("key", "text").mapInArrow(rare, "key binary, word long, k int").join(counts, "word", "left")
+    log_prob = F.coalesce("seen", unseen[at])
+    known_words = counts.select("word", (F.log("n") - total[at]).alias("seen"))
+    found = texts.select("key", "text").mapInArrow(rare, "key binary, word long, k int").join(known_words, "word", "left")
     copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
     summed = found.groupBy("key").agg(F.sum(F.col("k") * log_prob).alias("within"))
     return summed.join(copies, "key").select("key", (F.col("within") / F.col("copies")).alias("within"))
