@@ -63,17 +63,24 @@ def small_batches(spark: SparkSession) -> None:
 
 @contextmanager
 def sized_tasks(spark: SparkSession) -> Iterator[None]:
-    """Merge shuffled partitions up to their advisory size, so that a table has files by its bytes and not by the number of cores.
+    """Settings under which tables are written: few files, and shuffles that go when the table is there.
 
-    A local file system without Hadoop's native library starts four programs for every file that it creates.
+    Shuffled partitions are merged up to their advisory size, so that a table has files by its bytes and not by the number
+    of cores: a local file system without Hadoop's native library starts four programs for every file that it creates.
+    A table that is written needs its shuffles no more, a lost executor included, so Spark may delete their files at once.
     """
-    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    wanted = {
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
