@@ -43,6 +43,7 @@ def pairs_within(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     k = F.ceil(F.col(size) / block).cast("int")
     dealt = rows.withColumn("_own", F.pmod(F.xxhash64("node"), k).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), k - 1)))
     dealt = dealt.select(*rows.columns, "_own", F.least("_own", "_to").alias("_i"), F.greatest("_own", "_to").alias("_j"))
+    dealt = dealt.repartition(key, "_i", "_j")  # once, for both sides
     other = dealt.select(*(F.col(c).alias(f"{c}2") for c in dealt.columns))
     meet = (F.col(key) == F.col(f"{key}2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2"))
     once = (F.col("_i") == F.col("_j")) | (F.col("_own") != F.col("_own2"))

@@ -2,13 +2,14 @@
 
 Corners (Harris) are found at two scales; the strongest, in proportion to the area, are kept. Each gets an
 orientation from the intensity around it, and 128 binary tests rotated by it. Descriptors are cut into four
-32-bit keys, one for each Hamming table, so two that differ in up to three bits share a key for certain. In a
-table entry every image is matched with the least and the greatest image; matches of two images vote for a
-rotation, scale and shift, and images with enough agreeing keypoints, a share of the smaller image's, are copies.
-Images that linked become one class; entries that are still in several classes are then compared pair by pair
-across classes, with every point and however long they are. All entries that two images of different classes share are
-among them, so the matches of two images are judged together, also those that the stars saw. Entries of more than
-``BLOCK`` points are dealt into blocks, and every two blocks of an entry meet in a task of their own.
+32-bit keys, one for each Hamming table, so two that differ in up to three bits share a key for certain. Tables
+are built in two passes over packed keys dealt into buckets: one finds the keys that several images have, the other
+lists the points under these. In a table entry every image is matched with a pivot image; pairs with enough matches
+are compared by all their points, whose matches vote for a rotation, scale and shift, and images with enough agreeing
+points, a share of the smaller image's, are copies. Images that linked become one class; entries that are still in
+several classes, however long they are, then give the pairs across classes: an image's most crowded points need not look
+for partners, as far as enough others are left to find every image that could agree. Entries of more than ``BLOCK``
+points are dealt into blocks, and every two blocks of an entry meet in a task of their own.
 
 An image is a two-dimensional array of bytes, in a column as a binary portable graymap (P5). Defined results for
 odd input: null, empty or undecodable images have no keypoints and are copies of nothing; images with equal pixels
@@ -21,10 +22,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
@@ -34,8 +36,12 @@ from gristmill.llm.graphs import components, pairs_within
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
 AREA_PER_POINT, LEAST_POINTS = 3072, 16
 MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT = 20, 4, 0.3, 16
-#: Points of an entry that meet in one task.
-BLOCK = 1024
+#: Points of an entry that meet in one task, and points of an entry that is compared without asking for its classes.
+BLOCK, SHORT = 1024, 8
+#: Of the points that must agree, how many have to be found before two images of different classes are compared.
+SPARE = 3
+#: Bits of a table's key with the table's number; keys that a task packs at once; keys of a bucket, and least buckets.
+KEY_BITS, GROUP_KEYS, BUCKET_KEYS, LEAST_BUCKETS = 34, 1 << 20, 1 << 21, 64
 
 _rng = np.random.default_rng(11)
 _y, _x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -48,6 +54,12 @@ _PLACES = np.rint(
 ).astype(np.int64)
 
 
+@lru_cache(maxsize=64)
+def _steps(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The disc in a flat image of a width, and the tests' places in its sums, which are two columns fewer."""
+    return _DISC[0] * width + _DISC[1], _PLACES[..., 0] * (width - 2) + _PLACES[..., 1]
+
+
 def encode_graymap(image: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
@@ -97,31 +109,62 @@ def keypoints(image: np.ndarray | None, area: int = AREA_PER_POINT) -> np.ndarra
             break
         y, x = _points(level, max(LEAST_POINTS, level.size // area))
         if len(y):
-            patch = level[y[:, None] + _DISC[0], x[:, None] + _DISC[1]]
+            disc, places = _steps(level.shape[1])
+            patch = level.ravel().take((y * level.shape[1] + x)[:, None] + disc)
             angle = np.arctan2(patch @ _DISC[0].astype(np.float32), patch @ _DISC[1].astype(np.float32))
             turn = np.rint(angle / (2 * math.pi / TURNS)).astype(np.int64) % TURNS
             smooth = _box(level)
-            at = _PLACES[turn]
-            values = smooth[y[:, None, None] - 1 + at[..., 0], x[:, None, None] - 1 + at[..., 1]]
+            values = smooth.ravel().take(((y - 1) * smooth.shape[1] + x - 1)[:, None, None] + places[turn])
             bits = np.packbits(values[:, 0] < values[:, 1], axis=1).view("<i8").reshape(len(y), 2)
             k = 1 << octave
             rows.append(np.column_stack([x * k, y * k, np.full(len(y), octave), turn, bits]))
-        h, w = level.shape[0] // 2 * 2, level.shape[1] // 2 * 2
-        level = level[:h, :w].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+        if octave == 0:
+            h, w = level.shape[0] // 2 * 2, level.shape[1] // 2 * 2
+            level = (level[0:h:2, 0:w:2] + level[0:h:2, 1:w:2] + level[1:h:2, 0:w:2] + level[1:h:2, 1:w:2]) * np.float32(0.25)
     return np.concatenate(rows)
 
 
 POINT = "struct<x:int,y:int,octave:int,turn:int,d0:long,d1:long>"
+NAMES = ["x", "y", "octave", "turn", "d0", "d1"]
+#: Order, and types, in which an image's points are packed, column after column.
+LAYOUT = (("d0", "<i8"), ("d1", "<i8"), ("x", "<i4"), ("y", "<i4"), ("octave", "u1"), ("turn", "u1"))
+POINT_BYTES = 26
+
+
+def pack_points(columns: dict[str, np.ndarray]) -> bytes:
+    return b"".join(columns[name].astype(kind).tobytes() for name, kind in LAYOUT)
+
+
+def unpack_points(data: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(data) // POINT_BYTES, 0, {}
+    for name, kind in LAYOUT:
+        out[name] = np.frombuffer(data, kind, n, at)
+        at += out[name].nbytes
+    return out
+
+
+def packed(described: DataFrame) -> DataFrame:
+    """id, digest, points: binary; of rows whose points are arrays of POINT, or packed already."""
+    if described.schema["points"].dataType.typeName() == "binary":
+        return described
+
+    def run(batches):
+        for b in pieces(batches):
+            flat = b.column(2).flatten()
+            columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in NAMES}
+            bounds = np.concatenate(([0], np.cumsum(b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
+            data = [pack_points({name: c[lo:hi] for name, c in columns.items()}) for lo, hi in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["id", "digest", "points"])
+
+    return described.select("id", "digest", "points").mapInArrow(run, "id long, digest binary, points binary")
 
 
 def describe(
-    rows: DataFrame, id_col: str, column: str, to_images: Callable = lambda values: map(decode_graymap, values), area: int = AREA_PER_POINT
+    rows: DataFrame, id_col: str, column: str, to_images: Callable = lambda values: map(decode_graymap, values), area: int = AREA_PER_POINT, pack: bool = False
 ) -> DataFrame:
-    """id, digest (of the pixels, null without), points: array of POINT. to_images: column values to arrays or None."""
+    """id, digest (of the pixels, null without), points: array of POINT, or packed. to_images: column values to arrays or None."""
     import xxhash
 
-    names = ["x", "y", "octave", "turn", "d0", "d1"]
-
     def run(batches):
         for b in pieces(batches):
             digests, points = [], []
@@ -129,132 +172,296 @@ def describe(
                 points.append(keypoints(image, area))
                 some = image is not None and image.size
                 digests.append(xxhash.xxh3_128_digest(np.ascontiguousarray(image).tobytes() + b"%d" % image.shape[1]) if some else None)
+            if pack:
+                data = [pack_points(dict(zip(NAMES, p.T))) for p in points]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["id", "digest", "points"])
+                continue
             flat = np.concatenate(points) if points else np.zeros((0, 6), np.int64)
             kinds = [pa.int32()] * 4 + [pa.int64()] * 2
-            structs = pa.StructArray.from_arrays([pa.array(flat[:, i].astype(k.to_pandas_dtype())) for i, k in enumerate(kinds)], names)
+            structs = pa.StructArray.from_arrays([pa.array(flat[:, i].astype(k.to_pandas_dtype())) for i, k in enumerate(kinds)], NAMES)
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in points]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), structs)], ["id", "digest", "points"]
             )
 
-    return rows.select(rows[id_col].cast("long").alias("id"), rows[column]).mapInArrow(run, f"id long, digest binary, points array<{POINT}>")
+    return rows.select(rows[id_col].cast("long").alias("id"), rows[column]).mapInArrow(run, f"id long, digest binary, points {'binary' if pack else f'array<{POINT}>'}")
 
 
 def _keys(points: np.ndarray) -> np.ndarray:
-    """The four table keys of descriptors given as two 64-bit columns."""
+    """The four table keys of descriptors given as two 64-bit columns: 32 bits and the table's two, mixed one to one."""
     halves = np.ascontiguousarray(points).view("<u4").reshape(len(points), 4).astype(np.uint64)
-    return hashing.mix(halves + (np.arange(4, dtype=np.uint64) << np.uint64(32)))
+    x = halves + (np.arange(4, dtype=np.uint64) << np.uint64(32))
+    for odd in (0x2545F4915, 0x1B8735939):
+        x ^= x >> np.uint64(17)
+        x = x * np.uint64(odd) & np.uint64((1 << KEY_BITS) - 1)
+    return x ^ (x >> np.uint64(17))
 
 
-def _flat_points(batch) -> np.ndarray:
-    points = batch.column(0).flatten()
-    return np.column_stack([points.field("d0").to_numpy(zero_copy_only=False), points.field("d1").to_numpy(zero_copy_only=False)])
+def _descriptors(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both words of the descriptors of several images' packed points, and the images' numbers of points."""
+    found = [unpack_points(d) for d in data]
+    words = [np.concatenate([f[name] for f in found]) if found else np.zeros(0, np.int64) for name in ("d0", "d1")]
+    return np.column_stack(words), np.array([len(f["d0"]) for f in found], np.int64)
 
 
-def _listed(nodes: DataFrame) -> DataFrame:
-    """entry, node, i: an image's points, by number, under their keys."""
+def _groups(batches):
+    """(keys, node, i) of the points of many images at once, ordered by key and node. An image is in one group alone."""
+    held, n = [], 0
+    for b in pieces(batches):
+        points, sizes = _descriptors(b.column(0).to_pylist())
+        if len(points):
+            number = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            held.append((_keys(points).ravel().astype(np.int64), np.repeat(b.column(1).to_numpy(), 4 * sizes), np.repeat(number, 4)))
+            n += 4 * len(points)
+        if n >= GROUP_KEYS:
+            yield _ordered(held)
+            held, n = [], 0
+    if held:
+        yield _ordered(held)
 
-    def run(batches):
-        for b in pieces(batches):
-            points = _flat_points(b)
-            if len(points):
-                sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                owner = np.repeat(np.arange(b.num_rows), sizes)
-                number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                at = np.repeat(np.arange(len(owner)), 4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_keys(points).ravel().view(np.int64)), b.column(1).take(pa.array(owner[at])), pa.array(number[at].astype(np.int32))], ["entry", "node", "i"]
-                )
 
-    return nodes.select("points", "node").mapInArrow(run, "entry long, node long, i int")
+def _ordered(held: list) -> list[np.ndarray]:
+    columns = [np.concatenate(c) for c in zip(*held)]
+    order = np.lexsort((columns[1], columns[0]))
+    return [c[order] for c in columns]
 
 
-def _shared(listed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """entry, node, n, point of the entries that two images or more have.
+def _pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ascending keys as differences, and columns, byte by byte of equal weight, compressed."""
+    rows = np.stack([np.diff(keys, prepend=0), *columns]).astype("<i8")
+    planes = rows.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
-    Entries and numbers of points are shuffled first; only what is shared is joined with its point.
-    """
-    several = listed.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("entry")
-    rows = listed.join(several, "entry").join(nodes.select("node", "n", "points"), "node")
-    return rows.select("entry", "node", "n", F.get("points", F.col("i")).alias("point"))
+
+def _unpack(data: bytes, n: int, k: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 8 * n * k, codec="zstd", asbytes=True), np.uint8).reshape(k, 8, n)
+    rows = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(k, n)
+    return [np.cumsum(rows[0]), *rows[1:]]
+
+
+def _bucketed(keys: np.ndarray, buckets: int):
+    """(bucket, start, end) of ascending keys."""
+    of = keys * buckets >> KEY_BITS
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(keys)])).tolist()
+    yield from zip(of[cuts[:-1]].tolist(), cuts, cuts[1:])
 
 
-def _near(p: Column, q: Column) -> Column:
-    return F.bit_count(p["d0"].bitwiseXOR(q["d0"])) + F.bit_count(p["d1"].bitwiseXOR(q["d1"])) <= MAX_DISTANCE
+PACKED = "bucket long, kind int, at long, n int, data binary"
 
 
-def _packed(p: Column) -> Column:
-    """A point's place, octave and turn as one number: 32 bits, 20, 1 and 5."""
-    part = lambda name, bits: F.shiftleft(p[name].cast("long"), bits)
-    return part("y", 26).bitwiseOR(part("x", 6)).bitwiseOR(part("octave", 5)).bitwiseOR(p["turn"].cast("long"))
+def _packed_batch(rows: list):
+    return pa.RecordBatch.from_pydict(
+        {name: pa.array([r[j] for r in rows], kind) for j, (name, kind) in enumerate(zip(("bucket", "kind", "at", "n", "data"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())))}
+    )
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(keys, prepend=-1))
 
 
-def _unpacked(c: str) -> tuple[Column, Column, Column, Column]:
-    """x, y, octave, turn."""
-    part = lambda shift, bits: F.shiftright(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1))
-    return part(6, 20), F.shiftright(F.col(c), 26), part(5, 1), part(0, 5)
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys, points, whether several images have them: of parts that hold different images."""
+    keys, counts, several = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts, several = keys[order], counts[order], several[order]
+    first = _runs(keys)
+    if not len(first):
+        return keys, counts, several
+    return keys[first], np.add.reduceat(counts, first), np.maximum.reduceat(several, first) | (np.diff(np.append(first, len(keys))) > 1)
 
 
-def _links(matches: DataFrame) -> DataFrame:
-    """(a, b) of images with enough agreeing matches; matches: a, b, n (of the smaller), p, q (points of a and b).
+def _shared_keys(nodes: DataFrame, buckets: int) -> DataFrame:
+    """The keys that several images have, with their numbers of points, packed by bucket.
 
-    Matches are dealt by pair once, as two numbers; all that follows stays where they are.
+    A task holds the distinct keys of one bucket, however many images have one of them.
     """
-    near = matches.filter(_near(F.col("p"), F.col("q"))).select("a", "b", "n", _packed(F.col("p")).alias("p"), _packed(F.col("q")).alias("q"))
-    near = near.repartition("a", "b")
-    (px, py, po, pt), (qx, qy, qo, qt) = _unpacked("p"), _unpacked("q")
-    turn = F.pmod(qt - pt, F.lit(TURNS))
-    angle, scale = turn * (2 * math.pi / TURNS), F.pow(F.lit(2.0), qo - po)
-    dx = qx - scale * (px * F.cos(angle) - py * F.sin(angle))
-    dy = qy - scale * (px * F.sin(angle) + py * F.cos(angle))
+
+    def listed(batches):
+        for keys, node, _ in _groups(batches):
+            first = _runs(keys)
+            counts = np.diff(np.append(first, len(keys)))
+            several = np.maximum.reduceat(node, first) != np.minimum.reduceat(node, first)
+            own = keys[first]
+            yield _packed_batch([(bucket, 0, 0, hi - lo, _pack(own[lo:hi], counts[lo:hi], several[lo:hi])) for bucket, lo, hi in _bucketed(own, buckets)])
+
+    def reduced(batches):
+        bucket, parts, held = None, [], 0
+
+        def done():
+            keys, counts, several = _merged(parts)
+            some = several.astype(bool)
+            return [(bucket, 0, 0, int(some.sum()), _pack(keys[some], counts[some]))] if some.any() else []
+
+        for b in batches:
+            for row in b.to_pylist():
+                if row["bucket"] != bucket:
+                    if parts and (out := done()):
+                        yield _packed_batch(out)
+                    bucket, parts, held = row["bucket"], [], 0
+                parts.append(_unpack(row["data"], row["n"], 3))
+                held += row["n"]
+                if held > BUCKET_KEYS:
+                    parts = [_merged(parts)]
+                    held = 0
+        if parts and (out := done()):
+            yield _packed_batch(out)
+
+    dealt = nodes.select("points", "node").mapInArrow(listed, PACKED)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduced, PACKED)
+
+
+def _entries(nodes: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
+    """entry, node, i, m, pivot, j: points under keys that several images have, the key's number of points, and its pivot.
+
+    An entry's pivot is the point that came first, of an image early in the order of groups of images; only rows of shared
+    keys leave the task, which holds the shared keys of one bucket and streams everything else.
+    """
+
+    def listed(batches):
+        for own, node, i in _groups(batches):
+            at = int(node.min())
+            yield _packed_batch([(bucket, 1, at, hi - lo, _pack(own[lo:hi], node[lo:hi], i[lo:hi])) for bucket, lo, hi in _bucketed(own, buckets)])
+
+    def found(batches):
+        bucket, shared = None, None
+        for b in batches:
+            for row in b.to_pylist():
+                if row["kind"] == 0:
+                    bucket, (shared, counts) = row["bucket"], _unpack(row["data"], row["n"], 2)
+                    pivot, j, fresh = np.zeros_like(shared), np.zeros_like(shared), np.ones(len(shared), bool)
+                    continue
+                if row["bucket"] != bucket:
+                    continue  # no key of its bucket is shared
+                own, node, i = _unpack(row["data"], row["n"], 3)
+                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+                hit = shared[at] == own
+                at, node, i = at[hit], node[hit], i[hit]
+                first = _runs(at)
+                first = first[fresh[at[first]]]
+                pivot[at[first]], j[at[first]], fresh[at[first]] = node[first], i[first], False
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shared[at]), pa.array(node), pa.array(i.astype(np.int32)), pa.array(counts[at]), pa.array(pivot[at]), pa.array(j[at].astype(np.int32))],
+                    ["entry", "node", "i", "m", "pivot", "j"],
+                )
+
+    dealt = nodes.select("points", "node").mapInArrow(listed, PACKED).union(keys)
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "kind", "at")
+    return dealt.mapInArrow(found, "entry long, node long, i int, m long, pivot long, j int")
+
+
+def _candidates(matches: DataFrame, least: int) -> DataFrame:
+    """(a, b) of two images of which at least so many points of a match; matches: a, b, i (the point of a)."""
+    dealt = matches.repartition("a", "b").distinct()
+    return dealt.groupBy("a", "b").count().filter(F.col("count") >= least).select("a", "b")
+
+
+def _agree(one: bytes, other: bytes) -> bool:
+    """Whether enough points of two images match under one rotation, scale and shift."""
+    p, q = ([d[name] for name in NAMES] for d in (unpack_points(one), unpack_points(other)))
+    need = max(LEAST_INLIERS, LEAST_SHARE * min(len(p[0]), len(q[0])))
+    words = [np.column_stack(d[4:]).view("<u4").reshape(-1, 4) for d in (p, q)]
+    at = []
+    step = max(1, (1 << 20) // len(q[0]))
+    for lo in range(0, len(p[0]), step):
+        some = slice(lo, lo + step)
+        far = sum(np.bitwise_count((p[d][some, None] ^ q[d]).view(np.uint64)).astype(np.int16) for d in (4, 5))
+        meet = (words[0][some, None] == words[1]).any(axis=2) & (far <= MAX_DISTANCE)
+        x, y = np.nonzero(meet)
+        at.append((x + lo, y))
+    x, y = (np.concatenate(c) for c in zip(*at))
+    if not len(x) or 1 + np.count_nonzero(np.diff(x)) < need:
+        return False
+    px, py, po, pt = (c[x].astype(np.int64) for c in p[:4])
+    qx, qy, qo, qt = (c[y].astype(np.int64) for c in q[:4])
+    turn, scale = (qt - pt) % TURNS, 2.0 ** (qo - po)
+    angle = turn * (2 * math.pi / TURNS)
+    dx = qx - scale * (px * np.cos(angle) - py * np.sin(angle))
+    dy = qy - scale * (px * np.sin(angle) + py * np.cos(angle))
+    place = ((py << 20) + px << 1) + po
     # Two grids, half a cell apart, so that no shift is always on a border.
-    grids = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.floor((F.col("dx") + g) / SHIFT).alias("u"), F.floor((F.col("dy") + g) / SHIFT).alias("v")) for g in (0, SHIFT // 2))))
-    moved = near.select("a", "b", "n", F.shiftright("p", 5).alias("point"), turn.alias("turn"), (qo - po).alias("s"), dx.alias("dx"), dy.alias("dy"))
-    votes = moved.select("a", "b", "n", "point", "turn", "s", grids.alias("at")).distinct()
-    models = votes.groupBy("a", "b", "turn", "s", "at").agg(F.first("n").alias("n"), F.count("*").alias("inliers"))
-    return models.filter((F.col("inliers") >= LEAST_INLIERS) & (F.col("inliers") >= LEAST_SHARE * F.col("n"))).select("a", "b").distinct()
+    for g in (0, SHIFT // 2):
+        cells = [turn, qo - po, np.floor((dx + g) / SHIFT).astype(np.int64), np.floor((dy + g) / SHIFT).astype(np.int64)]
+        votes = np.unique(np.column_stack([*cells, place]), axis=0)
+        models = np.flatnonzero((np.diff(votes[:, :4], axis=0, prepend=votes[:1, :4] - 1) != 0).any(axis=1))
+        if np.diff(np.append(models, len(votes))).max() >= need:
+            return True
+    return False
+
+
+def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) whose points agree; points are fetched once for each image of a pair."""
+    own = nodes.select("node", "points")
 
+    def run(batches):
+        for b in pieces(batches):
+            keep = [_agree(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    fetched = candidates.join(own.withColumnRenamed("node", "a").withColumnRenamed("points", "p"), "a")
+    fetched = fetched.join(own.withColumnRenamed("node", "b").withColumnRenamed("points", "q"), "b")
+    return fetched.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
-def _match(listed: DataFrame, node: Column, n: Column, point: Column) -> DataFrame:
-    """Matches of listed points with another image's, the smaller id first."""
-    low = F.col("node") < node
-    return listed.filter(F.col("node") != node).select(
-        F.least("node", node).alias("a"), F.greatest("node", node).alias("b"), F.least("n", n).alias("n"),
-        F.when(low, F.col("point")).otherwise(point).alias("p"), F.when(low, point).otherwise(F.col("point")).alias("q"),
-    )
+
+def _opened(classed: DataFrame) -> DataFrame:
+    """Rows of entries in several classes, with their point's rank r among its image's, the most crowded first.
+
+    Short entries are all passed on, as pairs of one class are dropped later.
+    """
+    crowded = classed.filter(F.col("m") > SHORT)
+    several = crowded.groupBy("entry").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 < c1").select("entry")
+    rows = classed.filter(F.col("m") <= SHORT).unionByName(crowded.join(several, "entry").select(*classed.columns)).repartition("node")
+    rows = rows.withColumn("most", F.max("m").over(Window.partitionBy("node", "i")))
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("most"), "i")) - 1
+    return rows.select("entry", "node", "i", "m", "class", "n", rank.alias("r"))
+
+
+def _across(opened: DataFrame, block: int) -> DataFrame:
+    """Matches (a, b, i) of images of different classes, without the most crowded points of a.
+
+    Images that are copies have t points of a or more that agree. At most t - SPARE of these rank before t - SPARE, so
+    SPARE of them or more are found when only the others look for partners.
+    """
+    least = F.greatest(F.lit(LEAST_INLIERS), F.ceil(F.least("n", "n2") * LEAST_SHARE))
+    wanted = (F.col("class") != F.col("class2")) & (F.col("r") >= least - SPARE)
+    return pairs_within(opened, "entry", "m", block).filter(wanted).select(F.col("node").alias("a"), F.col("node2").alias("b"), "i")
 
 
 def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
     """id, n_points, class_id: the least id of the images that copies lead to. described: of describe()."""
-    described = written(described, "points")
+    described = written(packed(described), "points")
+    n_points = (F.octet_length("points") / POINT_BYTES).cast("int")
     nodes = (
         described.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
         .groupBy("digest")
         .agg(F.min("id").alias("node"), F.first("points").alias("points"))
-        .withColumn("n", F.size("points"))
+        .withColumn("n", n_points)
     )
     nodes = written(nodes, "nodes")
-    rows = written(described.select("id", "digest", F.size("points").alias("n_points")), "images")
+    rows = written(described.select("id", "digest", n_points.alias("n_points")), "images")
     discard(described)
-    listed = written(_listed(nodes), "listed")
-    shared = written(_shared(listed, nodes), "shared")
-    discard(listed)
-    end = F.struct("node", "n", "point")
-    ends = shared.groupBy("entry").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
-    starred = shared.join(ends, "entry")
-    stars = [_match(starred, F.col(f"{e}.node"), F.col(f"{e}.n"), F.col(f"{e}.point")) for e in ("lo", "hi")]
-    links = written(_links(stars[0].union(stars[1])), "links")
+    n_keys = 4 * (nodes.agg(F.sum("n")).first()[0] or 0)
+    buckets = max(LEAST_BUCKETS, -(-n_keys // BUCKET_KEYS))
+    keys = written(_shared_keys(nodes, buckets), "keys")
+    shared = written(_entries(nodes, keys, buckets), "shared")
+    discard(keys)
+    low = F.col("node") < F.col("pivot")
+    stars = shared.filter("node <> pivot").select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.when(low, F.col("i")).otherwise(F.col("j")).alias("i")
+    )
+    pairs = written(_candidates(stars, LEAST_INLIERS), "pairs")
+    links = written(_links(pairs, nodes), "links")
     found = components(links)
 
-    classed = shared.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    several = classed.groupBy("entry").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("m"))
-    several = several.filter(F.col("c0") < F.col("c1")).select("entry", "m")
-    opened = written(classed.join(several, "entry").select("entry", "node", "n", "point", "class", "m"), "open")
+    classed = shared.select("entry", "node", "i", "m").join(nodes.select("node", "n"), "node").join(found, "node", "left")
+    classed = written(classed.select("entry", "node", "i", "m", "n", F.coalesce("component", "node").alias("class")), "classed")
     discard(shared)
-    apart = (F.col("class") != F.col("class2")) & _near(F.col("point"), F.col("point2"))
-    across = pairs_within(opened, "entry", "m", block).filter(apart)
-    rest = written(_links(_match(across, F.col("node2"), F.col("n2"), F.col("point2"))), "links")
+    opened = written(_opened(classed), "open")
+    discard(classed)
+    matches = written(_across(opened, block), "matches")
     discard(opened)
+    pairs = written(_candidates(matches, SPARE), "pairs")
+    discard(matches)
+    rest = written(_links(pairs, nodes), "links")
     if not rest.isEmpty():
         found = components(links.union(rest))
     by_digest = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
@@ -288,5 +495,5 @@ def render_pages(pages: list[str | None]):
 
 def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page drawn as an image, and the classes of copies among the images."""
-    described = describe(table(spark, sf_dir, "pages"), "page_id", "html", render_pages, PAGE_AREA)
+    described = describe(table(spark, sf_dir, "pages"), "page_id", "html", render_pages, PAGE_AREA, pack=True)
     return copies(described).withColumnRenamed("id", "page_id")

@@ -108,3 +108,72 @@ def test_pages(spark):
     out = media.op10_media_copies(spark, "/root/testdata/sf0.001")
     assert out.columns == ["page_id", "n_points", "class_id"]
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(3)
+    points = rng.integers(-(2**63), 2**63 - 1, (500, 2))
+    keys = media._keys(points)
+    assert keys.shape == (500, 4) and int(keys.max()) < 1 << media.KEY_BITS
+    assert len(np.unique(keys)) == len({(t, w) for t in range(4) for w in np.ascontiguousarray(points).view("<u4").reshape(-1, 4)[:, t].tolist()})
+    own = np.sort(keys.ravel().astype(np.int64))
+    node, i = rng.integers(-5, 5, len(own)), rng.integers(0, 9, len(own))
+    for got, sent in zip(media._unpack(media._pack(own, node, i), len(own), 3), (own, node, i)):
+        assert (got == sent).all()
+    cuts = list(media._bucketed(own, 64))
+    assert cuts[0][1] == 0 and cuts[-1][2] == len(own) and all(a[2] == b[1] and a[0] < b[0] for a, b in zip(cuts, cuts[1:]))
+
+
+def brute(images):
+    """Classes by comparing every two images by all their points, one match at a time."""
+    root = {i: i for i in images}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    bits = lambda v: bin(v & (2**64 - 1)).count("1")
+    words = lambda p: [(p[d] >> s) & (2**32 - 1) for d in (4, 5) for s in (0, 32)]
+    for a in images:
+        for b in images:
+            if a >= b:
+                continue
+            votes = {}
+            for p in images[a]:
+                for q in images[b]:
+                    if bits(p[4] ^ q[4]) + bits(p[5] ^ q[5]) > media.MAX_DISTANCE or not any(x == y for x, y in zip(words(p), words(q))):
+                        continue
+                    turn, scale = (q[3] - p[3]) % media.TURNS, 2.0 ** (q[2] - p[2])
+                    c, s = np.cos(turn * 2 * np.pi / media.TURNS), np.sin(turn * 2 * np.pi / media.TURNS)
+                    dx, dy = q[0] - scale * (p[0] * c - p[1] * s), q[1] - scale * (p[0] * s + p[1] * c)
+                    for g in (0, media.SHIFT // 2):
+                        votes.setdefault((turn, q[2] - p[2], g, (dx + g) // media.SHIFT, (dy + g) // media.SHIFT), set()).add(tuple(p[:3]))
+            n = min(len(images[a]), len(images[b]))
+            if any(len(v) >= max(media.LEAST_INLIERS, media.LEAST_SHARE * n) for v in votes.values()):
+                ra, rb = top(a), top(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {i: top(i) for i in images}
+
+
+def test_classes_equal_all_pairs(spark):
+    """Crowded and rare descriptors, shifted copies of parts, noise in the descriptors."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(-(2**63), 2**63 - 1, (12, 2)).tolist()
+    images = {}
+    for i in range(70):
+        n = int(rng.integers(4, 30))
+        own = [[int(x), int(y), int(o), int(t), *map(int, rng.integers(-(2**63), 2**63 - 1, 2))] for x, y, o, t in rng.integers([0, 0, 0, 0], [900, 900, 2, 32], (n, 4))]
+        for p in own[: n // 2]:
+            p[4:] = common[int(rng.integers(0, 12))]
+        if i % 3 == 2:
+            source = images[i - 1 - i % 2]
+            part = source[: max(1, int(len(source) * rng.uniform(0.1, 0.9)))]
+            own = [[p[0] + 5, p[1] + 9, *p[2:4], p[4] ^ (1 << int(rng.integers(0, 62))), p[5]] for p in part] + own[: n // 2]
+        images[i] = own
+    rows = [(i, bytearray(b"%d" % i), [tuple(p) for p in points]) for i, points in images.items()]
+    df = spark.createDataFrame(rows, f"id long, digest binary, points array<{media.POINT}>")
+    want = brute(images)
+    assert 5 < len(set(want.values())) < 65
+    for block in (9, 1024):
+        assert {r["id"]: r["class_id"] for r in media.copies(df, block).collect()} == want
