@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import ann, bytebpe, jaccard, langid, lmscore, media, packing, pii, shards, tokenbin
+from gristmill.llm import ann, bytebpe, centroids, jaccard, langid, lmscore, media, packing, pii, shards, tokenbin
 
 
 def queries():
@@ -17,8 +17,15 @@ def queries():
         "op8_nearest": ann.op8_nearest,
         "op9_packing": packing.op9_packing,
         "op10_media_copies": media.op10_media_copies,
+        "op11_centroids": centroids.op11_centroids,
     }
 
 
 def oracle_sql():
-    return {"op2_jaccard_join": jaccard.OP2_SQL, "op6_shards": shards.OP6_SQL, "op7_pii": pii.oracle_sql(), "op8_nearest": ann.OP8_SQL}
+    return {
+        "op2_jaccard_join": jaccard.OP2_SQL,
+        "op6_shards": shards.OP6_SQL,
+        "op7_pii": pii.oracle_sql(),
+        "op8_nearest": ann.OP8_SQL,
+        "op11_centroids": centroids.oracle_sql(),
+    }
