@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import ann, bytebpe, centroids, jaccard, langid, lexical, lmscore, media, packing, pii, shards, tokenbin
+from gristmill.llm import ann, bytebpe, centroids, chat, jaccard, langid, lexical, lmscore, media, packing, pii, shards, tokenbin
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_packing": packing.op9_packing,
         "op10_media_copies": media.op10_media_copies,
         "op11_centroids": centroids.op11_centroids,
+        "op12_chat_format": chat.op12_chat_format,
         "op13_ranked_search": lexical.op13_ranked_search,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql():
         "op7_pii": pii.oracle_sql(),
         "op8_nearest": ann.OP8_SQL,
         "op11_centroids": centroids.oracle_sql(),
+        "op12_chat_format": chat.OP12_SQL,
         "op13_ranked_search": lexical.OP13_SQL,
     }
