@@ -7,36 +7,23 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import genbench as B
 from gristmill.operators import linking as L
+from gristmill.operators import matching as M
 from gristmill.plans.synth import h, sql_h, table
 from gristmill.streaming import windows as S
 
 
-def _f1(spark, d):
-    """doc_id, item_id, f1 (as L.token_f1 of the whole texts) of every document and benchmark item that share a token."""
-
-    def counted(name, key, n, size):
-        tokens = F.split(F.lower("text"), r"\s+")
-        t = table(spark, d, name).select(key, F.size(tokens).alias(size), F.explode(tokens).alias("token"))
-        return t.groupBy(key, size, "token").agg(F.count("*").alias(n))
-
-    shared = counted("documents", "doc_id", "m", "a").join(counted("benchmark", "item_id", "n", "b"), "token")
-    common = shared.groupBy("doc_id", "item_id", "a", "b").agg(F.sum(F.least("m", "n")).alias("common"))
-    return common.select("doc_id", "item_id", F.round(2.0 * F.col("common") / (F.col("a") + F.col("b")), 9).alias("f1"))
-
-
 def token_f1(spark, d):
     """Every document's F1 with the benchmark item nearest to it."""
-    best = _f1(spark, d).groupBy("doc_id").agg(F.max("f1").alias("f1"))
-    return table(spark, d, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    return M.nearest_f1(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 def best_candidate(spark, d):
     """Every benchmark item's nearest document; the first one where none shares a token."""
-    rank = F.struct("f1", (-F.col("doc_id")).alias("first"))
-    best = _f1(spark, d).groupBy("item_id").agg(F.max_by("doc_id", rank).alias("doc_id"), F.max("f1").alias("f1"))
-    first = table(spark, d, "documents").agg(F.min("doc_id").alias("first"))
-    items = table(spark, d, "benchmark").select("item_id").distinct().crossJoin(first).join(best, "item_id", "left")
-    return items.select("item_id", F.coalesce("doc_id", "first").alias("doc_id"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    best = M.best_documents(docs, items, "doc_id", "item_id")
+    first = docs.agg(F.min("doc_id").alias("first"))
+    found = items.select("item_id").distinct().crossJoin(first).join(best, "item_id", "left")
+    return found.select("item_id", F.coalesce("doc_id", "first").alias("doc_id"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
 def text_link(spark, d):

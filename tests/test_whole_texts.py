@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -28,6 +29,22 @@ def test_f1_over_whole_texts_and_all_items(spark, tmp_path):
     assert {i: y for i, (_, y) in got.items()} == pytest.approx({i: f1[best[i], i] for i in b}, abs=2e-9)
 
 
+def test_f1_of_a_long_text_takes_linear_time(spark, tmp_path, monkeypatch):
+    long = " ".join(f"w{i % 20_000}" for i in range(200_000))
+    texts = [(1, long), (2, None), (3, ""), (4, long.upper()), (5, " a  b"), (6, "w1")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, "w1 w2 w3"), (2, None), (3, ""), (4, "\tb a"), (5, long), (5, "zz")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for block in (bench_plans.M.ITEM_BYTES, 20):
+        monkeypatch.setattr(bench_plans.M, "ITEM_BYTES", block)
+        began = time.perf_counter()
+        got = {r["doc_id"]: r["f1"] for r in catalogue.queries()["token_f1"](spark, str(tmp_path)).collect()}
+        assert got == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: 1.0, 6: 0.5}
+        best = {r["item_id"]: (r["doc_id"], r["f1"]) for r in catalogue.queries()["best_candidate"](spark, str(tmp_path)).collect()}
+        assert best == {1: (6, 0.5), 2: (1, 0.0), 3: (3, 1.0), 4: (5, 1.0), 5: (1, 1.0)}
+        assert time.perf_counter() - began < 40
+
+
 def test_mask_of_every_token(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     drawn = lambda *k: int(hashlib.sha256("\x1f".join(map(str, k)).encode()).hexdigest()[:13], 16) / 16**13
