@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,14 +28,47 @@ INSTRUCTION, NO_INSTRUCTION, RECENT, ITEM = "Instruction: ", "Continue the curre
 
 #: Tokens of a call and, by kind, how a literal is read.
 TOKEN = re.compile(
-    r"""\s*(?:(?P<number>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|(?P<name>[^\W\d]\w*)
-    |(?P<text>'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")|(?P<mark>[()\[\]{}=,:]))\s*""",
+    r"""\s*(?:(?P<text>(?P<raw>[rRuU]?)(?:\'\'\'(?:[^\\]|\\.)*?\'\'\'|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"))
+    |(?P<number>[-+]?\s*(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][-+]?\d[\d_]*)?)(?!\w))
+    |(?P<name>[^\W\d]\w*)|(?P<mark>[()\[\]{}=,:]))\s*""",
     re.X | re.S,
 )
-ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.S)
-PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "0": "\0", "\n": ""}
+ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|([0-7]{1,3})|N\{([^}]+)\}|(\r\n|.))", re.S)
+#: What a backslash and one more character stand for; a line break after one stands for nothing.
+PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "a": "\a", "v": "\v", "\\": "\\", "'": "'", '"': '"', "\n": "", "\r": "", "\r\n": ""}
 WORDS = {"True": True, "False": False, "None": None}
 CLOSING = {"[": "]", "(": ")", "{": "}"}
+DIGITS = re.compile(r"\d+(?:_\d+)*")
+
+
+def _number(text: str) -> int | float:
+    """A number with its sign; underlines only between digits, no leading zeros of whole numbers but zero's."""
+    sign, bare = (-1 if text[0] == "-" else 1), text.lstrip("+-").strip()
+    if re.match("0[xXoObB]", bare):
+        return sign * int(bare, 0)
+    if re.search(r"_(?!\d)|(?<!\d)_", bare):
+        raise ValueError(text)
+    return sign * (int(bare, 0 if bare.strip("0_") else 10) if DIGITS.fullmatch(bare) else float(bare))
+
+
+def _unescaped(m: re.Match) -> str:
+    if m[4]:
+        return chr(int(m[4], 8))
+    if m[5]:
+        return unicodedata.lookup(m[5])
+    if m[1] or m[2] or m[3]:
+        return chr(int(m[1] or m[2] or m[3], 16))
+    if m[6] in ("x", "u", "U", "N"):  # not followed by what they need
+        raise ValueError(m[0])
+    return PLAIN.get(m[6], m[0])
+
+
+def _text(token: str) -> str:
+    prefix = token[0] if token[0] in "rRuU" else ""
+    body = token[len(prefix) :]
+    marks = 3 if len(body) >= 6 and body[:3] in ("\'\'\'", '"""') else 1
+    body = body[marks:-marks].replace("\r\n", "\n")
+    return body if prefix in ("r", "R") else ESCAPE.sub(_unescaped, body)
 
 
 class _Call:
@@ -46,7 +80,8 @@ class _Call:
             m = TOKEN.match(text, at)
             if m is None:
                 raise ValueError(text[at : at + 20])
-            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            kind = next(k for k in ("text", "number", "name", "mark") if m[k] is not None)
+            self.tokens.append((kind, m[kind]))
             at = m.end()
         self.tokens.append(("end", ""))
         self.at = 0
@@ -61,14 +96,16 @@ class _Call:
     def sees(self, *tokens: str) -> bool:
         return tuple(t[1] for t in self.tokens[self.at : self.at + len(tokens)] if t[0] in ("mark", "name")) == tokens
 
-    def listed(self, close: str, item) -> list:
-        out = []
+    def listed(self, close: str, item) -> tuple[list, bool]:
+        """The items up to the closing mark, and whether a comma came last."""
+        out, comma = [], False
         while not self.sees(close):
             out.append(item())
-            if not self.sees(close):
+            comma = not self.sees(close)
+            if comma:
                 self.take("mark", ",")
         self.take("mark", close)
-        return out
+        return out, comma
 
     def pair(self):
         key = self.literal()
@@ -79,18 +116,31 @@ class _Call:
         kind, value = self.tokens[self.at]
         self.at += 1
         if kind == "number":
-            return int(value) if re.fullmatch(r"[-+]?\d+", value) else float(value)
-        if kind == "text":
-            return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else PLAIN.get(m[3], m[3] if m[3] in "\\'\"" else m[0]), value[1:-1])
+            return _number(value)
+        if kind == "text":  # texts beside each other are one
+            more = self.literal() if self.tokens[self.at][0] == "text" else ""
+            return _text(value) + more
         if kind == "name" and value in WORDS:
             return WORDS[value]
+        if kind == "mark" and value == "{":
+            return self.braces()
         if kind == "mark" and value in CLOSING:
-            found = self.listed(CLOSING[value], self.pair if value == "{" else self.literal)
-            return dict(found) if value == "{" else found
+            found, comma = self.listed(CLOSING[value], self.literal)
+            return found[0] if value == "(" and len(found) == 1 and not comma else found
         raise ValueError(f"a literal expected, found {value!r}")
 
+    def braces(self) -> dict | list:
+        """A dictionary, of equal keys the last; or a set, as the list of its elements in order."""
+        if self.sees("}"):
+            return dict(self.listed("}", self.pair)[0])
+        start = self.at
+        self.literal()
+        is_dict, self.at = self.sees(":"), start
+        found, _ = self.listed("}", self.pair if is_dict else self.literal)
+        return dict(found) if is_dict else list(dict.fromkeys(found))
+
     def argument(self):
-        """(key, value), or None for a value without a key."""
+        """(key, value), or None for a value without a key, which is passed over."""
         if self.tokens[self.at][0] == "name" and self.tokens[self.at + 1] == ("mark", "="):
             key = self.take("name")
             self.take("mark", "=")
@@ -101,9 +151,13 @@ class _Call:
     def read(self) -> dict:
         name = self.take("name")
         self.take("mark", "(")
-        found = dict(a for a in self.listed(")", self.argument) if a)
+        found, _ = self.listed(")", self.argument)
         self.take("end")
-        return {"name": name.lower(), "arguments": found}
+        named = [a is not None for a in found]
+        keys = [a[0] for a in found if a is not None]
+        if len(set(keys)) < len(keys) or named != sorted(named):
+            raise ValueError("a repeated key, or a value without a key after one with a key")
+        return {"name": name.lower(), "arguments": dict(a for a in found if a is not None)}
 
 
 @pandas_udf(StringType())
@@ -113,7 +167,7 @@ def parse_call(text: pd.Series) -> pd.Series:
     def one(t):
         try:
             return json.dumps(_Call(t or "").read())
-        except (ValueError, TypeError, IndexError, RecursionError):
+        except (ValueError, TypeError, IndexError, KeyError, OverflowError, RecursionError):
             return None
 
     return text.map(one)

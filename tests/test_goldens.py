@@ -261,6 +261,55 @@ def test_web_calls_and_boxes(spark):
     assert one(spark, w=B.viewport(F.lit(" 720.5h x 1280w "))[0], h=B.viewport(F.lit("x"))[1]) == (1280, None)
 
 
+LITERALS = [
+    "(1)", "(1,)", "()", "((1))", "[(1), (2,)]", r"'\a\v\101\7\0x\q'", "1_0", "1_0.5_0e1_0", "'a' \"b\" 'c'", "0x1F", "-0b11", "0o17", "- 5", "+.5", "00", "1.", "r'\\n'", "u'x'",
+    "{1: 2, 1: 3}", "{}", "{'a': (1), 'b': [None, True]}", r"'\U0001F600\u00e9\xe9'", r"'\N{BULLET}'", "'''a'b\nc'''", '"""x"""', "''", "'a\\\nb'", "\n [1,\n 2]",
+]
+
+
+@pytest.mark.parametrize("literal", LITERALS)
+def test_literals_of_a_call(literal):
+    import ast
+
+    from gristmill.functions import web as B
+
+    want = ast.literal_eval(literal.strip())
+    listed = lambda v: [listed(x) for x in v] if isinstance(v, (list, tuple)) else {k: listed(x) for k, x in v.items()} if isinstance(v, dict) else v
+    assert B._Call(f"F(x={literal})").read() == {"name": "f", "arguments": {"x": listed(want)}}
+
+
+def test_sets_and_rejected_calls():
+    from gristmill.functions import web as B
+
+    assert B._Call("f(x={2, 1, 2}, y={1: 2, 1: 3})").read()["arguments"] == {"x": [2, 1], "y": {1: 3}}
+    for bad in ("f(a=1, a=2)", "f(a=1, 2)", "f(x=01)", "f(x=1__0)", "f(x=1_)", r"f(x='\x4')", "f(x=--1)", "f(x=1 2)", "f(x=[1)", "f(x=(1,,))", "f(x=1x)", "f()()", "f", "f(x=b'a')", "f(x={1: 2, 3})", "a.f()", "f(x='a\nb')"):
+        with pytest.raises((ValueError, TypeError, KeyError)):
+            B._Call(bad).read()
+
+
+def test_random_literals_round_trip():
+    import ast
+    import random
+
+    from gristmill.functions import web as B
+
+    r = random.Random(11)
+
+    def made(depth):
+        kind = r.randrange(8 if depth else 5)
+        if kind < 2:
+            return repr(r.choice([0, -7, 10**20, 1.5, -2e-9, True, None, False]))
+        if kind < 5:
+            return ascii("".join(r.choice("ab'\"\\\n\té\x07\U0001F600 ") for _ in range(r.randrange(8)))) if kind == 2 else repr("".join(r.choice("ab'\"\\\n\té\x07 ") for _ in range(r.randrange(8))))
+        parts = [made(depth - 1) for _ in range(r.randrange(4))]
+        return {5: f"[{', '.join(parts)}]", 6: f"({', '.join(parts)})", 7: "{" + ", ".join(f"'{i}': {p}" for i, p in enumerate(parts)) + "}"}[kind]
+
+    listed = lambda v: [listed(x) for x in v] if isinstance(v, (list, tuple)) else {k: listed(x) for k, x in v.items()} if isinstance(v, dict) else v
+    for _ in range(500):
+        text = made(3)
+        assert B._Call(f"go(a={text}, b=1)").read()["arguments"] == {"a": listed(ast.literal_eval(text)), "b": 1}, text
+
+
 def test_token_arrays(spark):
     from gristmill.functions import sequences as Q
 
