@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import io
 import tempfile
 import uuid
-import zipfile
-from tarfile import TarInfo
-from tarfile import open as open_tar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.operators import records as R
 from gristmill.plans.synth import table
-from gristmill.sources import readers, sinks
+from gristmill.sources import committed, located, readers, repeating, sinks
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -43,13 +40,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def _put(spark: SparkSession, path: str, data: bytes) -> None:
-    fs, p = _folder(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(data))
-    out.close()
-
-
 def parquet_shards(spark, d) -> DataFrame:
     """Sharded files by source, read with a column projection."""
     path = scratch(spark, "parquet")
@@ -72,10 +62,12 @@ def json_lines_trip(spark, d) -> DataFrame:
 
 
 def json_array_trip(spark, d) -> DataFrame:
-    path = scratch(spark, "array")
-    rows = [r.asDict() for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect()]  # a table of 25 rows
-    _put(spark, f"{path}/nations.json", ("[" + ",\n".join(f'{{"n_nationkey": {r["n_nationkey"]}, "n_name": "{r["n_name"]}"}}' for r in rows) + "]").encode())
-    return readers.read("json_array", spark, path, "n_nationkey long, n_name string")
+    """Files of one JSON array each."""
+    path, rows = scratch(spark, "array"), table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    lines = F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("o_orderkey", "o_orderpriority")))), ",\n")
+    arrays = rows.groupBy((F.col("o_orderkey") % 50).alias("file")).agg(F.encode(F.concat(F.lit("["), lines, F.lit("]")), "UTF-8").alias("content"))
+    sinks.write_files(arrays.withColumn("name", F.concat("file", F.lit(".json"))), "name", "content", path)
+    return readers.read("json_array", spark, path, "o_orderkey long, o_orderpriority string")
 
 
 def csv_trip(spark, d) -> DataFrame:
@@ -99,53 +91,48 @@ def text_lines_trip(spark, d) -> DataFrame:
 
 
 def tar_trip(spark, d) -> DataFrame:
-    """Two archives with samples of three members, of which the caption is the first that is filled."""
-    path, rows = scratch(spark, "tar"), table(spark, d, "nation").select("n_nationkey", "n_name").collect()
-    for half in (0, 1):
-        raw = io.BytesIO()
-        with open_tar(fileobj=raw, mode="w") as t:
-            for r in (x for x in rows if x["n_nationkey"] % 2 == half):
-                key = f"{r['n_nationkey']:04d}"
-                for ext, data in (("jpg", b"image"), ("txt", b"" if r["n_nationkey"] % 3 == 0 else r["n_name"].encode()), ("json", f'{{"prompt": "{r["n_name"].lower()}"}}'.encode())):
-                    info = TarInfo(f"{key}.{ext}")
-                    info.size = len(data)
-                    t.addfile(info, io.BytesIO(data))
-        _put(spark, f"{path}/{half}.tar", raw.getvalue())
+    """Archives with samples of up to three members, of which the caption is the first that is filled; samples without an image go."""
+    path, docs = scratch(spark, "tar"), table(spark, d, "documents").repartition(4, "doc_id")
+    k, filled = F.col("doc_id"), F.lit("").cast("binary")
+    members = {
+        "jpg": F.when(k % 5 != 0, F.encode(F.lit("image"), "UTF-8")),
+        "txt": F.when(k % 3 != 0, F.encode("text", "UTF-8")).otherwise(filled),
+        "json": F.encode(F.to_json(F.struct(F.concat_ws(" ", "lang", "source").alias("prompt"))), "UTF-8"),
+    }
+    parts = F.array(*(F.struct(F.concat(k.cast("string"), F.lit(f".{ext}")).alias("name"), c.alias("content")) for ext, c in members.items()))
+    sinks.write_archives(docs.select(F.inline(parts)).filter("content IS NOT NULL"), "name", "content", path)
     s = readers.read("archives", spark, path)
-    return s.filter(readers.member("members", "jpg", "png").isNotNull()).select(F.col("stem").cast("long").alias("n_nationkey"), readers.tar_caption().alias("caption"))
+    return s.filter(readers.member("members", "jpg", "png").isNotNull()).select(F.col("stem").cast("long").alias("doc_id"), F.md5(readers.tar_caption()).alias("caption"))
 
 
 def zip_trip(spark, d) -> DataFrame:
-    """Members of a zip archive, found by name, without a leading ./, and by a base name that is unique."""
-    path, rows = scratch(spark, "zip"), table(spark, d, "nation").select("n_nationkey", "n_name").collect()
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        for r in rows:
-            z.writestr(f"{'./' if r['n_nationkey'] % 2 else 'sub/'}{r['n_nationkey']}.txt", r["n_name"])
-    _put(spark, f"{path}/a.zip", raw.getvalue())
+    """Members of zip archives, found by name, without a leading ./, and by a base name that is unique."""
+    path, docs = scratch(spark, "zip"), table(spark, d, "documents").repartition(4, "doc_id")
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "sub/").otherwise("./"), "doc_id", F.lit(".txt"))
+    sinks.write_archives(docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), "name", "content", path, "zip")
     members = readers.archives(spark, path, "zip")
-    wanted = table(spark, d, "nation").select("n_nationkey", F.concat("n_nationkey", F.lit(".txt")).alias("wanted"))
+    wanted = table(spark, d, "documents").select("doc_id", F.concat("doc_id", F.lit(".txt")).alias("wanted"))
     found = readers.zip_lookup(members, wanted, "wanted")
-    content = members.select(F.col("name").alias("member"), F.col("content").cast("string").alias("n_name"))
-    return found.join(content, "member", "left").select("n_nationkey", "n_name")
+    content = members.select(F.col("name").alias("member"), F.md5("content").alias("digest"))
+    return found.join(content, "member", "left").select("doc_id", "digest")
 
 
 def image_folder(spark, d) -> DataFrame:
     """Files with an image's extension and a number, by prompt; others are left out. The digest is that of the bytes."""
-    path = scratch(spark, "images")
-    for i in range(6):
-        _put(spark, f"{path}/{i % 3:05d}/samples/{i:05d}.png", bytes([i]) * 10)
-        _put(spark, f"{path}/{i % 3:05d}/samples/{i:05d}.txt", b"no image")
+    path, k = scratch(spark, "images"), F.col("s_suppkey")
+    name = F.format_string("%05d/samples/%05d.%s", k % 7, k, F.when(k % 4 == 0, "txt").otherwise("png"))
+    sinks.write_files(table(spark, d, "supplier").select(name.alias("name"), F.encode("s_name", "UTF-8").alias("content")), "name", "content", path)
     files = readers.read("images", spark, path)
     return files.select(R.numbered_image(F.col("path")).alias("at"), F.sha2("content", 256).alias("digest")).select("at.prompt", "at.image", "digest")
 
 
 def results_trip(spark, d) -> DataFrame:
-    """Results of several steps, found by a pattern; the step is the number of the folder."""
+    """Results of many steps, found by a pattern; the step is the number of the folder."""
     path = scratch(spark, "results")
-    for step in (250, 500, 1000):
-        _put(spark, f"{path}/run-{step}/result.json", f'{{"score": {step / 1000}}}'.encode())
-    return readers.read("results", spark, f"{path}/*/result.json", "score double").select("step", "score")
+    rows = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("step")).agg(F.count("*").alias("score"))
+    named = rows.select(F.concat(F.lit("run-"), "step", F.lit("/result.json")).alias("name"), F.encode(F.to_json(F.struct("score")), "UTF-8").alias("content"))
+    sinks.write_files(named, "name", "content", path)
+    return readers.read("results", spark, f"{path}/*/result.json", "score long").select("step", "score")
 
 
 def prediction_shards(spark, d) -> DataFrame:
@@ -158,14 +145,53 @@ def prediction_shards(spark, d) -> DataFrame:
 
 
 def audited_rows(spark, d) -> DataFrame:
-    """Rows without an error, and the audit of the others."""
+    """Rows without an error, and the audit of the others; both were committed at once."""
     path = scratch(spark, "audit")
     rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, "too dear").otherwise(F.lit(None).cast("string")).alias("error"))
-    sinks.with_audit(rows, "error", f"{path}/rows", f"{path}/audit")
+    committed.write(rows, path, "error", shard_rows=5000)
     good = spark.read.parquet(f"{path}/rows").select("o_orderkey", F.lit(None).cast("string").alias("error"))
     return good.unionByName(spark.read.schema("o_orderkey long, error string").json(f"{path}/audit"))
 
 
+def _in_groups(spark, d, *columns: str) -> str:
+    """Documents as shards of row groups of 256 rows at most."""
+    path = scratch(spark, "groups")
+    committed.write(table(spark, d, "documents").select(*columns), path, dictionary="lang", shard_rows=2000)
+    return f"{path}/rows"
+
+
+def late_rows(spark, d) -> DataFrame:
+    """The longest document of every source and language: chosen by narrow columns, its text read by its place."""
+    path = _in_groups(spark, d, "doc_id", "text", "lang", "source", "n_chars")
+    narrow = located.with_places(spark.read.parquet(path), "doc_id", "source", "lang", "n_chars")
+    first = W.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id")
+    chosen = narrow.withColumn("rank", F.row_number().over(first)).filter("rank = 1").drop("rank")
+    return located.fetch(chosen, ["text"], "text string").select("source", "lang", "doc_id", F.md5("text").alias("digest"))
+
+
+def group_rows(spark, d) -> DataFrame:
+    """Rows by their place: those of the first row group of each shard, by conditions that the source takes; all are in the table."""
+    path = _in_groups(spark, d, "doc_id", "lang")
+    rows = located.groups(spark, readers.list_files(spark, path, ".parquet"), ["doc_id"]).filter("row_group = 0 and row < 256")
+    whole = located.groups(spark, readers.list_files(spark, path, ".parquet"), ["doc_id"])
+    n = rows.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    return whole.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs")).crossJoin(n).select("rows", "docs", (F.col("most") <= 256).alias("bounded"))
+
+
+def repeated_epochs(spark, d) -> DataFrame:
+    """Three epochs of the documents as a stream in batches, each row with its place: every one thrice, once an epoch."""
+    path = _in_groups(spark, d, "doc_id", "lang", "n_chars")
+    stream = repeating.repeating(spark, readers.list_files(spark, path, ".parquet"), epochs=3, seed="1", rows_per_batch=100_000)
+    out = scratch(spark, "epochs")
+    q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/check").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("times"), F.countDistinct("epoch").alias("epochs"), F.sum("n_chars").alias("n_chars"))
+
+
 def content_store(spark, d) -> DataFrame:
     """Every content once, under its digest."""
     path = scratch(spark, "content")
@@ -184,23 +210,26 @@ def changed_partitions(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
-    prediction_shards, audited_rows, content_store, changed_partitions,
+    prediction_shards, audited_rows, late_rows, group_rows, repeated_epochs, content_store, changed_partitions,
 )}
 
 ORACLE = {
     "parquet_shards": "SELECT doc_id, source, n_chars FROM documents",
     "parquet_quota": "SELECT n_nationkey, 2::BIGINT AS n FROM nation",
     "json_lines_trip": "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations",
-    "json_array_trip": "SELECT n_nationkey, n_name FROM nation",
+    "json_array_trip": "SELECT o_orderkey, o_orderpriority FROM orders",
     "csv_trip": """SELECT p_partkey, 'a "' || p_name || '",' || chr(10) || 'b' AS name FROM part""",
     "csv_report": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",
     "text_lines_trip": "SELECT trim(n_name) AS line FROM nation",
-    "tar_trip": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS caption FROM nation",
-    "zip_trip": "SELECT n_nationkey, n_name FROM nation",
-    "image_folder": "SELECT (i % 3)::BIGINT AS prompt, i AS image, sha256(repeat(chr(i::INT), 10)) AS digest FROM range(6) r(i) WHERE i > 0 UNION ALL SELECT 0, 0, '01d448afd928065458cf670b60f5a594d735af0172c8d67f22a81680132681ca'",
-    "results_trip": "SELECT unnest([250, 500, 1000])::BIGINT AS step, unnest([0.25, 0.5, 1.0])::DOUBLE AS score",
+    "tar_trip": "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 OR coalesce(text, '') = '' THEN concat_ws(' ', lang, source) ELSE text END) AS caption FROM documents WHERE doc_id % 5 <> 0",
+    "zip_trip": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "image_folder": "SELECT (s_suppkey % 7)::BIGINT AS prompt, s_suppkey AS image, sha256(s_name) AS digest FROM supplier WHERE s_suppkey % 4 <> 0",
+    "results_trip": "SELECT (o_orderkey // 1000)::BIGINT AS step, count(*) AS score FROM orders GROUP BY 1",
     "prediction_shards": "SELECT o_orderkey, o_totalprice FROM orders",
     "audited_rows": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'too dear' END AS error FROM orders",
+    "late_rows": "SELECT source, lang, doc_id, md5(text) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1",
+    "group_rows": "SELECT count(*) AS rows, count(DISTINCT doc_id) AS docs, true AS bounded FROM documents",
+    "repeated_epochs": "SELECT doc_id, 3::BIGINT AS times, 3::BIGINT AS epochs, (3 * n_chars)::BIGINT AS n_chars FROM documents",
     "content_store": "SELECT DISTINCT sha256(p_type) AS digest, p_type FROM part",
     "changed_partitions": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority NOT LIKE '1%' OR o_orderkey % 2 = 0 GROUP BY 1",
 }

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from gristmill.sources.files import store_of
+
 
 def with_quota(paths: list[str], n: int | None) -> list[str]:
     """The first n of the files; with more than there are, the list is repeated. No whole number: all."""
@@ -86,11 +88,6 @@ def results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("step", step)
 
 
-def late_materialized(narrow: DataFrame, wide: DataFrame, key: str) -> DataFrame:
-    """Heavy columns for selected keys only: the selection is made on narrow rows and joined last."""
-    return wide.join(narrow, key)
-
-
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -104,14 +101,8 @@ class _ArchiveReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
-        from pyarrow import fs
-
         path = partition.path
-        if "://" in path or path.startswith("file:"):
-            store, name = (fs.LocalFileSystem(), path.split(":", 1)[1]) if path.startswith("file:") else fs.FileSystem.from_uri(path)
-        else:
-            store, name = fs.LocalFileSystem(), path
-        name = "/" + name.lstrip("/") if isinstance(store, fs.LocalFileSystem) else name
+        store, name = store_of(path)
         with store.open_input_file(name) as f:
             if self.kind == "tar":
                 yield from self._tar(path, f)

@@ -1,10 +1,19 @@
-"""Writers: sharded Parquet, sorted JSON lines with a digest, CSV, reports, audits, resumable appends."""
+"""Writers: sharded Parquet, sorted JSON lines with a digest, CSV, reports, files and archives, resumable appends."""
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
+import uuid
+import zipfile
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.sources.files import store_of
+
 
 def sharded_parquet(rows: DataFrame, path: str, shard_rows: int = 1000, by: str | None = "source", force: bool = False) -> None:
     """zstd files of at most shard_rows rows, by source; refuses a path that exists unless forced."""
@@ -12,16 +21,6 @@ def sharded_parquet(rows: DataFrame, path: str, shard_rows: int = 1000, by: str
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def with_audit(rows: DataFrame, error: str, path: str, audit_path: str) -> None:
-    """Rows without an error go to path, the others to audit_path as JSON; the rows are computed once."""
-    rows = rows.persist()
-    try:
-        rows.filter(F.col(error).isNull()).drop(error).write.mode("errorifexists").parquet(path)
-        rows.filter(F.col(error).isNotNull()).write.mode("errorifexists").json(audit_path)
-    finally:
-        rows.unpersist()
-
-
 def canonical_json(rows: DataFrame) -> Column:
     """A row as JSON with its fields in order of name, nulls kept."""
     return F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
@@ -75,30 +74,52 @@ def content_addressed(rows: DataFrame, content: str) -> DataFrame:
     return named.withColumn("path", F.concat_ws("/", F.substring("sha256", 1, 2), F.col("sha256")))
 
 
-def write_contents(rows: DataFrame, content: str, path: str) -> None:
-    """Every content once, as a file xx/digest below path; one that is there already stays as it is."""
-    from urllib.parse import unquote, urlparse
-
-    from pyarrow import fs
-
-    u = urlparse(path)
-    local = unquote(u.path) if u.scheme in ("", "file") else None
+def write_files(rows: DataFrame, name: str, content: str, base: str) -> None:
+    """Every row's content as a file below base, written by executors; one that is there already stays as it is."""
 
     def put(part):
-        import os
-        import uuid
-
-        store, base = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(path)
+        store, folder = store_of(base)
         for r in part:
-            name = f"{base}/{r['path']}"
-            if store.get_file_info(name).type == fs.FileType.NotFound:
-                store.create_dir(os.path.dirname(name), recursive=True)
-                aside = f"{os.path.dirname(name)}/.{uuid.uuid4().hex}"  # a lost task leaves no half of a file under the name
+            path = f"{folder}/{r[name]}"
+            if store.get_file_info(path).type == fs.FileType.NotFound:
+                store.create_dir(os.path.dirname(path), recursive=True)
+                aside = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"  # a lost task leaves no half of a file under the name
                 with store.open_output_stream(aside) as out:
                     out.write(bytes(r[content]))
-                store.move(aside, name)
+                store.move(aside, path)
 
-    content_addressed(rows, content).foreachPartition(put)
+    rows.foreachPartition(put)
+
+
+def write_contents(rows: DataFrame, content: str, path: str) -> None:
+    """Every content once, as a file xx/digest below path."""
+    write_files(content_addressed(rows, content), "path", content, path)
+
+
+def write_archives(rows: DataFrame, name: str, content: str, base: str, kind: str = "tar") -> None:
+    """Members (name, content) as archives below base, written by executors: one for each partition, in its order.
+
+    An archive gets its name once it is whole; its name is the partition's number, so a task that runs twice leaves one.
+    """
+
+    def put(number: int, part):
+        store, folder = store_of(base)
+        store.create_dir(folder, recursive=True)
+        aside, n = f"{folder}/.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(aside) as out:
+            with tarfile.open(fileobj=out, mode="w|") if kind == "tar" else zipfile.ZipFile(out, "w") as archive:
+                for r in part:
+                    data, n = bytes(r[content]), n + 1
+                    if kind == "tar":
+                        info = tarfile.TarInfo(r[name])
+                        info.size = len(data)
+                        archive.addfile(info, io.BytesIO(data))
+                    else:
+                        archive.writestr(r[name], data)
+        store.move(aside, f"{folder}/part-{number:05d}.{kind}") if n else store.delete_file(aside)
+        return iter(())
+
+    rows.select(name, content).rdd.mapPartitionsWithIndex(put).count()
 
 
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:

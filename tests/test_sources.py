@@ -72,8 +72,6 @@ def test_writers(spark, tmp_path):
     a = sinks.json_lines(df, f"{tmp_path}/j")
     assert a["rows"] == 2 and a == sinks.json_lines(df.orderBy(F.desc("id")), f"{tmp_path}/k")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/j").collect())[0] == '{"error":"x","id":2,"source":"b"}'
-    sinks.with_audit(df, "error", f"{tmp_path}/ok", f"{tmp_path}/bad")
-    assert spark.read.parquet(f"{tmp_path}/ok").count() == spark.read.json(f"{tmp_path}/bad").count() == 1
     with pytest.raises(ValueError):
         sinks.csv(df.limit(0), f"{tmp_path}/c")
     assert sinks.markdown(df.select("id", F.col("id").alias("d")).orderBy("id"), ("d",)).splitlines()[2] == "| 1 | +1.00 |"
