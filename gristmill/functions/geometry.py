@@ -100,21 +100,24 @@ def match_score(similarity: Column, distance: Column, confidence: Column, overla
     )
 
 
-def crop_axis(lo: Column, hi: Column, size: Column, crop: int, u: Column | None = None) -> tuple[Column, Column]:
-    """Start and length of a window along one axis that holds the target [lo, hi].
-
-    Centred on the target, half to even, or at the share u of the starts that are possible.
-    """
+def crop_range(lo: Column, hi: Column, size: Column, crop: int) -> tuple[Column, Column, Column]:
+    """First and last possible start, and length, of a window along one axis that holds the target [lo, hi]."""
     length = F.least(size, F.greatest(F.lit(crop), F.ceil(hi - lo).cast("int") + 64))
     first = F.greatest(F.lit(0), F.ceil(hi).cast("int") - length)
     last = F.least(F.floor(lo).cast("int"), size - length)
     first = F.least(first, F.greatest(last, F.lit(0)))
-    last = F.greatest(first, last)
+    return first, F.greatest(first, last), length
+
+
+def crop_axis(lo: Column, hi: Column, size: Column, crop: int, u: Column | None = None) -> tuple[Column, Column]:
+    """Start and length of a window along one axis that holds the target [lo, hi].
+
+    In the middle of the starts that are possible, half to even, or at the share u of them.
+    """
+    first, last, length = crop_range(lo, hi, size, crop)
     if u is None:
-        start = clamp(F.rint((lo + hi) / 2.0 - length / 2.0).cast("int"), first, last)
-    else:
-        start = first + F.floor(u * (last - first + 1)).cast("int")
-    return start, length
+        return F.rint((first + last) / 2.0).cast("int"), length
+    return first + F.floor(u * (last - first + 1)).cast("int"), length
 
 
 def tile_layout(width: Column, height: Column, tile: int = 980, patch: int = 14) -> Column:

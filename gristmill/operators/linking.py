@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from gristmill.functions import geometry as G
+from gristmill.operators.spatial import near_pairs
 
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -64,8 +65,7 @@ def best_links(targets: DataFrame, detections: DataFrame, key: str) -> DataFrame
     """
     t = targets.select(key, F.col("text").alias("target_text"), F.col("box").alias("source_box"), "width", "height")
     d = detections.filter(F.col("confidence") >= G.LEAST_CONFIDENCE)
-    pairs = t.join(d, key).withColumn("distance", G.edge_distance(F.col("source_box"), F.col("box"), F.col("width"), F.col("height")))
-    pairs = pairs.filter(F.col("distance") <= G.MOST_DISTANCE * G.NEAR_EXACT_FACTOR)
+    pairs = near_pairs(t, d, key, G.MOST_DISTANCE * G.NEAR_EXACT_FACTOR, "source_box", "box")
     pairs = pairs.withColumn("similarity", text_similarity("target_text", "text"))
     pairs = pairs.filter((F.col("similarity") >= G.LEAST_SIMILARITY) & (F.col("distance") <= G.allowed_distance(F.col("similarity"))))
     overlap = G.iou(F.col("source_box"), F.col("box"))

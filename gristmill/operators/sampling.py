@@ -86,6 +86,43 @@ def mixture(rows: DataFrame, weights: dict[str, float], seed: int, key: str) ->
     return rows.withColumn("mix", choice.otherwise(next(iter(weights))))
 
 
+#: Units of an interleaving time for a weight of 1; times are whole numbers, so their sums don't depend on the order of adding.
+TICKS = 1_000_000
+
+
+def running_total(rows: DataFrame, group: str, order: list[str | Column], hex_column: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of a whole-number column over a group's rows up to each, in the order of a hex hash; ties by ``order``.
+
+    Summed within hash ranges first, so no task orders a whole group.
+    """
+    dealt = rows.withColumn("_range", F.substring(hex_column, 1, DIGITS))
+    sums = dealt.groupBy(group, "_range").agg(F.sum(value).alias("_s"))
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    own = F.sum(value).over(W.partitionBy(group, "_range").orderBy(hex_column, *order).rowsBetween(W.unboundedPreceding, 0))
+    joined = dealt.withColumn("_own", own).join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_range", "_own", "_base", "_g", "_r")
+
+
+def interleaved(rows: DataFrame, group: str, weights: dict[str, float], seed: int, key: str) -> DataFrame:
+    """Adds ``at``: the order of ``at`` and ``key`` takes, at every place, a row of each group that has rows left with a chance in
+    proportion to its weight, whatever their numbers; a group's own rows come in a seeded order.
+
+    A group's rows arrive like calls at a rate of its weight: the gaps between them are exponential, -ln(1 - u) over the weight.
+    Merged by time, the next row of all is a group's with the chance of its share of the weights of those groups that have rows left,
+    and an exhausted group leaves its share to the others. Rows of groups without a weight get null.
+    """
+    if not any(w > 0 for w in weights.values()):
+        raise ValueError("a weight must be above 0")
+    weight = F.lit(None).cast("double")
+    for name, w in weights.items():
+        weight = F.when(F.col(group) == name, float(w)).otherwise(weight) if w > 0 else weight
+    gap = F.floor(-F.log(1 - uniform(seed, "gap", F.col(key))) * TICKS / F.col("_w")).cast("long")
+    drawn = rows.withColumn("_w", weight).withColumns({"_h": stable_hex(seed, "order", F.col(key)), "_gap": gap})
+    out = running_total(drawn.filter("_w IS NOT NULL"), group, [key], "_h", "_gap", "at").drop("_w", "_h", "_gap")
+    return out.unionByName(drawn.filter("_w IS NULL").drop("_w", "_h", "_gap").withColumn("at", F.lit(None).cast("long")))
+
+
 def shard(index: Column, world: int) -> Column:
     return F.pmod(index, F.lit(world)).cast("int")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import genbench as B
 from gristmill.operators import linking as L
 from gristmill.operators import matching as M
+from gristmill.operators import schedule as C
 from gristmill.plans.synth import h, sql_h, table
 from gristmill.streaming import windows as S
 
@@ -89,6 +90,15 @@ def confidence_commit(spark, d):
     return e.select("vec_id", F.greatest(F.size(F.filter("embedding", lambda x: x >= 0.3)), F.lit(1)).alias("commits"), F.array_position("embedding", best).cast("int").alias("best_at"))
 
 
+def commit_schedule(spark, d):
+    """Vectors as the first confidences of 64 positions, rising by a twentieth a step, in four blocks of eight steps; positions below -0.3 are not masked."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rising = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform("v", lambda x: x + i * 0.05))
+    rows = e.select("vec_id", F.transform("v", lambda x: x >= -0.3).alias("masked"), rising.alias("c"))
+    out = C.block_schedule(rows, "vec_id", "masked", "c", 16, 32, 0.25)
+    return out.select("vec_id", "block", "strategy", "requested_steps", "iterations", "remaining_masks", F.array_join("committed", ",", "x").alias("committed"))
+
+
 def cosine_alignment(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     f = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
@@ -119,7 +129,7 @@ def stream_dedup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    token_f1, best_candidate, text_link, geneval_summary, top_objects, nms_topk, dpg_rollup, dpg_gate, question_runs, confidence_commit, cosine_alignment,
+    token_f1, best_candidate, text_link, geneval_summary, top_objects, nms_topk, dpg_rollup, dpg_gate, question_runs, confidence_commit, commit_schedule, cosine_alignment,
     tumbling_windows, sliding_windows, session_windows, stream_dedup,
 )}
 
@@ -154,6 +164,14 @@ ORACLE = {
       o AS (SELECT a.row_index, a.item_id, (a.item_id IS DISTINCT FROM b.item_id)::INT AS o FROM k a LEFT JOIN k b ON a.row_index = b.row_index + 1),
       r AS (SELECT *, sum(o) OVER (PARTITION BY item_id ORDER BY row_index) AS r FROM o) SELECT row_index, item_id FROM r QUALIFY r = max(r) OVER (PARTITION BY item_id)""",
     "confidence_commit": "SELECT vec_id, greatest(len(list_filter(embedding, lambda x: x >= 0.3)), 1)::INT AS commits, list_position(embedding, list_max(embedding))::INT AS best_at FROM embeddings",
+    "commit_schedule": """WITH RECURSIVE v AS (SELECT vec_id, b::INT AS block, list_transform(embedding[b * 16 + 1:b * 16 + 16], lambda x: x::DOUBLE) AS c FROM embeddings, range(4) r(b)),
+      s AS (SELECT vec_id, block, c, 0 AS i, 0 AS used, list_transform(c, lambda x: CASE WHEN x < -0.3::DOUBLE THEN -1 END) AS done FROM v UNION ALL
+        SELECT vec_id, block, c, i + 1, used + 1, list_transform(done, lambda d, j: CASE WHEN d IS NOT NULL THEN d WHEN c[j] + i * 0.05::DOUBLE >= 0.25::DOUBLE OR m < 0.25::DOUBLE AND j = best THEN i END) FROM
+          (SELECT *, list_max(list_transform(done, lambda d, j: CASE WHEN d IS NULL THEN c[j] + i * 0.05::DOUBLE END)) AS m,
+            list_position(list_transform(done, lambda d, j: CASE WHEN d IS NULL THEN c[j] + i * 0.05::DOUBLE END), list_max(list_transform(done, lambda d, j: CASE WHEN d IS NULL THEN c[j] + i * 0.05::DOUBLE END))) AS best
+           FROM s WHERE i < 16 AND len(list_filter(done, lambda d: d IS NULL)) > 0))
+      SELECT vec_id, block, 'confidence_threshold' AS strategy, 8 AS requested_steps, used AS iterations, len(list_filter(done, lambda d: d IS NULL))::INT AS remaining_masks,
+        array_to_string(list_transform(done, lambda d: coalesce(d::VARCHAR, 'x')), ',') AS committed FROM s QUALIFY i = max(i) OVER (PARTITION BY vec_id, block)""",
     "cosine_alignment": """SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine
       FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "tumbling_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

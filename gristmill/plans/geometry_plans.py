@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions import geometry as G
+from gristmill.functions import twister as K
+from gristmill.functions.hashing import stable_hex
+from gristmill.operators.spatial import near_pairs
 from gristmill.plans.synth import h, sql_h, table
 
 
@@ -69,6 +72,27 @@ def crop_window(spark, d):
     return table(spark, d, "events").select("event_id", start.alias("start"), length.alias("length"))
 
 
+def seeded_crops(spark, d):
+    """Windows of 500 that hold a target, at a seeded place of those that are possible along either axis."""
+    k = F.col("event_id")
+    x, y = h(k, 0) % 1000, h(k, 1) % 700
+    box = F.array(*(v.cast("double") for v in (x, y, x + 1 + h(k, 2) % 380, y + 1 + h(k, 3) % 350)))
+    rows = table(spark, d, "events").select("event_id", box.alias("box"))
+    crop = K.seeded_crop(F.col("box"), F.lit(1400), F.lit(1100), 500, stable_hex(42, k, "crop", 0))
+    return rows.select("event_id", F.array_join("box", ",").alias("box"), crop.alias("crop")).select("event_id", "box", F.array_join("crop", ",").alias("crop"))
+
+
+def near_boxes(spark, d):
+    """For every event's box the others of the same user within a twentieth of the diagonal: their number and the nearest."""
+    k = F.col("event_id")
+    x, y = h(k, 0) % 1200, h(k, 1) % 680
+    box = F.array(*(v.cast("double") for v in (x, y, x + 10 + h(k, 2) % 60, y + 5 + h(k, 3) % 30)))
+    rows = table(spark, d, "events").select("user_id", "event_id", box.alias("box"))
+    pairs = near_pairs(rows.withColumns({"width": F.lit(1280), "height": F.lit(720)}), rows.select("user_id", F.col("event_id").alias("other"), F.col("box").alias("other_box")), "user_id", 0.05)
+    found = pairs.filter("event_id <> other").groupBy("event_id").agg(F.count("*").alias("n"), F.min_by("other", F.struct(F.round("distance", 9), "other")).alias("nearest"))
+    return found.select("event_id", "n", "nearest")
+
+
 def resize_dims(spark, d):
     k = F.col("page_id")
     r = G.resize_dims(h(k, 0) % 3000 + 50, h(k, 1) % 3000 + 50, 1024, 512, 16, 600_000)
@@ -106,7 +130,7 @@ def timestep_schedule(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bbox_normalize, bbox_scale_repair, bbox_unscale, bbox_overlap, match_scores, tile_layout, sequence_lengths, crop_window, resize_dims, relative_position,
+    bbox_normalize, bbox_scale_repair, bbox_unscale, bbox_overlap, match_scores, tile_layout, sequence_lengths, crop_window, seeded_crops, near_boxes, resize_dims, relative_position,
     loss_weights, power_pad, chunk_split, timestep_schedule,
 )}
 
@@ -160,7 +184,11 @@ ORACLE = {
       SELECT page_id, tokens::BIGINT AS tokens, CASE WHEN tokens <= 32768 THEN '16k_32k' WHEN tokens <= 49152 THEN '32k_48k' WHEN tokens <= 65536 THEN '48k_64k' ELSE 'over_64k' END AS bucket FROM q""",
     "crop_window": f"""WITH t AS (SELECT event_id, {_hs(0)} % 1000 AS lo, {_hs(0)} % 1000 + 1 + {_hs(1)} % 380 AS hi FROM events),
       l AS (SELECT *, least(1400, greatest(500, hi - lo + 64)) AS length FROM t)
-      SELECT event_id, least(greatest(round_even((lo + hi) / 2.0::DOUBLE - length / 2.0::DOUBLE, 0)::INT, greatest(0, hi - length)), least(lo, 1400 - length)) AS start, length FROM l""",
+      SELECT event_id, round_even((greatest(0, hi - length) + least(lo, 1400 - length)) / 2.0::DOUBLE, 0)::INT AS start, length FROM l""",
+    "near_boxes": f"""WITH b AS (SELECT user_id, event_id, {_hs(0)} % 1200 AS x, {_hs(1)} % 680 AS y, 10 + {_hs(2)} % 60 AS w, 5 + {_hs(3)} % 30 AS h FROM events),
+      p AS (SELECT a.event_id, c.event_id AS other, sqrt(pow(greatest(c.x - a.x - a.w, a.x - c.x - c.w, 0), 2) + pow(greatest(c.y - a.y - a.h, a.y - c.y - c.h, 0), 2)) / sqrt(1280.0::DOUBLE * 1280 + 720 * 720) AS distance
+        FROM b a JOIN b c ON a.user_id = c.user_id AND a.event_id <> c.event_id)
+      SELECT event_id, count(*) AS n, arg_min(other, (round(distance, 9), other)) AS nearest FROM p WHERE distance <= 0.05 GROUP BY 1""",
     "resize_dims": f"""WITH p AS (SELECT page_id, ({_hs(0, "page_id")} % 3000 + 50)::DOUBLE AS w, ({_hs(1, "page_id")} % 3000 + 50)::DOUBLE AS h FROM pages),
       a AS (SELECT *, greatest(least(1024 / greatest(w, h), 1), 512 / least(w, h)) AS s FROM p),
       b AS (SELECT page_id, {_STEP("w * s")} AS w, {_STEP("h * s")} AS h FROM a),

@@ -59,6 +59,11 @@ def mixture_assign(spark, d):
     return P.mixture(_docs(spark, d), {"a": 0.5, "b": 0.3, "c": 0.0, "e": 0.2}, 11, "doc_id").select("doc_id", "mix")
 
 
+def weighted_interleave(spark, d):
+    """Documents of four languages merged by weights; one language has none and is left out."""
+    return P.interleaved(_docs(spark, d), "lang", {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.0}, 11, "doc_id").filter("at IS NOT NULL").select("doc_id", "lang", "at")
+
+
 def seeds(spark, d):
     k = F.concat(F.lit("u"), "event_id")
     return table(spark, d, "events").select("event_id", paired_seed(42, k).alias("seed"), stable_hex("s", k).alias("hex"))
@@ -146,7 +151,7 @@ def unnest_elements(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    stable_sample, balanced_repeat, variant_topup, priority_fill, first_n_per_source, shard_assign, run_islands, dedupe_first_wins, mixture_assign, seeds,
+    stable_sample, balanced_repeat, variant_topup, priority_fill, first_n_per_source, shard_assign, run_islands, dedupe_first_wins, mixture_assign, weighted_interleave, seeds,
     last_k_actions, union_sources, except_both, intersect_keys, semi_join_prefilter, stem_join, dual_protocol_explode, reject_reasons, source_counts,
     corpus_validate, token_window_filter, fit_asymmetry, unnest_elements,
 )}
@@ -169,6 +174,9 @@ ORACLE = {
     "dedupe_first_wins": "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
     "mixture_assign": """SELECT doc_id, CASE WHEN u < 0.5 THEN 'a' WHEN u < 0.8 THEN 'b' ELSE 'e' END AS mix FROM
       (SELECT doc_id, ('0x' || substr(sha256('11' || chr(31) || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents)""",
+    "weighted_interleave": f"""WITH g AS (SELECT doc_id, lang, {_hex("'11'", "'order'", "doc_id")} AS h, floor(-ln(1 - ('0x' || substr(sha256('11' || chr(31) || 'gap' || chr(31) || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) * 1000000
+        / CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END)::BIGINT AS gap FROM documents WHERE lang IN ('en', 'de', 'fr'))
+      SELECT doc_id, lang, sum(gap) OVER (PARTITION BY lang ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS at FROM g""",
     "seeds": f"""SELECT event_id, ('0x' || substr(sha256('42' || chr(31) || 'u' || event_id), 1, 8))::BIGINT AS seed, {_hex("'s'", "'u' || event_id")} AS hex FROM events""",
     "last_k_actions": """SELECT event_id, coalesce(array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), ','), '') AS history FROM events""",
     "union_sources": "SELECT 'c' AS kind, c_custkey AS k, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_suppkey, NULL FROM supplier",
