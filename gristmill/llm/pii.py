@@ -6,7 +6,8 @@ phones without a country and secrets look like much else: they pass only with su
 
 Only DataFrame functions run here. Defined results for odd input: a null text counts as empty and has no
 span; positions are code points; equal texts give equal spans; an empty table gives an empty table; other
-columns of the input are ignored, whatever they are called. The character U+0001 in a text is treated as
+columns of the input are ignored, whatever they are called; very long texts and texts of very many spans are whole, and
+their work is linear in both: no position is searched from the start of a text. The character U+0001 in a text is treated as
 U+0002 while matching (no pattern holds either), so positions do not move.
 """
 
@@ -52,35 +53,72 @@ CONTEXT = {k: f"(?i)(^|[^A-Za-z0-9])({words})([^A-Za-z0-9]|$)" for k, words in C
 CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 25, 40, 50
 
 
-def _proposed(text: Column, kind: str) -> Column:
-    """array<struct<start,stop,match>> of a pattern's matches: mark them, split at the marks, add up lengths."""
-    marked = F.regexp_replace(text, PATTERNS[kind], "\u0001$0\u0001")
-    found = F.aggregate(
-        F.split(marked, "\u0001", -1),
-        F.struct(
-            F.lit(0).alias("at"),
-            F.lit(False).alias("hit"),
-            F.array().cast("array<struct<start:int,stop:int,match:string>>").alias("out"),
-        ),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x)).alias("at"),
-            (~acc["hit"]).alias("hit"),
-            F.when(
-                acc["hit"],
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(x)).alias("stop"), x.alias("match"))),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+#: Entries whose running totals are taken together, and characters of a piece of text that is cut out at once.
+BLOCK, CHUNK = 128, 256
+SPANS = "array<struct<start:int,stop:int,match:string,score:int>>"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _div(a: Column, n: int) -> Column:
+    return F.floor(a / n).cast("int")
+
+
+def _running(values: Column, add, deep: int = 1) -> Column:
+    """What add (of whole numbers, from 0) makes of all values before each one; by blocks, and blocks of blocks, so the work is linear."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+
+    def blocks(n):
+        firsts = F.sequence(F.lit(0), _div(F.size(n) - 1, BLOCK))
+        sums = F.transform(firsts, lambda b: total(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
+        if deep:
+            base = _running(sums, add, deep - 1)
+        else:
+            base = _bound(sums, lambda m: F.transform(m, lambda _, i: total(F.slice(m, F.lit(1), i))))
+        within = lambda i: total(F.slice(n, _div(i, BLOCK) * BLOCK + 1, i % BLOCK))
+        return _bound(base, lambda before: F.transform(n, lambda _, i: add(before[_div(i, BLOCK)], within(i))))
+
+    return _bound(values, lambda n: F.when(F.size(n) > 0, blocks(n)).otherwise(F.array().cast("array<int>")))
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, begin: Column, end: Column) -> Column:
+    """The characters from begin to end (exclusive) of a text in chunks, without a walk from its start."""
+    first = _div(begin, CHUNK)
+    held = F.array_join(F.slice(chunks, first + 1, _div(end - 1, CHUNK) - first + 1), "")
+    return F.when(end > begin, F.substring(held, begin - first * CHUNK + 1, end - begin)).otherwise("")
+
+
+def _found(text: Column, safe: Column, kind: str, min_score: int) -> Column:
+    """array<struct<start,stop,match,score>> of a kind: mark the matches, split at the marks, add up lengths."""
+    marked = F.regexp_replace(safe, PATTERNS[kind], "\u0001$0\u0001")
+
+    def spans(pieces, hits):
+        def one(starts, chunks):
+            def span(i):
+                start = starts[i]
+                before = _cut(chunks, F.greatest(start - CONTEXT_CHARS, F.lit(0)), start)
+                score = F.when(before.rlike(CONTEXT[kind]), min(BASE_SCORE[kind] + CONTEXT_GAIN, 100)).otherwise(BASE_SCORE[kind])
+                return F.struct(start.alias("start"), (start + F.char_length(pieces[i])).alias("stop"), pieces[i].alias("match"), score.alias("score"))
+
+            return F.filter(F.transform(hits, span), lambda s: s["score"] >= min_score)
+
+        lengths = F.transform(pieces, lambda p: F.char_length(p))
+        return _bound(_running(lengths, lambda a, x: a + x), lambda starts: _bound(_chunks(text), lambda chunks: one(starts, chunks)))
+
+    def confirmed(pieces):
+        return F.array_compact(F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & _confirmed(p, kind), i)))
+
+    none = F.array().cast(SPANS)
+    some = lambda pieces: _bound(confirmed(pieces), lambda hits: F.when(F.size(hits) > 0, spans(pieces, hits)).otherwise(none))
     worth = text.contains(HINTS[kind]) if HINTS[kind] else F.lit(True)
-    return F.when(worth & text.rlike(PATTERNS[kind]), found).otherwise(
-        F.array().cast("array<struct<start:int,stop:int,match:string>>")
-    )
+    return F.when(worth & safe.rlike(PATTERNS[kind]), _bound(F.split(marked, "\u0001", -1), some)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -127,21 +165,10 @@ def _confirmed(m: Column, kind: str) -> Column:
     return F.lit(True)
 
 
-def _scored(text: Column, proposed: Column, kind: str, min_score: int) -> Column:
-    def score(s):
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(text, begin + 1, s["start"] - begin)
-        value = F.when(before.rlike(CONTEXT[kind]), min(BASE_SCORE[kind] + CONTEXT_GAIN, 100)).otherwise(BASE_SCORE[kind])
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["match"].alias("match"), value.alias("score"))
-
-    kept = F.filter(proposed, lambda s: _confirmed(s["match"], kind))
-    return F.filter(F.transform(kept, score), lambda s: s["score"] >= min_score)
-
-
 def find_spans(text: Column, kinds: tuple[str, ...] = KINDS, min_score: int = LEAST_SCORE) -> dict[str, Column]:
     """Per kind an array<struct<start,stop,match,score>>; text must not be null."""
     safe = F.translate(text, "\u0001", "\u0002")
-    return {kind: _scored(text, _proposed(safe, kind), kind, min_score) for kind in kinds}
+    return {kind: _found(text, safe, kind, min_score) for kind in kinds}
 
 
 def _ranked(spans: Column, kind: str) -> Column:
@@ -176,20 +203,16 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
     rows = rows.select("row", text.alias("t"), *(c.alias(k) for k, c in find_spans(text).items()))
     rows = rows.select("row", "t", _merged({k: F.col(k) for k in KINDS}).alias("spans"))
 
-    def add(acc, s):
-        gap = F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"),
-        )
+    def clean(spans):
+        def parts(at, chunks):  # at: where the spans before each one end, at most
+            gap = lambda s, i: F.when(s["start"] >= at[i], F.array(_cut(chunks, at[i], s["start"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(F.array().cast("array<string>"))
+            last = F.greatest(F.element_at(at, -1), F.element_at(spans, -1)["stop"])
+            return F.array_join(F.concat(F.flatten(F.transform(spans, gap)), F.array(_cut(chunks, last, F.char_length(F.col("t"))))), "")
 
-    clean = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        add,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, F.char_length(F.col("t")))),
-    )
-    rows = rows.select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("row")[text_col]).alias("new"))
+        ends = _running(F.transform(spans, lambda s: s["stop"]), lambda a, x: F.greatest(a, x))
+        return _bound(ends, lambda at: _bound(_chunks(F.col("t")), lambda chunks: parts(at, chunks)))
+
+    rows = rows.select("row", F.when(F.size("spans") > 0, _bound(F.col("spans"), clean)).otherwise(F.col("row")[text_col]).alias("new"))
     changed = {text_col: F.col("new")}
     if count_col in docs.columns:
         kind = docs.schema[count_col].dataType

@@ -83,6 +83,36 @@ def test_query_matches_brute_force_on_documents(spark):
         assert r["n_card"] == sum(k == "card" for k, _, _ in want)
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    text = "é me@x.yz 1.2.3.4, " * 50_000 + "write to a@b.cd"
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    began = time.perf_counter()
+    got = pii.detect(df).collect()[0]["spans"]
+    assert [(s["kind"], s["start"], s["stop"]) for s in got] == base_spans(text) and len(got) == 100_001
+    assert pii.redact(df).collect()[0]["text"] == "é <EMAIL> <IP>, " * 50_000 + "write to <EMAIL>"
+    assert time.perf_counter() - began < 60
+
+
+def test_redacted_texts_equal_a_plain_loop(spark):
+    import random
+
+    r = random.Random(4)
+    bits = ["a@b.cd", "4111 1111 1111 1111", " ", "é😀", "+49 30 1234567", "1.2.3.4", "x" * 130, "\n", "call 030 123 4567", "@", "1.2.3.4@b.cd", "\u0001"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(120))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in pii.detect(df).collect()}
+    for x in pii.redact(df).collect():
+        out, at, text = [], 0, texts[x["doc_id"]]
+        for s in spans[x["doc_id"]]:
+            assert s["match"].replace("\u0002", "\u0001") == text[s["start"] : s["stop"]]
+            if s["start"] >= at:
+                out += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
+            at = max(at, s["stop"])
+        assert x["text"] == "".join(out) + text[at:]
+
+
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
