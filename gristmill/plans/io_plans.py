@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import records as R
 from gristmill.plans.synth import table
 from gristmill.sources import committed, located, readers, repeating, sinks
+from gristmill.streaming import packer
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -208,12 +209,25 @@ def changed_partitions(spark, d) -> DataFrame:
     return spark.read.schema(o.schema).parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
+def packed_stream(spark, d) -> DataFrame:
+    """Documents packed as a stream that ends, by language: how often each is in a sequence, and whether that holds 9,000 tokens at most."""
+    path, limits = scratch(spark, "packed"), {"expected": 8000, "most": 9000, "most_per_sample": 5000, "buffer_size": 20, "prefer_buffer_before": 4000, "drop_overflow": False}
+    docs = table(spark, d, "documents").select("lang", "doc_id", F.least("n_chars", F.lit(4000)).alias("tokens"))
+    docs.write.parquet(f"{path}/in")
+    stream = packer.pack_stream(spark.readStream.schema(docs.schema).parquet(f"{path}/in"), "lang", "doc_id", "tokens", **limits)
+    packer.run_available(stream, f"{path}/check", f"{path}/out")
+    done = spark.read.schema(stream.schema).parquet(f"{path}/out").unionByName(packer.leftover(spark, f"{path}/check", "lang", "doc_id", **limits))
+    total = done.groupBy("lang", "sequence").agg(F.sum("tokens").alias("total"))
+    return done.join(total, ["lang", "sequence"]).groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("total") <= 9000).alias("fits"))
+
+
 QUERIES = {f.__name__: f for f in (
-    parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
+    packed_stream, parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
     prediction_shards, audited_rows, late_rows, group_rows, repeated_epochs, content_store, changed_partitions,
 )}
 
 ORACLE = {
+    "packed_stream": "SELECT doc_id, 1::BIGINT AS times, true AS fits FROM documents",
     "parquet_shards": "SELECT doc_id, source, n_chars FROM documents",
     "parquet_quota": "SELECT n_nationkey, 2::BIGINT AS n FROM nation",
     "json_lines_trip": "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations",

@@ -3,11 +3,13 @@
 import io
 import json
 import tarfile
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.operators import packing
 from gristmill.operators.packing import Packer, pack_stream
 from gristmill.sources import readers, sinks
 from gristmill.streaming import packer as stream_packer
@@ -82,25 +84,47 @@ def test_writers(spark, tmp_path):
     assert sinks.merge_manifest({"sources": {"a": {"rows": 1}, "b": {"rows": 2}}}, {"b": {"rows": 5}})["total_rows"] == 6
 
 
-def test_stream_packing_survives_a_restart(spark, tmp_path):
-    limits = {"expected": 50, "most": 60, "most_per_sample": 55, "buffer_size": 3, "prefer_buffer_before": 20}
-    rows = [(i % 2, i, 5 + (i * 37) % 50) for i in range(80)]
-    schema = "shard long, id long, tokens long"
-    stream = lambda: stream_packer.pack_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "shard", "id", "tokens", **limits)
+def packed_by_batch(spark, rows, limits, mandatory=None):
+    schema = "shard long, id long, tokens long, kind string"
+    out = packing.pack(spark.createDataFrame(rows, schema), "shard", "id", "id", "tokens", mandatory, **limits)
+    return {(r.shard, r.sequence, r.position): r.id for r in out.collect()}
+
+
+LIMITS = {"expected": 50, "most": 60, "most_per_sample": 55, "buffer_size": 3, "prefer_buffer_before": 20}
+
+
+def test_stream_packing_survives_restarts_and_ends_whole(spark, tmp_path):
+    rows = [(i % 2, i, 5 + (i * 37) % 50, None) for i in range(80)]
+    schema = "shard long, id long, tokens long, kind string"
+    stream = lambda: stream_packer.pack_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "shard", "id", "tokens", **LIMITS)
     for part in (rows[:33], rows[33:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream_packer.run_available(stream(), f"{tmp_path}/check", f"{tmp_path}/out")
     stream_packer.run_available(stream(), f"{tmp_path}/check", f"{tmp_path}/out")
-    got = {(r.shard, r.sequence, r.position): r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {}
-    for s in (0, 1):
-        packer, n = Packer(**limits), 0
-        for _, i, t in (r for r in rows if r[0] == s):
-            for members in packer.add(i, t):
-                want |= {(s, n, j): k for j, (k, _) in enumerate(members)}
-                n += 1
-    assert got == want and len(got) > 40
-    assert list(pack_stream([], Packer(**limits))) == []
+    done = {(r.shard, r.sequence, r.position): r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    places = {r.shard: r for r in stream_packer.places(spark, f"{tmp_path}/check", "shard").collect()}
+    assert {s: (p.rows, p.last) for s, p in places.items()} == {0: (40, 78), 1: (40, 79)}
+    last = {(r.shard, r.sequence, r.position): r.id for r in stream_packer.leftover(spark, f"{tmp_path}/check", "shard", "id", **LIMITS).collect()}
+    assert last and not done.keys() & last.keys() and all(places[s].sequence <= q for s, q, _ in last)
+    assert done | last == packed_by_batch(spark, rows, LIMITS) and len(done) > 40
+    assert list(pack_stream([], Packer(**LIMITS))) == []
+
+
+def test_an_idle_stream_emits_its_last_sequences(spark, tmp_path):
+    rows = [(i % 2, i, 5 + (i * 37) % 30, "abc"[i % 3] if 0 <= i - 4 < 9 else None) for i in range(40)]
+    spark.createDataFrame(rows, "shard long, id long, tokens long, kind string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("shard long, id long, tokens long, kind string").parquet(f"{tmp_path}/in")
+    limits = LIMITS | {"drop_overflow": False}
+    want = packed_by_batch(spark, rows, limits, "kind")
+    q = stream_packer.pack_stream(source, "shard", "id", "tokens", "kind", 1, **limits).writeStream.format("memory").queryName("packed").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("packed").count() >= len(want):
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert {(r.shard, r.sequence, r.position): r.id for r in spark.table("packed").collect()} == want
 
 
 def test_stream_windows_equal_the_batch(spark, tmp_path):
