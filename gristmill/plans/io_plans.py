@@ -6,10 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.functions import raster
 from gristmill.operators import records as R
 from gristmill.plans.synth import table
 from gristmill.sources import committed, located, readers, repeating, sinks
@@ -221,12 +222,45 @@ def packed_stream(spark, d) -> DataFrame:
     return done.join(total, ["lang", "sequence"]).groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("total") <= 9000).alias("fits"))
 
 
+def _graymap(vector) -> Column:
+    """Eight by eight samples of a vector of 64, as a graymap."""
+    value = lambda x: F.greatest(F.least(F.floor((x.cast("double") + 1) * 127.5), F.lit(255)), F.lit(0))
+    digits = F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(value(x)), 2, "0")), "")
+    return F.concat(F.encode(F.lit("P5 8 8 255\n"), "UTF-8"), F.unhex(digits))
+
+
+def image_grids(spark, d) -> DataFrame:
+    """Of every label's vectors, drawn as images, the first four in a grid."""
+    rows = table(spark, d, "embeddings").select("label", "vec_id", _graymap("embedding").alias("image"))
+    out = raster.grids(rows, "label", "vec_id", "image", 8)
+    pixels = raster.samples("grid")
+    return out.select("label", pixels.alias("p")).select("label", F.md5(F.array_join("p", ",")).alias("digest"))
+
+
+def flattened_images(spark, d) -> DataFrame:
+    """Every vector as sixteen pixels of colour and see-through, on white."""
+    header = "89504e470d0a1a0a"
+    rows = table(spark, d, "embeddings").select("vec_id", _graymap("embedding").alias("image"))
+    out = rows.select("vec_id", raster.see_through(F.col("image")).alias("image"))
+    flat = out.select("vec_id", raster.stepped(F.col("image"), [("flatten", {})], F.col("vec_id")).alias("image"))
+    signed = F.lower(F.hex(F.substring("image", 1, 8))) == header
+    return flat.filter(signed).select("vec_id", raster.samples("image").alias("p")).select("vec_id", F.md5(F.array_join("p", ",")).alias("digest"))
+
+
 QUERIES = {f.__name__: f for f in (
-    packed_stream, parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
+    image_grids, flattened_images, packed_stream, parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
     prediction_shards, audited_rows, late_rows, group_rows, repeated_epochs, content_store, changed_partitions,
 )}
 
+_BYTES = "list_transform(embedding, lambda x: greatest(least(floor((x::DOUBLE + 1) * 127.5::DOUBLE), 255), 0)::INT)"
 ORACLE = {
+    "image_grids": f"""WITH r AS (SELECT label, {_BYTES} AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+      g AS (SELECT label, list(v ORDER BY r) AS t FROM r WHERE r <= 4 GROUP BY 1)
+      SELECT label, md5(CASE WHEN len(t) = 1 THEN '8,8,3,' || array_to_string(list_transform(range(192), lambda i: t[1][i // 3 + 1]), ',')
+        ELSE '16,16,3,' || array_to_string(list_transform(range(768), lambda i: coalesce(t[(i // 384) * 2 + (i // 24) % 2 + 1][((i // 48) % 8) * 8 + (i // 3) % 8 + 1], 255)), ',') END) AS digest FROM g""",
+    "flattened_images": f"""WITH v AS (SELECT vec_id, {_BYTES} AS v FROM embeddings),
+      t AS (SELECT vec_id, list_transform(range(48), lambda i: v[(i // 3) * 4 + i % 3 + 1] * v[(i // 3) * 4 + 4] + 255 * (255 - v[(i // 3) * 4 + 4]) + 128) AS t FROM v)
+      SELECT vec_id, md5('4,4,3,' || array_to_string(list_transform(t, lambda x: ((x >> 8) + x) >> 8), ',')) AS digest FROM t""",
     "packed_stream": "SELECT doc_id, 1::BIGINT AS times, true AS fits FROM documents",
     "parquet_shards": "SELECT doc_id, source, n_chars FROM documents",
     "parquet_quota": "SELECT n_nationkey, 2::BIGINT AS n FROM nation",
