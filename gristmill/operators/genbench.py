@@ -136,3 +136,16 @@ def tag_summary(rows: DataFrame, tag: str, prompt: str, correct: str, order: str
     return by_prompt.groupBy(tag).agg(
         F.sum("n").alias("images"), (F.sum("good") / F.sum("n")).alias("image_share"), F.avg("any").alias("prompt_share"), F.min("first").alias("first_seen")
     )
+
+
+def overall(rows: DataFrame, tag: str, prompt: str, correct: str) -> DataFrame:
+    """One row: images, prompts, their shares of correct ones, and the mean of the tags' shares, each tag counting alike.
+
+    A prompt is correct if any of its images is; prompts that tags share are counted once.
+    """
+    c = F.coalesce(F.col(correct), F.lit(False))
+    by_both = rows.select(F.col(tag).alias("_t"), F.col(prompt).alias("_p"), c.alias("_c")).groupBy("_t", "_p").agg(F.count("*").alias("n"), F.count_if("_c").alias("good"))
+    tags = by_both.groupBy("_t").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    score = tags.agg(F.sum("n").alias("images"), (F.sum("good") / F.sum("n")).alias("image_share"), F.avg(F.col("good") / F.col("n")).alias("task_mean"))
+    prompts = by_both.groupBy("_p").agg(F.max((F.col("good") > 0).cast("int")).alias("any")).agg(F.count("*").alias("prompts"), F.avg("any").alias("prompt_share"))
+    return score.crossJoin(prompts)  # a row each

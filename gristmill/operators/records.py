@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.functions import actions as A
 from gristmill.functions import geometry as G
 from gristmill.functions.actions import grounding_prompt, history_prompt, replace_box
 from gristmill.functions.hashing import stable_hex
@@ -204,3 +205,17 @@ def lookup(rows: DataFrame, key: str, value, what: str = "row"):
     if not found:
         raise KeyError(f"no {what} {value!r}")
     return found[0]
+
+
+def prediction_records(outputs: DataFrame, keep: list[str], text: str, error: str, measured: list[str]) -> DataFrame:
+    """Records of a run: what the model said, read as an action, or for a sample that failed an empty prediction and the error.
+
+    Keeps the sample's columns; measured ones are null where the run failed. A null text without an error is an empty prediction.
+    """
+    failed = F.col(error).isNotNull()
+    said = F.when(failed, "").otherwise(F.coalesce(F.col(text), F.lit("")))
+    rows = outputs.select(*keep, said.alias("prediction"), A.parsed_prediction(said).alias("_p"), F.col(error).alias("error"), *(F.when(~failed, F.col(c)).alias(c) for c in measured))
+    return rows.select(
+        *keep, "prediction", F.col("_p.action").alias("predicted_action"), F.when(F.col("_p.error").isNull(), F.col("_p.box")).alias("predicted_box"),
+        F.col("_p.value").alias("predicted_value"), F.when(F.col("error").isNotNull(), "inference_error").otherwise(F.col("_p.error")).alias("parse_error"), *measured, "error",
+    )

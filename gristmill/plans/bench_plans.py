@@ -48,6 +48,12 @@ def geneval_summary(spark, d):
     return s.select("tag", "images", F.round("image_share", 9).alias("image_share"), F.round("prompt_share", 9).alias("prompt_share"), "first_seen")
 
 
+def geneval_overall(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("tag"), (F.col("user_id") % 50).alias("prompt"), (h(F.col("event_id"), 0) % 3 == 0).alias("correct"))
+    o = B.overall(e, "tag", "prompt", "correct")
+    return o.select("images", "prompts", *(F.round(c, 9).alias(c) for c in ("image_share", "prompt_share", "task_mean")))
+
+
 def _detections(spark, d):
     e, k = table(spark, d, "events"), F.col("event_id")
     box = F.array(*(x.cast("double") for x in (h(k, 0) % 300, h(k, 1) % 300, h(k, 0) % 300 + 40 + h(k, 2) % 100, h(k, 1) % 300 + 40 + h(k, 3) % 100)))
@@ -129,7 +135,7 @@ def stream_dedup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    token_f1, best_candidate, text_link, geneval_summary, top_objects, nms_topk, dpg_rollup, dpg_gate, question_runs, confidence_commit, commit_schedule, cosine_alignment,
+    token_f1, best_candidate, text_link, geneval_summary, geneval_overall, top_objects, nms_topk, dpg_rollup, dpg_gate, question_runs, confidence_commit, commit_schedule, cosine_alignment,
     tumbling_windows, sliding_windows, session_windows, stream_dedup,
 )}
 
@@ -155,6 +161,9 @@ ORACLE = {
     "geneval_summary": f"""WITH e AS (SELECT event_id, event_type AS tag, user_id % 50 AS prompt, {sql_h("event_id", 0)} % 3 = 0 AS ok FROM events),
       p AS (SELECT tag, prompt, count(*) AS n, count(*) FILTER (ok) AS good, bool_or(ok)::INT AS any_ok, min(event_id) AS f FROM e GROUP BY 1, 2)
       SELECT tag, sum(n)::BIGINT AS images, round(sum(good) / sum(n), 9) AS image_share, round(avg(any_ok), 9) AS prompt_share, min(f) AS first_seen FROM p GROUP BY 1""",
+    "geneval_overall": f"""WITH e AS (SELECT event_type AS tag, user_id % 50 AS prompt, ({sql_h("event_id", 0)} % 3 = 0)::INT AS ok FROM events)
+      SELECT count(*) AS images, count(DISTINCT prompt) AS prompts, round(avg(ok), 9) AS image_share, (SELECT round(avg(a), 9) FROM (SELECT max(ok) AS a FROM e GROUP BY prompt)) AS prompt_share,
+        (SELECT round(avg(a), 9) FROM (SELECT avg(ok) AS a FROM e GROUP BY tag)) AS task_mean FROM e""",
     "top_objects": f"WITH {_DET}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score DESC, event_id)::INT AS rank FROM e WHERE score > 0.3) SELECT user_id, event_type, event_id, rank FROM r WHERE rank <= 16",
     "dpg_rollup": """WITH l AS (SELECT l_returnflag AS l1, l_returnflag || ' - ' || l_linestatus AS l2, (l_quantity > 25)::INT AS s FROM lineitem)
       SELECT l1, l2, round(avg(s), 9) AS mean_score, count(*) AS n FROM l GROUP BY ROLLUP (l1, l2)""",

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.functions import actions as A
 from gristmill.functions import raster
+from gristmill.operators import audit as U
 from gristmill.operators import records as R
-from gristmill.plans.synth import table
+from gristmill.plans.synth import scored_rows, table
 from gristmill.sources import committed, located, readers, repeating, sinks
 from gristmill.streaming import packer
 
@@ -247,13 +249,38 @@ def flattened_images(spark, d) -> DataFrame:
     return flat.filter(signed).select("vec_id", raster.samples("image").alias("p")).select("vec_id", F.md5(F.array_join("p", ",")).alias("digest"))
 
 
+def benchmark_audit(spark, d) -> DataFrame:
+    """Benchmarks of events, a file and a manifest's line each, written by executors and checked: one file is altered, some images are missing."""
+    path, k = scratch(spark, "benchmark"), F.col("event_id")
+    t = scored_rows(spark, d).select(
+        F.concat(F.lit("s"), F.when(k % 97 == 0, k - k % 970).otherwise(k)).alias("sample_id"), F.when(k % 51 == 0, "other").otherwise(F.col("event_type")).alias("benchmark"),
+        F.when(k % 41 == 0, "drag").otherwise(F.col("target_action")).alias("target_action"), F.col("target_box"), F.concat(F.lit("images/"), k % 20, F.lit(".png")).alias("image"), F.col("event_type").alias("own"),
+    )
+    lines = t.groupBy("own").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("sample_id", "benchmark", "target_action", "target_box", "image")))), "\n").alias("text"), F.count("*").alias("rows"))
+    named = lines.select(F.concat("own", F.lit(".jsonl")).alias("path"), F.encode("text", "UTF-8").alias("content"), "own", "rows").persist()
+    sinks.write_files(named, "path", "content", path)
+    sinks.write_files(t.select("image").distinct().filter("image <> 'images/7.png'").select("image", F.lit("x").cast("binary").alias("content")), "image", "content", path)
+    own = F.when(F.col("own") == "click", F.lit("0")).otherwise(F.sha2("content", 256))
+    manifest = named.select(F.col("own").alias("benchmark"), "path", (F.col("rows") + F.when(F.col("own") == "view", 1).otherwise(0)).alias("rows"), own.alias("sha256"))
+    below = lambda c: F.regexp_extract(c, "/benchmark-[0-9a-f]+/(.*)$", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select(below(F.col("path")).alias("path"), "content")
+    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", True).load(path).select(below(F.col("path")).alias("path"))
+    schema = "sample_id string, benchmark string, target_action string, target_box array<double>, image string"
+    records = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(path).select("*", below(F.col("_metadata.file_path")).alias("file"))
+    return U.benchmark_report(files, manifest, records, images, A.ACTIONS)
+
+
 QUERIES = {f.__name__: f for f in (
-    image_grids, flattened_images, packed_stream, parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
+    benchmark_audit, image_grids, flattened_images, packed_stream, parquet_shards, parquet_quota, json_lines_trip, json_array_trip, csv_trip, csv_report, text_lines_trip, tar_trip, zip_trip, image_folder, results_trip,
     prediction_shards, audited_rows, late_rows, group_rows, repeated_epochs, content_store, changed_partitions,
 )}
 
 _BYTES = "list_transform(embedding, lambda x: greatest(least(floor((x::DOUBLE + 1) * 127.5::DOUBLE), 255), 0)::INT)"
 ORACLE = {
+    "benchmark_audit": f"""WITH e AS (SELECT event_type AS own, event_id AS k, CASE WHEN event_id % 97 = 0 THEN event_id - event_id % 970 ELSE event_id END AS s FROM events),
+      t AS (SELECT *, count(*) OVER (PARTITION BY s) > 1 AS again FROM e)
+      SELECT own AS benchmark, count(*) AS file_rows, own <> 'view' AS rows_equal, own <> 'click' AS checksum_equal, count(*) FILTER (k % 51 = 0) AS wrong_benchmark, count(*) FILTER (again) AS repeated,
+        count(*) FILTER (k % 41 = 0) AS bad_actions, 0::BIGINT AS bad_boxes, count(*) FILTER (k % 20 = 7) AS missing_images FROM t GROUP BY own""",
     "image_grids": f"""WITH r AS (SELECT label, {_BYTES} AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
       g AS (SELECT label, list(v ORDER BY r) AS t FROM r WHERE r <= 4 GROUP BY 1)
       SELECT label, md5(CASE WHEN len(t) = 1 THEN '8,8,3,' || array_to_string(list_transform(range(192), lambda i: t[1][i // 3 + 1]), ',')

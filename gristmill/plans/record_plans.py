@@ -152,6 +152,21 @@ def benchmark_checks(spark, d):
     return R.benchmark_checks(t, K, "event_type", "action", "box", A.ACTIONS)
 
 
+def prediction_records(spark, d):
+    """Predictions of events as records; one in fifty failed."""
+    t = scored_rows(spark, d)
+    out = t.select(K, "target_action", "prediction", F.col("value").alias("latency"), F.when(h(F.col(K), 11) % 50 == 0, F.concat(F.lit("TimeoutError: "), K)).alias("error"))
+    r = R.prediction_records(out, [K, "target_action"], "prediction", "error", ["latency"])
+    return r.withColumn("predicted_box", F.array_join(F.transform("predicted_box", lambda v: v.cast("int")), ","))
+
+
+def colour_rules(spark, d):
+    """As rule_checks, by colours: two returned lines that are shipped, one open line of no flag, fewer than three accepted."""
+    o = _line_objects(spark, d)
+    o = o.withColumns({"include": F.array(_clause("R", 2, "F"), _clause("N", 1, "O")), "exclude": F.array(_clause("A", 3))})
+    return o.select("l_orderkey", B.judged_rules("objects", "include", "exclude").alias("r")).select("l_orderkey", "r.correct", "r.reason")
+
+
 def seeded_file_order(spark, d):
     files = table(spark, d, "supplier").select(F.concat(F.lit("part-"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("path")).withColumn("epoch", F.lit(3))
     return R.seeded_files(files, "path", 42, F.col("epoch"), 2, 2).select("path", "rank", "worker", "turn")
@@ -232,23 +247,30 @@ def utc_stamps(spark, d):
     return table(spark, d, "events").select(K, H.utc_stamp(F.col("ts")).alias("stamp"))
 
 
-def rule_checks(spark, d):
-    """Orders as images, their lines as objects: one accepted, one returned that stands right of it, fewer than two of no flag."""
+def _line_objects(spark, d):
+    """Orders as images, their lines as objects from left to right; a line's status is its colour."""
     li = table(spark, d, "lineitem")
     x = F.col("l_linenumber").cast("double") * 20
     box = F.array(x, F.lit(0.0), x + 10, F.lit(10.0))
     thing = F.struct("l_linenumber", F.col("l_returnflag").alias("class"), box.alias("box"), F.col("l_linestatus").alias("color"))
     o = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(thing)).alias("o"))
-    o = o.select("l_orderkey", F.transform("o", lambda t: F.struct(t["class"].alias("class"), t["box"].alias("box"), t["color"].alias("color"))).alias("objects"))
-    clause = lambda name, n, color=None, side=None, of=None: F.struct(F.lit(name).alias("class"), F.lit(n).alias("count"), F.lit(color).cast("string").alias("color"), F.lit(side).cast("string").alias("side"), F.lit(of).cast("int").alias("of"))
-    o = o.withColumns({"include": F.array(clause("A", 1), clause("R", 1, side="right of", of=0)), "exclude": F.array(clause("N", 2))})
+    return o.select("l_orderkey", F.transform("o", lambda t: F.struct(t["class"].alias("class"), t["box"].alias("box"), t["color"].alias("color"))).alias("objects"))
+
+
+def _clause(name, n, color=None, side=None, of=None):
+    return F.struct(F.lit(name).alias("class"), F.lit(n).alias("count"), F.lit(color).cast("string").alias("color"), F.lit(side).cast("string").alias("side"), F.lit(of).cast("int").alias("of"))
+
+
+def rule_checks(spark, d):
+    """Orders as images, their lines as objects: one accepted, one returned that stands right of it, fewer than two of no flag."""
+    o = _line_objects(spark, d).withColumns({"include": F.array(_clause("A", 1), _clause("R", 1, side="right of", of=0)), "exclude": F.array(_clause("N", 2))})
     return o.select("l_orderkey", B.judged_rules("objects", "include", "exclude").alias("r")).select("l_orderkey", "r.correct", "r.reason")
 
 
 QUERIES = {f.__name__: f for f in (
     scan_skip_rules, scan_text_only, row_hook, key_rename, seeded_line_order, ordered_prefix, numbered_images, latest_steps, external_boxes, web_routing,
     protocol_prompts, element_prompts, last_answers, realigned_boxes, realigned_rates, question_coverage, replay_turns, last_crop_categories, token_losses,
-    rank_totals, benchmark_checks, seeded_file_order, video_turns, marked_images, byte_tokens, adaptive_lengths, spread_positions, guided_steps, quarter_crops,
+    rank_totals, benchmark_checks, prediction_records, colour_rules, seeded_file_order, video_turns, marked_images, byte_tokens, adaptive_lengths, spread_positions, guided_steps, quarter_crops,
     patch_rows, merged_segments, adapted_ids, edit_merges, sample_hashes, utc_stamps, rule_checks,
 )}
 
@@ -322,6 +344,16 @@ ORACLE = {
         event_type || ':' || {" || ',' || ".join(f"{v} || '.000'" for v in ("x1", "y1", "x2", "y2"))} AS cache FROM targets"""
     ),
     "utc_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events",
+    "prediction_records": with_sql(f"""SELECT event_id, target_action, CASE WHEN bad THEN '' ELSE prediction END AS prediction, CASE WHEN NOT bad THEN predicted END AS predicted_action,
+      CASE WHEN NOT bad AND error IS NULL THEN concat_ws(',', px1::INT, py1::INT, px2::INT, py2::INT) END AS predicted_box, CASE WHEN NOT bad THEN trim(coalesce(m.said_value, '')) ELSE '' END AS predicted_value,
+      CASE WHEN bad THEN 'inference_error' ELSE error END AS parse_error, CASE WHEN NOT bad THEN value END AS latency, CASE WHEN bad THEN 'TimeoutError: ' || event_id END AS error
+      FROM (SELECT *, {sql_h("event_id", 11)} % 50 = 0 AS bad FROM errors)"""),
+    "colour_rules": """WITH a AS (SELECT l_orderkey, list(l_linestatus ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'R') AS r, list(l_linestatus ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'N') AS n,
+        count(*) FILTER (l_returnflag = 'A') AS a FROM lineitem GROUP BY 1),
+      c AS (SELECT l_orderkey, a, coalesce(len(r), 0) AS r, coalesce(len(n), 0) AS n, len(list_filter(coalesce(r, [])[1:2], lambda x: x = 'F')) AS rf, len(list_filter(coalesce(n, [])[1:1], lambda x: x = 'O')) AS no FROM a),
+      p AS (SELECT l_orderkey, CASE WHEN r < 2 THEN 'expected R>=2, found ' || r WHEN rf < 2 THEN 'expected F R>=2, found ' || rf || ' F' END AS p1,
+        CASE WHEN n < 1 THEN 'expected N>=1, found 0' WHEN no < 1 THEN 'expected O N>=1, found 0 O' END AS p2, CASE WHEN a >= 3 THEN 'expected A<3, found ' || a END AS p3 FROM c)
+      SELECT l_orderkey, p1 IS NULL AND p2 IS NULL AND p3 IS NULL AS correct, concat_ws(chr(10), p1, p2, p3) AS reason FROM p""",
     "rule_checks": """WITH a AS (SELECT l_orderkey, min(l_linenumber) FILTER (l_returnflag = 'A') AS a, min(l_linenumber) FILTER (l_returnflag = 'R') AS s, count(*) FILTER (l_returnflag = 'N') AS r FROM lineitem GROUP BY 1),
       p AS (SELECT l_orderkey, CASE WHEN a IS NULL THEN 'expected A>=1, found 0' END AS p1, CASE WHEN s IS NULL THEN 'expected R>=1, found 0' WHEN a IS NULL THEN 'no target for R to be right of' WHEN s <= a THEN 'expected R right of target' END AS p2,
         CASE WHEN r >= 2 THEN 'expected N<2, found ' || r END AS p3 FROM a)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import paired_seed, stable_hex
+from gristmill.operators import audit as U
 from gristmill.operators import sampling as P
 from gristmill.operators import validation as V
 from gristmill.plans.synth import h, sql_h, table
@@ -131,6 +132,16 @@ def corpus_validate(spark, d):
     return V.corpus_report(t, ("doc_id", "text", "source"), "doc_id", "source", "answer", F.col("text").cast("binary"))
 
 
+def corpus_sources(spark, d):
+    """Documents of every source against expected counts, which are wrong for sources of an odd number of rows; with answers out of order."""
+    k = F.col("doc_id")
+    box = F.concat(F.lit("lclick ["), F.concat_ws(",", *((h(k, i) % 700 + (300 if i > 1 else 0)).cast("string") for i in range(4))), F.lit("]"))
+    t = table(spark, d, "documents").select("doc_id", "source", "text", box.alias("answer"))
+    n = t.groupBy("source").agg(F.count("*").alias("n")).select("source", (F.floor(F.col("n") / 2) * 2).alias("expected"))
+    expected = n.unionByName(t.sparkSession.range(1).select(F.lit("nowhere").alias("source"), F.lit(5).cast("long").alias("expected")))
+    return U.source_report(t, expected, "doc_id", "source", F.col("text").cast("binary"), ~U.ordered_box(F.col("answer")))
+
+
 def token_window_filter(spark, d):
     t = _docs(spark, d).withColumn("tokens", F.col("n_chars"))
     _, counter = V.token_window(t, "tokens", 1000, 4000)
@@ -153,7 +164,7 @@ def unnest_elements(spark, d):
 QUERIES = {f.__name__: f for f in (
     stable_sample, balanced_repeat, variant_topup, priority_fill, first_n_per_source, shard_assign, run_islands, dedupe_first_wins, mixture_assign, weighted_interleave, seeds,
     last_k_actions, union_sources, except_both, intersect_keys, semi_join_prefilter, stem_join, dual_protocol_explode, reject_reasons, source_counts,
-    corpus_validate, token_window_filter, fit_asymmetry, unnest_elements,
+    corpus_validate, corpus_sources, token_window_filter, fit_asymmetry, unnest_elements,
 )}
 
 _hex = lambda *parts: "substr(sha256(" + " || chr(31) || ".join(parts) + "), 1, 16)"
@@ -189,6 +200,10 @@ ORACLE = {
     "reject_reasons": "SELECT coalesce('rejected:' || why, 'valid') AS counter, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {e} THEN '{n}'" for n, e in _RULES) + " END AS why FROM documents) GROUP BY 1",
     "source_counts": "SELECT source, count(*) AS n, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY 1",
     "corpus_validate": f"""SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, count(DISTINCT source) AS n_sources, count(*) FILTER ({sql_h("doc_id", 0)} % 9 = 0) AS bad_answers, count(DISTINCT text) AS n_contents FROM documents""",
+    "corpus_sources": f"""WITH a AS (SELECT source, doc_id, sha256(text) AS c, {sql_h("doc_id", 0)} % 700 AS x1, {sql_h("doc_id", 1)} % 700 AS y1, {sql_h("doc_id", 2)} % 700 + 300 AS x2, {sql_h("doc_id", 3)} % 700 + 300 AS y2,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+      SELECT source, count(*) AS rows, count(*) // 2 * 2 AS expected, count(*) % 2 = 0 AS equal, count(*) FILTER (x2 <= x1 OR y2 <= y1) AS invalid, count(*) FILTER (r <= 200) AS checked, count(DISTINCT c) FILTER (r <= 200) AS contents
+      FROM a GROUP BY source UNION ALL SELECT 'nowhere', 0, 5, false, 0, 0, 0""",
     "token_window_filter": """SELECT CASE WHEN n_chars <= 1000 THEN 'filtered:short' WHEN n_chars > 4000 THEN 'filtered:long' ELSE 'valid' END AS counter, count(*) AS n, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY 1""",
     "fit_asymmetry": "SELECT count(*) FILTER (n_chars + 6 <= 2006) AS normal, count(*) FILTER (n_chars + 6 < 2006) AS mandatory FROM documents",
     "unnest_elements": f"""WITH e AS (SELECT page_id, unnest(range({sql_h("page_id", 0)} % 5 + 1))::INT AS position, {sql_h("page_id", 1)} AS b FROM pages)
