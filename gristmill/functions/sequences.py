@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.hashing import uniform
+from gristmill.functions.hashing import stable_hex, uniform
 
 
 def until(ids: Column, end: int) -> Column:
@@ -61,6 +61,37 @@ def middle_frames(n: Column, frames: Column) -> Column:
     return F.when(k > 0, F.concat(found, F.array_repeat(F.element_at(found, -1), n - k)))
 
 
+def _intervals(n: Column, frames: Column) -> Column:
+    """Of min(n, frames) equal intervals the first frame and the one behind the last."""
+    k = F.least(n, frames)
+    at = lambda i: F.floor(i * frames / k).cast("int")
+    return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(at(i).alias("lo"), at(i + 1).alias("hi"))))
+
+
+def _to_length(found: Column, n: Column) -> Column:
+    return F.transform(F.array(found), lambda f: F.concat(f, F.array_repeat(F.element_at(f, -1), n - F.size(f))))[0]
+
+
+def started_frames(n: Column, frames: Column, start: int) -> Column:
+    """n frames, each so far behind the start of its interval; a short video repeats the last one."""
+    return _to_length(F.transform(_intervals(n, frames), lambda s: s["lo"] + start), n)
+
+
+def drawn_frames(n: Column, frames: Column, *seed) -> Column:
+    """n frames drawn by a seed: one of each interval but its last frame or, where an interval has no other, any of the video in order.
+
+    A short video repeats the last one.
+    """
+
+    def draw(spans):
+        each = F.transform(spans, lambda s, i: s["lo"] + F.floor(uniform("frame", *seed, i) * (s["hi"] - 1 - s["lo"])).cast("int"))
+        every = F.transform(F.sequence(F.lit(0), frames - 1), lambda f: F.struct(stable_hex("frame", *seed, f).alias("h"), f.alias("f")))
+        some = F.array_sort(F.transform(F.slice(F.array_sort(every), 1, F.size(spans)), lambda s: s["f"]))
+        return F.when(F.forall(spans, lambda s: s["hi"] - 1 > s["lo"]), each).otherwise(some)
+
+    return _to_length(F.transform(F.array(_intervals(n, frames)), draw)[0], n)
+
+
 def rate_frames(fps: float, frames: Column, input_fps: Column, most: int = -1) -> Column:
     """Frames at a rate, each from the middle of its span, half to even."""
     gap = 1.0 / fps
@@ -70,9 +101,13 @@ def rate_frames(fps: float, frames: Column, input_fps: Column, most: int = -1) -
     return F.slice(kept, 1, most) if most > 0 else kept
 
 
+# Fixed value: how a frame's file ends.
+FRAME_NAME = r"_(\d+).jpg$"
+
+
 def frame_number(name: Column) -> Column:
     """The number before .jpg; -1 without."""
-    return F.coalesce(F.regexp_extract(name, r"_(\d+).jpg$", 1).try_cast("int"), F.lit(-1))
+    return F.coalesce(F.regexp_extract(name, FRAME_NAME, 1).try_cast("int"), F.lit(-1))
 
 
 def edit_span(images: Column, *seed) -> Column:

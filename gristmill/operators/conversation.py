@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gristmill.functions.arrays import running
+
 TAG = "<image>"
 
 
@@ -66,7 +68,7 @@ def interleaved(text: Column, images: Column) -> Column:
 
 def running_offsets(lengths: Column) -> Column:
     """Where each of the lengths begins."""
-    return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
+    return running(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def image_plan(need_loss: Column, need_vae: Column, need_vit: Column) -> Column:

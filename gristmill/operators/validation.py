@@ -60,3 +60,29 @@ def corpus_report(rows: DataFrame, required: tuple[str, ...], key: str, source:
 def require(condition: bool, message: str) -> None:
     if not condition:
         raise ValueError(message)
+
+
+def box_problem(box: Column, width: Column, height: Column) -> Column:
+    """Why a target's box can't be used on an image: missing_box, zero_size or off_screen; null if it can, and is at least partly visible."""
+    ends = [box[i].cast("double") for i in range(4)]
+    lacking = box.isNull() | (F.size(box) != 4) | F.exists(box, lambda v: v.isNull())
+    return reason(
+        ("missing_box", lacking), ("zero_size", (ends[2] <= ends[0]) | (ends[3] <= ends[1])),
+        ("off_screen", (ends[2] <= 0) | (ends[3] <= 0) | (ends[0] >= width) | (ends[1] >= height)),
+    )
+
+
+def record_problem(content: Column, answer: Column, required: dict[str, Column]) -> Column:
+    """Why a record isn't made: empty_content, invalid_answer, or missing:<name> of a required field that is null or blank."""
+    blank = lambda c: c.isNull() | (F.trim(c.cast("string")) == "")
+    empty = content.isNull() | (F.octet_length(content) == 0)
+    return reason(("empty_content", empty), *((f"missing:{name}", blank(c)) for name, c in required.items()), ("invalid_answer", ~F.coalesce(is_answer(answer), F.lit(False))))
+
+
+def special_tokens(vocabulary: dict[str, int], wanted: list[str]) -> tuple[dict[str, int], int]:
+    """Ids of the wanted tokens, and how many of them are new: those get the ids after the greatest one, in order."""
+    found, after = {}, max(vocabulary.values(), default=-1) + 1
+    for token in dict.fromkeys(wanted):
+        found[token] = vocabulary.get(token, after)
+        after += token not in vocabulary
+    return found, sum(t not in vocabulary for t in found)

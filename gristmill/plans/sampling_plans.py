@@ -142,6 +142,24 @@ def corpus_sources(spark, d):
     return U.source_report(t, expected, "doc_id", "source", F.col("text").cast("binary"), ~U.ordered_box(F.col("answer")))
 
 
+def box_problems(spark, d):
+    """Boxes of events, some without numbers, without size or beside the screen: how many for each reason."""
+    k = F.col("event_id")
+    x, y = h(k, 0) % 2000 - 300, h(k, 1) % 1200 - 200
+    box = F.when(h(k, 4) % 30 > 0, F.array(x, y, x + h(k, 2) % 90, y + 20))
+    rows = table(spark, d, "events").select(V.box_problem(box, F.lit(1280), F.lit(720)).alias("why"))
+    return V.counters(rows, "why")
+
+
+def record_problems(spark, d):
+    """Documents as records with an answer and a source: why some aren't made."""
+    k = F.col("doc_id")
+    answer = F.when(h(k, 0) % 7 == 0, "click [1,2,3,4]").otherwise("hover [1,2,3,4]")
+    content = F.when(h(k, 1) % 11 == 0, "").otherwise(F.col("text")).cast("binary")
+    source = F.when(h(k, 2) % 5 == 0, " ").otherwise(F.col("source"))
+    return V.counters(table(spark, d, "documents").select(V.record_problem(content, answer, {"source": source}).alias("why")), "why")
+
+
 def token_window_filter(spark, d):
     t = _docs(spark, d).withColumn("tokens", F.col("n_chars"))
     _, counter = V.token_window(t, "tokens", 1000, 4000)
@@ -164,7 +182,7 @@ def unnest_elements(spark, d):
 QUERIES = {f.__name__: f for f in (
     stable_sample, balanced_repeat, variant_topup, priority_fill, first_n_per_source, shard_assign, run_islands, dedupe_first_wins, mixture_assign, weighted_interleave, seeds,
     last_k_actions, union_sources, except_both, intersect_keys, semi_join_prefilter, stem_join, dual_protocol_explode, reject_reasons, source_counts,
-    corpus_validate, corpus_sources, token_window_filter, fit_asymmetry, unnest_elements,
+    corpus_validate, corpus_sources, box_problems, record_problems, token_window_filter, fit_asymmetry, unnest_elements,
 )}
 
 _hex = lambda *parts: "substr(sha256(" + " || chr(31) || ".join(parts) + "), 1, 16)"
@@ -204,6 +222,10 @@ ORACLE = {
         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
       SELECT source, count(*) AS rows, count(*) // 2 * 2 AS expected, count(*) % 2 = 0 AS equal, count(*) FILTER (x2 <= x1 OR y2 <= y1) AS invalid, count(*) FILTER (r <= 200) AS checked, count(DISTINCT c) FILTER (r <= 200) AS contents
       FROM a GROUP BY source UNION ALL SELECT 'nowhere', 0, 5, false, 0, 0, 0""",
+    "box_problems": f"""WITH b AS (SELECT {sql_h("event_id", 0)} % 2000 - 300 AS x, {sql_h("event_id", 1)} % 1200 - 200 AS y, {sql_h("event_id", 2)} % 90 AS w, {sql_h("event_id", 4)} % 30 > 0 AS there FROM events)
+      SELECT coalesce('rejected:' || why, 'valid') AS counter, count(*) AS n FROM (SELECT CASE WHEN NOT there THEN 'missing_box' WHEN w <= 0 THEN 'zero_size' WHEN x + w <= 0 OR y + 20 <= 0 OR x >= 1280 OR y >= 720 THEN 'off_screen' END AS why FROM b) GROUP BY 1""",
+    "record_problems": f"""SELECT coalesce('rejected:' || why, 'valid') AS counter, count(*) AS n FROM (SELECT CASE WHEN {sql_h("doc_id", 1)} % 11 = 0 OR coalesce(text, '') = '' THEN 'empty_content'
+      WHEN {sql_h("doc_id", 2)} % 5 = 0 OR trim(source) = '' THEN 'missing:source' WHEN {sql_h("doc_id", 0)} % 7 = 0 THEN 'invalid_answer' END AS why FROM documents) GROUP BY 1""",
     "token_window_filter": """SELECT CASE WHEN n_chars <= 1000 THEN 'filtered:short' WHEN n_chars > 4000 THEN 'filtered:long' ELSE 'valid' END AS counter, count(*) AS n, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY 1""",
     "fit_asymmetry": "SELECT count(*) FILTER (n_chars + 6 <= 2006) AS normal, count(*) FILTER (n_chars + 6 < 2006) AS mandatory FROM documents",
     "unnest_elements": f"""WITH e AS (SELECT page_id, unnest(range({sql_h("page_id", 0)} % 5 + 1))::INT AS position, {sql_h("page_id", 1)} AS b FROM pages)

@@ -60,6 +60,13 @@ def frame_choice(spark, d):
     )
 
 
+def frame_starts(spark, d):
+    """Eight frames of every page's video, each two behind the start of its interval, and as many drawn ones, which must be in order."""
+    n = (h(F.col("page_id"), 0) % 90 + 1).cast("int")
+    rows = table(spark, d, "pages").select("page_id", n.alias("n"), Q.started_frames(F.lit(8), n, 2).alias("s"), Q.drawn_frames(F.lit(8), n, 3, F.col("page_id")).alias("d"))
+    return rows.select("page_id", F.array_join("s", ",").alias("starts"), (F.array_sort("d") == F.col("d")).alias("ordered"), (F.array_max("d") < F.col("n")).alias("inside"))
+
+
 def frame_order(spark, d):
     p = table(spark, d, "pages").select(F.concat(F.lit("f_"), (F.col("page_id") * 7 % 13), F.when(F.col("page_id") % 5 > 0, ".jpg").otherwise(".png")).alias("name"), "page_id")
     return p.select("page_id", Q.frame_number(F.col("name")).alias("number"))
@@ -122,7 +129,7 @@ def position_codes(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    web_actions, candidate_choice, web_prompts, frame_choice, frame_order, transfer_counts, end_cut, supervised_pack, edit_spans, loss_reduction, rescored,
+    web_actions, candidate_choice, web_prompts, frame_choice, frame_starts, frame_order, transfer_counts, end_cut, supervised_pack, edit_spans, loss_reduction, rescored,
     prompt_suite, position_codes,
 )}
 
@@ -146,6 +153,8 @@ ORACLE = {
     "frame_choice": f"""WITH p AS (SELECT page_id, {_h(0, "page_id")} % 40 + 1 AS n FROM pages), k AS (SELECT *, least(8, n) AS k FROM p),
       m AS (SELECT *, list_transform(range(0, 8), lambda i: ((least(i, k - 1) * n // k) + ((least(i, k - 1) + 1) * n // k) - 1) // 2) AS m, list_filter(list_transform(range(0, ceil(n / 4.0 / 2)::BIGINT), lambda i: (4 + i * 8)::BIGINT), lambda f: f < n)[1:6] AS r FROM k)
       SELECT page_id, array_to_string(m, ',') AS middle, array_to_string(r, ',') AS rate FROM m""",
+    "frame_starts": f"""WITH p AS (SELECT page_id, {_h(0, "page_id")} % 90 + 1 AS n FROM pages)
+      SELECT page_id, array_to_string(list_transform(range(8), lambda i: (least(i, least(8, n) - 1) * n) // least(8, n) + 2), ',') AS starts, true AS ordered, true AS inside FROM p""",
     "frame_order": "SELECT page_id, CASE WHEN page_id % 5 > 0 THEN (page_id * 7 % 13)::INT ELSE -1 END AS number FROM pages",
     "transfer_counts": f"SELECT doc_id, array_to_string(list_transform({_PARTS}, lambda i: n_chars // 7 + (i < n_chars % 7)::INT), ',') AS steps FROM documents",
     "end_cut": """WITH t AS (SELECT conv_id, turn, list_transform(range(1, least(turn % 5 + 3, 4) + 1), lambda i: 100 + i) AS ids FROM conversations WHERE role = 'assistant')

@@ -54,6 +54,24 @@ def markdown(rows: DataFrame, signed: tuple[str, ...] = (), most: int = 1000) ->
     return "\n".join(f"| {line} |" for line in [*head, *(" | ".join("" if v is None else v for v in r) for r in found)])
 
 
+def category_report(rows: DataFrame, title: str, mean: float, notes: dict[str, str] | None = None, most: int = 1000) -> str:
+    """A roll-up (l1, l2, mean_score) as text: broad categories, then detailed ones, in order of name, in percent; then notes and the mean."""
+    found = rows.filter("l1 IS NOT NULL").select("l1", "l2", "mean_score").orderBy("l1", "l2").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    part = lambda level, rows: [f"{level} category scores:", *(f"\t{name}: {score * 100}" for name, score in rows)]
+    broad, detailed = [(r.l1, r.mean_score) for r in found if r.l2 is None], sorted((r.l2, r.mean_score) for r in found if r.l2 is not None)
+    return "\n".join([title, *part("L1", broad), *part("L2", detailed), *(f"{k}: {v}" for k, v in (notes or {}).items()), f"Score: {mean * 100}"])
+
+
+def tag_line(rows: DataFrame, tag: str, share: str, order: str, names: dict[str, str]) -> str:
+    """Two lines: short names of the tags and their shares to two places, in order, and the mean of the shares."""
+    found = rows.filter(F.col(tag).isin(*names)).select(tag, share).orderBy(order).collect()  # one row for each name
+    shares = [r[share] for r in found]
+    head, body = [names[r[tag]] for r in found], [f"{s:.2f}" for s in shares]
+    return "\n".join(" ".join(f"{c:<4}" for c in line).rstrip() for line in ([*head, "ALL"], [*body, f"{sum(shares) / len(shares):.2f}" if shares else ""]))
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among the completed ones."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
