@@ -1,10 +1,12 @@
 """A table as immutable shards under versioned manifests, compacted by size tiers.
 
 Arrivals are appended as small Parquet shards. A manifest names the shards of one version; a new one is written
-aside and renamed to its number, which fails if another writer took the number, so versions are atomic and a
-reader always sees one whole version. Compaction merges runs of shards of similar size (a tier is a power of the
+aside and renamed to its number, which fails if another writer took the number; the loser makes its change anew on
+the version that won. So versions are atomic and a reader always sees one whole version, where renaming is one step and
+refuses a name that exists: HDFS and local folders do, most object stores don't and need one writer at a time. Compaction merges runs of shards of similar size (a tier is a power of the
 fan-in) into files of the target size, one task a run, streaming row groups from file to file without a shuffle.
-A task writes under a name of its own; what a lost task leaves is in no manifest and goes with vacuum().
+A task writes under a name of its own; what a lost task leaves is in no manifest and goes with vacuum(), which must
+not run while another writer has files that it has not committed yet.
 
 Defined results for odd input: rows come back as they went in, nulls, repeated rows and extra columns included;
 an empty table makes no shard and a version without any; the manifest keeps the schema, the columns of all that was
@@ -20,6 +22,7 @@ from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -27,6 +30,8 @@ from pyspark.sql.types import StructField, StructType
 from gristmill.llm._shared import fresh_path, hadoop, store_of, table
 
 TARGET_BYTES, FAN_IN, ARRIVAL_ROWS, ROW_GROUP_BYTES = 128 << 20, 4, 2_000, 32 << 20
+#: Versions that other writers may take before one of ours gives up.
+ATTEMPTS = 20
 COLUMNS = "run int, path string, n_rows long, n_bytes long"
 
 
@@ -93,10 +98,30 @@ class ShardStore:
         context.rename(aside, self._path(f"manifests/v{m.version:012d}.json"), options)
         return m
 
+    def _changed(self, change) -> Manifest:
+        """Commit change(latest manifest or None) as the next version; made anew if another writer takes the number first.
+
+        A change that gives None is given up, and the latest manifest stands.
+        """
+        for _ in range(ATTEMPTS):
+            last = self.manifest()
+            new = change(last)
+            if new is None:
+                return last
+            try:
+                return self._commit(new)
+            except Py4JJavaError as e:
+                if "FileAlreadyExistsException" not in str(e.java_exception):
+                    raise
+        raise RuntimeError(f"other writers took {ATTEMPTS} versions in a row")
+
     def append(self, rows: DataFrame, shard_rows: int = ARRIVAL_ROWS) -> Manifest:
-        """Rows become new shards of at most shard_rows rows; earlier shards stay as they are."""
-        last = self.manifest()
-        schema = merged_schema(StructType.fromJson(json.loads(last.schema)) if last else StructType(), rows.schema)
+        """Rows become new shards of at most shard_rows rows; earlier shards, and those of writers at the same time, stay as they are."""
+
+        def schema_with(last: Manifest | None) -> StructType:
+            return merged_schema(StructType.fromJson(json.loads(last.schema)) if last else StructType(), rows.schema)
+
+        schema_with(self.manifest())  # a type that doesn't fit is refused before anything is written
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", shard_rows).parquet(folder)
         counts = {
@@ -105,7 +130,7 @@ class ShardStore:
         }  # one row a file
         sizes = {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder))}
         new = [Shard(f"{folder}/{name}", n, sizes[name]) for name, n in sorted(counts.items())]
-        return self._commit(Manifest(last.version + 1 if last else 1, schema.json(), (last.shards if last else []) + new))
+        return self._changed(lambda last: Manifest(last.version + 1 if last else 1, schema_with(last).json(), (last.shards if last else []) + new))
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -117,11 +142,8 @@ class ShardStore:
         """Merge runs until no tier below the target holds fan_in shards; one version for each round."""
         m = self.manifest()
         while runs := plan_runs([s.n_bytes for s in m.shards], target_bytes, fan_in):
-            made = self._merge([[m.shards[i].path for i in run] for run in runs])
-            first = {run[0]: made[k] for k, run in enumerate(runs)}
-            gone = {i for run in runs for i in run}
-            shards = [first.get(i, s) for i, s in enumerate(m.shards) if i in first or i not in gone]
-            m = self._commit(Manifest(m.version + 1, m.schema, shards))
+            merged = [[m.shards[i].path for i in run] for run in runs]
+            m = self._changed(replaced(merged, self._merge(merged)))
         return m
 
     def _merge(self, runs: list[list[str]]) -> list[Shard]:
@@ -149,6 +171,20 @@ class ShardStore:
                 self.fs.delete(p, False)
 
 
+def replaced(runs: list[list[str]], made: list[Shard]):
+    """A change that puts merged shards in the place of their runs; given up where another writer replaced a part of these already."""
+    first = {run[0]: shard for run, shard in zip(runs, made, strict=True)}
+    gone = {path for run in runs for path in run}
+
+    def change(last: Manifest) -> Manifest | None:
+        if not gone <= {s.path for s in last.shards}:
+            return None
+        shards = [first.get(s.path, s) for s in last.shards if s.path in first or s.path not in gone]
+        return Manifest(last.version + 1, last.schema, shards)
+
+    return change
+
+
 MERGED = pa.schema([("run", pa.int32()), ("path", pa.string()), ("n_rows", pa.int64()), ("n_bytes", pa.int64())])
 
 

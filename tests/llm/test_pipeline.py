@@ -53,3 +53,19 @@ def test_nulls_and_empty_tables_pass_through(spark):
         got = sorted(r["text"] for r in docs.collect())
         assert got == (["the end of it", "the end of the day <EMAIL>"] if data else [])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(got)
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"the {w} of" for w in ("way", "day", "men", "sea") * 12_000)
+    words = "the cat and the dog went to the house of the old man by the sea " * 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, spans int, node long, score double, v string"
+    own = ("r", 1, 2, 0.5, "v")
+    rows = [(5, words, "en", "s", len(words), *own), (5, words, "en", "s", len(words), *own), (4, words, "en", "t", len(words), *own), (9, long, "en", "s", len(long), *own), (None, "over the hills and far away", "en", "s", 27, *own)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+    got = docs.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["4", "9", "None"]
+    assert all(tuple(r)[5:] == own for r in got) and {len(r["text"]) for r in got} == {len(words), len(long), 27}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).filter("doc_id = 9").count() > 10

@@ -43,6 +43,35 @@ def test_a_version_is_taken_once(spark, tmp_path):
     assert empty.read().count() == 0 and empty.read().schema == df.schema
 
 
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path, monkeypatch):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    a, b = (ShardStore(spark, f"{tmp_path}/s") for _ in range(2))
+    a.append(rows(0), 1)
+    plain = ShardStore.manifest
+    late = []
+
+    def overtaken(self, version=None):
+        found = plain(self, version)
+        if self is a and late:
+            late.pop()()  # another writer commits between our look and our commit
+        return found
+
+    monkeypatch.setattr(ShardStore, "manifest", overtaken)
+    late += [lambda: b.append(rows(2)), lambda: b.append(rows(1))]
+    assert a.append(rows(3)).version == 4
+    assert sorted(r.id for r in a.read().collect()) == [0, 1, 2, 3]
+    late.clear()
+    monkeypatch.setattr(ShardStore, "_merge", lambda self, runs, merge=ShardStore._merge: (merge(self, runs), b.append(rows(4)))[0])
+    m = a.compact(fan_in=4)
+    assert sorted(r.id for r in b.read().collect()) == [0, 1, 2, 3, 4] and len(m.shards) == 2
+    taken = shards.replaced([["gone", "too"]], [shards.Shard("new", 1, 1)])
+    assert a._changed(taken).version == m.version
+    monkeypatch.setattr(shards, "ATTEMPTS", 2)
+    monkeypatch.setattr(ShardStore, "_commit", lambda self, m, commit=ShardStore._commit: commit(self, shards.Manifest(1, m.schema, m.shards)) if self is a else commit(self, m))
+    with pytest.raises(RuntimeError, match="other writers"):
+        a.append(rows(7))
+
+
 def test_runs_join_similar_sizes_up_to_the_target():
     assert plan_runs([10] * 3, 100, 4) == []
     assert plan_runs([10] * 9 + [99], 50, 4) == [[0, 1, 2, 3, 4], [5, 6, 7, 8]]
