@@ -1,6 +1,12 @@
 """A corpus pipeline over documents: language, near copies, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Between stages stands a table in the
+shared folder, so a lost executor costs a part of one stage.
+
+Defined results for odd input: a null or empty text has no language and goes in the first stage; of rows with equal or near
+texts one stays, that of the smallest id, once for each row of that id; a null id stays with its row, as no one's copy; very long
+texts are taken whole by every stage and cut by the last one alone; columns beside those of documents stay, whatever they are
+called, up to the last stage; an empty table passes every stage and gives no sequence.
 """
 
 from __future__ import annotations
