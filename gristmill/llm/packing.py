@@ -202,8 +202,13 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces from cut() with sequence_id and offset. The pieces are written once, so that ranks stay what they are."""
-    cuts = written(cuts, "pieces")
+    """Pieces from cut() with sequence_id and offset.
+
+    The pieces are written once, so that ranks stay what they are, as few files: their rows are some dozens of bytes for each
+    document, so the tasks that encode texts send them on instead of making a file each. A lost task makes the same pieces again
+    if its documents come from a table, as those of the pipeline and of a scan do.
+    """
+    cuts = written(cuts.hint("rebalance"), "pieces")
     counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
     base = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
