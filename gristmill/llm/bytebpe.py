@@ -7,7 +7,8 @@ the last token gives way to its next shorter prefix; a place that failed is neve
 the one that merging by rank gives.
 
 Defined results for odd input: a null or empty text has no ids; equal texts have equal ids; repeated rows stay
-repeated; an empty table gives an empty table; other columns are ignored.
+repeated; very long texts, and very long matches in them, are encoded whole in linear time; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ on the capacity only; a piece finds its place by its rank among pieces of its le
 the pieces are made, as file part and rank within the part, so no key is ever gathered in one task.
 
 Defined results for odd input: a null or empty text is one piece holding the end id alone; repeated rows and
-equal ids are packed as separate rows; an empty table gives an empty table; other columns are ignored.
+equal ids are packed as separate rows; a very long text becomes as many pieces as it needs; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations

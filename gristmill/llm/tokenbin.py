@@ -8,8 +8,8 @@ mapped for reading. A task writes under a name of its own attempt and the manife
 so lost executors and repeated tasks leave nothing that a reader would see.
 
 Defined results for odd input: a null or empty text has the end id alone; a null document id sorts first and is
-kept as the least 64-bit integer; rows with one id are ordered by text; an empty table gives an empty store;
-other columns are ignored.
+kept as the least 64-bit integer; rows with one id are ordered by text; very long texts are encoded whole; an empty
+table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
