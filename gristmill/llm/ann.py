@@ -78,7 +78,9 @@ def _rows(t: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray]:
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v, dim of rows that take part."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    sent = kind if kind == "array<float>" else "array<double>"  # floats are shuffled as floats; products are of doubles in any case
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(sent).alias("v")).filter(
         F.col("id").isNotNull()
         & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))

@@ -13,7 +13,7 @@ corpus and stay distributed. A document's score is the sum of the log-probabilit
 Defined results for odd input: a null or empty text has no tokens, sum 0 and a null mean; equal texts have equal
 scores; repeated rows stay repeated and count as often in training; very long texts are taken whole, in batches of
 tokens; an empty table gives an empty table; other columns are ignored. The weights are averages over partitions, so
-scores depend a little on how the input is dealt; the same partitions give the same scores.
+scores depend a little on how the input is dealt.
 """
 
 from __future__ import annotations
