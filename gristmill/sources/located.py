@@ -86,7 +86,10 @@ def wide_schema(path: str, columns: str | None) -> StructType:
 
 
 def groups(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
-    """path, row_group, row and columns; conditions on the place choose the row groups that are opened."""
+    """path, row_group, row and columns; conditions on the place choose the row groups that are opened.
+
+    Turns the session's push-down to Python sources on.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ParquetGroups)
     reader = spark.read.format(ParquetGroups.name()).option("paths", "\n".join(paths))
