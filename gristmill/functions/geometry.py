@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrays import bound
+
 
 def clamp(v: Column, low, high) -> Column:
     return F.greatest(F.lit(low) if not isinstance(low, Column) else low, F.least(F.lit(high) if not isinstance(high, Column) else high, v))
 
 
-def _axis(lo: Column, hi: Column, scale: int) -> tuple[Column, Column]:
-    """Whole numbers, half to even, inside the scale; an empty extent grows by one, to the left at the far edge."""
-    a, b = (F.rint(clamp(v, 0.0, float(scale))).cast("int") for v in (lo, hi))
+def _axis(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    """Of whole numbers inside the scale, an empty extent grows by one, to the left at the far edge."""
     empty = b <= a
     return F.when(empty & (a >= scale), scale - 1).otherwise(a), F.when(empty & (a >= scale), scale).when(empty, a + 1).otherwise(b)
 
 
 def scaled_box(x1: Column, y1: Column, x2: Column, y2: Column, scale: int = 1000) -> Column:
-    (a, c), (b, d) = _axis(x1, x2, scale), _axis(y1, y2, scale)
-    return F.array(a, b, c, d)
+    """Whole numbers, half to even, inside the scale; an empty extent grows by one. Each end is computed once."""
+
+    def whole(v):
+        (a, c), (b, d) = _axis(v[0], v[2], scale), _axis(v[1], v[3], scale)
+        return F.array(a, b, c, d)
+
+    return bound(F.array(*(F.rint(clamp(v, 0.0, float(scale))).cast("int") for v in (x1, y1, x2, y2))), whole)
 
 
 def scale_unit_box(box: Column, scale: int = 1000) -> Column:
@@ -27,13 +33,23 @@ def scale_unit_box(box: Column, scale: int = 1000) -> Column:
 
 
 def normalize_box(box: Column, width: Column, height: Column, scale: int = 1000) -> Column:
-    """Ends in order, inside the image, scaled; null if nothing is left or the image is empty."""
-    w, h = width.cast("double"), height.cast("double")
-    x = [clamp(box[i].cast("double"), 0.0, w) for i in (0, 2)]
-    y = [clamp(box[i].cast("double"), 0.0, h) for i in (1, 3)]
-    x1, x2, y1, y2 = F.least(*x), F.greatest(*x), F.least(*y), F.greatest(*y)
-    good = (width > 0) & (height > 0) & (x2 > x1) & (y2 > y1)
-    return F.when(good, scaled_box(scale * x1 / w, scale * y1 / h, scale * x2 / w, scale * y2 / h, scale))
+    """Ends in order, inside the image, scaled; null if nothing is left or the image is empty.
+
+    box, width and height are computed once.
+    """
+
+    def inside(v):
+        w, h = v["w"].cast("double"), v["h"].cast("double")
+        x = [clamp(v["b"][i].cast("double"), 0.0, w) for i in (0, 2)]
+        y = [clamp(v["b"][i].cast("double"), 0.0, h) for i in (1, 3)]
+        return F.struct(v["w"].alias("w"), v["h"].alias("h"), F.least(*x).alias("x1"), F.greatest(*x).alias("x2"), F.least(*y).alias("y1"), F.greatest(*y).alias("y2"))
+
+    def scaled(v):
+        good = (v["w"] > 0) & (v["h"] > 0) & (v["x2"] > v["x1"]) & (v["y2"] > v["y1"])
+        ends = (scale * v[n] / v[side].cast("double") for n, side in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h")))
+        return F.when(good, scaled_box(*ends, scale))
+
+    return bound(bound(F.struct(box.alias("b"), width.alias("w"), height.alias("h")), inside), scaled)
 
 
 def unscale(box: Column, width: Column, height: Column, scale: int = 1000) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from gristmill.functions.arrays import bound
 from gristmill.functions.text import compact, first_filled
 
 # Intents that are taken; the attributes that describe an element, the first filled one first; how numbers,
@@ -178,8 +179,12 @@ def candidate_box(candidates: Column, uid: Column) -> Column:
     quoted = F.regexp_replace(uid, r"([\\\[\](){}.*+?^$|])", r"\\$1")
     pattern = F.concat(F.lit(BLOCK_HEAD), quoted, F.lit(BLOCK_BODY))
     block = F.call_function("regexp_extract", F.coalesce(candidates, F.lit("")), pattern, F.lit(1))
-    x, y, w, h = (F.regexp_extract(block, BOX, i).try_cast("double") for i in range(1, 5))
-    return F.when(h.isNotNull(), F.array(x, y, x + w, y + h))
+
+    def corners(b):
+        x, y, w, h = (F.regexp_extract(b, BOX, i).try_cast("double") for i in range(1, 5))
+        return F.when(h.isNotNull(), F.array(x, y, x + w, y + h))
+
+    return bound(block, corners)  # the pattern is made for each row: it is looked for once
 
 
 def viewport(text: Column) -> tuple[Column, Column]:

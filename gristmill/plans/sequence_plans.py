@@ -25,15 +25,16 @@ def web_actions(spark, d):
     blocks = F.concat_ws("\n", *(block(i) for i in range(2)))
     port = F.when(h(k, 5) % 9 == 0, "wide").otherwise("720h x 1280w")
     e = table(spark, d, "events").select(K, B.parse_call(call).alias("call"), blocks.alias("blocks"), port.alias("port"))
-    name, own = F.get_json_object("call", "$.name"), F.get_json_object("call", "$.arguments.uid")
     width, height = B.viewport(F.col("port"))
-    box = G.normalize_box(B.candidate_box(F.col("blocks"), own), width, height)
+    e = e.withColumns({"name": F.get_json_object("call", "$.name"), "own": F.get_json_object("call", "$.arguments.uid"), "width": width, "height": height})
+    e = e.withColumn("box", G.normalize_box(B.candidate_box(F.col("blocks"), F.col("own")), F.col("width"), F.col("height")))
     why = V.reason(
-        ("parse_error", F.col("call").isNull()), ("unsupported", ~name.isin(*B.INTENTS)), ("missing_uid", F.coalesce(own, F.lit("")) == ""),
-        ("invalid_viewport", width.isNull()), ("parse_error", box.isNull()),
+        ("parse_error", F.col("call").isNull()), ("unsupported", ~F.col("name").isin(*B.INTENTS)), ("missing_uid", F.coalesce("own", F.lit("")) == ""),
+        ("invalid_viewport", F.col("width").isNull()), ("parse_error", F.col("box").isNull()),
     )
-    action = F.when(name.isin("click", "submit"), "lclick").otherwise("type_in")
-    return e.select(K, why.alias("why"), F.when(why.isNull(), action).alias("action"), F.when(why.isNull(), F.array_join(box, "/")).alias("box"))
+    action = F.when(F.col("name").isin("click", "submit"), "lclick").otherwise("type_in")
+    good = F.col("why").isNull()
+    return e.withColumn("why", why).select(K, "why", F.when(good, action).alias("action"), F.when(good, F.array_join("box", "/")).alias("box"))
 
 
 def candidate_choice(spark, d):
