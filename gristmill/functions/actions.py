@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrays import bound
 from gristmill.functions.text import compact, first_filled, strip
 
 # The actions, the grammar of a prediction and of an answer, and the prompts' wording.
@@ -80,27 +81,44 @@ def canonical_action(operation: Column) -> Column:
     return F.when(op == "HOVER", "hover").when(op.isin("TYPE", "SELECT"), "type_in").otherwise("lclick")
 
 
+def parsed_target(repr_text: Column, original_op: Column, op: Column, value: Column, fallback: Column) -> Column:
+    """struct action, operation, value, description, role of ``[role] text -> OPERATION: value``; structured fields win.
+
+    Every step is bound once, as in parsed_prediction().
+    """
+    given = F.struct(compact(repr_text).alias("raw"), original_op.alias("original"), op.alias("op"), value.alias("value"), fallback.alias("fallback"))
+
+    def cut(g):
+        raw = g["raw"]
+        has = raw.contains("->")
+        part = lambda i, none: F.when(has, F.regexp_extract(raw, r"(?s)\A(.*)->(.*)\z", i)).otherwise(none)
+        return F.struct(g.alias("given"), compact(part(1, raw)).alias("head"), part(2, F.lit("")).alias("tail"))
+
+    def named(c):
+        head, g = c["head"], c["given"]
+        with_role = head.rlike(ROLE)
+        role = F.when(with_role, compact(F.regexp_extract(head, ROLE, 1), 128)).otherwise("")
+        text = F.when(with_role, compact(F.regexp_extract(head, ROLE, 2))).otherwise(head)
+        operation = F.upper(first_filled(g["original"], g["op"], F.upper(F.regexp_extract(c["tail"], OPERATION, 1)), F.lit("CLICK")))
+        said = compact(F.regexp_extract(c["tail"], OPERATION, 2), 512)
+        return F.struct(operation.alias("operation"), role.alias("role"), text.alias("text"), g["value"].alias("value"), said.alias("said"), g["fallback"].alias("fallback"))
+
+    def described(n):
+        role = n["role"]
+        other = F.when(role != "", F.concat(F.lit("the "), role)).otherwise("the target UI element")
+        shown = F.when(n["text"] != "", n["text"]).otherwise(F.coalesce(bound(compact(n["fallback"]), lambda f: first_filled(f)), other))
+        return F.struct(
+            canonical_action(n["operation"]).alias("action"), n["operation"].alias("operation"),
+            compact(F.coalesce(first_filled(n["value"], n["said"]), F.lit("")), 512).alias("value"), shown.alias("description"), role.alias("role"),
+        )
+
+    return bound(bound(bound(given, cut), named), described)
+
+
 def parse_target(repr_text: Column, original_op: Column, op: Column, value: Column, fallback: Column) -> dict[str, Column]:
-    """action, operation, value, description, role of ``[role] text -> OPERATION: value``; structured fields win."""
-    raw = compact(repr_text)
-    has = raw.contains("->")
-    head = compact(F.when(has, F.regexp_extract(raw, r"(?s)\A(.*)->(.*)\z", 1)).otherwise(raw))
-    tail = F.when(has, F.regexp_extract(raw, r"(?s)\A(.*)->(.*)\z", 2)).otherwise("")
-    named = F.upper(F.regexp_extract(tail, OPERATION, 1))
-    with_role = head.rlike(ROLE)
-    role = F.when(with_role, compact(F.regexp_extract(head, ROLE, 1), 128)).otherwise("")
-    text = F.when(with_role, compact(F.regexp_extract(head, ROLE, 2))).otherwise(head)
-    operation = F.upper(first_filled(original_op, op, named, F.lit("CLICK")))
-    shown = F.coalesce(
-        first_filled(text, compact(fallback)), F.when(role != "", F.concat(F.lit("the "), role)).otherwise("the target UI element")
-    )
-    return {
-        "action": canonical_action(operation),
-        "operation": operation,
-        "value": compact(F.coalesce(first_filled(value, compact(F.regexp_extract(tail, OPERATION, 2), 512)), F.lit("")), 512),
-        "description": shown,
-        "role": role,
-    }
+    """The fields of parsed_target() as columns."""
+    parsed = parsed_target(repr_text, original_op, op, value, fallback)
+    return {name: parsed[name] for name in ("action", "operation", "value", "description", "role")}
 
 
 def grounding_prompt(operation: Column, description: Column, value: Column) -> Column:

@@ -54,8 +54,8 @@ def _targets(spark, d):
     head = F.concat(F.when(h(k, 1) % 4 > 0, "[button] ").otherwise(""), F.when(h(k, 2) % 5 > 0, F.concat(F.lit("Item -> "), "event_type")).otherwise(""))
     text = F.concat(head, F.lit(" -> "), op, F.when(typed, ": some  value").otherwise(""))
     structured = F.when(h(k, 3) % 3 == 0, "hover").otherwise("")
-    p = A.parse_target(text, structured, F.lit(""), F.lit(""), F.when(h(k, 4) % 2 == 0, "spare"))
-    return e.select("event_id", *(c.alias(n) for n, c in p.items()))
+    p = A.parsed_target(text, structured, F.lit(""), F.lit(""), F.when(h(k, 4) % 2 == 0, "spare"))
+    return e.select("event_id", p.alias("p")).select("event_id", "p.*")
 
 
 def target_repr_parse(spark, d):
