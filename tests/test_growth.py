@@ -1,7 +1,11 @@
 """Work that must not grow faster than the input, told by plans and by files."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from gristmill.operators import spatial
 from gristmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +15,21 @@ SF = "/root/testdata/sf0.001"
 def test_an_expression_stands_once(spark, name, call, most):
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count(call) <= most
+
+
+@pytest.mark.parametrize(("sides", "most"), [((60, 30), 0.05), ((900, 500), 0.0005)])
+def test_boxes_are_dealt_into_few_cells(spark, monkeypatch, sides, most):
+    made, dealt = [], spatial._dealt
+    monkeypatch.setattr(spatial, "_dealt", lambda *a: made.append(dealt(*a)) or made[-1])
+    x, y = F.col("id") * 37 % 300, F.col("id") * 53 % 200
+    box = F.array(*(c.cast("double") for c in (x, y, x + sides[0], y + sides[1])))
+    rows = spark.range(200).select(F.lit(1).alias("user"), "id", box.alias("box"))
+    pairs = spatial.near_pairs(
+        rows.withColumns({"width": F.lit(1280), "height": F.lit(720)}), rows.select("user", F.col("id").alias("other"), F.col("box").alias("other_box")), "user", most
+    )
+    found = {(r.id, r.other) for r in pairs.select("id", "other").collect()}
+    assert [d.count() <= 6 * 200 for d in made] == [True, True]
+    b = {r.id: r.box for r in rows.collect()}
+    gap = lambda p, q, i: max(q[i] - p[i + 2], p[i] - q[i + 2], 0)
+    assert found == {(i, j) for i in b for j in b if math.hypot(gap(b[i], b[j], 0), gap(b[i], b[j], 1)) <= most * math.hypot(1280, 720)}
+    assert len(found) == pairs.count()
