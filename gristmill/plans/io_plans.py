@@ -95,8 +95,11 @@ def text_lines_trip(spark, d) -> DataFrame:
 
 
 def tar_trip(spark, d) -> DataFrame:
-    """Archives with samples of up to three members, of which the caption is the first that is filled; samples without an image go."""
-    path, docs = scratch(spark, "tar"), table(spark, d, "documents").repartition(4, "doc_id")
+    """Archives with samples of up to three members, of which the caption is the first that is filled; samples without an image go.
+
+    Documents are dealt into archives by bytes (the advisory size of a partition): more of them make more archives, not larger ones.
+    """
+    path, docs = scratch(spark, "tar"), table(spark, d, "documents").hint("rebalance", "doc_id")
     k, filled = F.col("doc_id"), F.lit("").cast("binary")
     members = {
         "jpg": F.when(k % 5 != 0, F.encode(F.lit("image"), "UTF-8")),

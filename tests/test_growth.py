@@ -1,12 +1,13 @@
 """Work that must not grow faster than the input, told by plans and by files."""
 
+import glob
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import spatial
-from gristmill.plans import catalogue
+from gristmill.plans import catalogue, io_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +34,24 @@ def test_boxes_are_dealt_into_few_cells(spark, monkeypatch, sides, most):
     gap = lambda p, q, i: max(q[i] - p[i + 2], p[i] - q[i + 2], 0)
     assert found == {(i, j) for i in b for j in b if math.hypot(gap(b[i], b[j], 0), gap(b[i], b[j], 1)) <= most * math.hypot(1280, 720)}
     assert len(found) == pairs.count()
+
+
+@pytest.fixture
+def made(spark, monkeypatch):
+    """Files below each scratch folder that a query makes."""
+    folders, scratch = [], io_plans.scratch
+    monkeypatch.setattr(io_plans, "scratch", lambda *a: folders.append(scratch(*a)) or folders[-1])
+    return lambda: sorted(p for f in folders for p in glob.glob(f"{f}/**", recursive=True) if p.endswith((".tar", ".zip", ".jsonl")))
+
+
+@pytest.mark.parametrize("name", ["tar_trip", "zip_trip"])
+def test_archives_are_bounded_by_bytes(spark, made, name):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for k, v in zip(before, ("64", "20000b"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        catalogue.queries()[name](spark, SF).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(made()) >= 8  # 0.3 MB of texts and more
