@@ -113,8 +113,8 @@ def tar_trip(spark, d) -> DataFrame:
 
 
 def zip_trip(spark, d) -> DataFrame:
-    """Members of zip archives, found by name, without a leading ./, and by a base name that is unique."""
-    path, docs = scratch(spark, "zip"), table(spark, d, "documents").repartition(4, "doc_id")
+    """Members of zip archives, dealt as in tar_trip and found by name, without a leading ./, and by a base name that is unique."""
+    path, docs = scratch(spark, "zip"), table(spark, d, "documents").hint("rebalance", "doc_id")
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, "sub/").otherwise("./"), "doc_id", F.lit(".txt"))
     sinks.write_archives(docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), "name", "content", path, "zip")
     members = readers.archives(spark, path, "zip")
