@@ -252,25 +252,36 @@ def flattened_images(spark, d) -> DataFrame:
     return flat.filter(signed).select("vec_id", raster.samples("image").alias("p")).select("vec_id", F.md5(F.array_join("p", ",")).alias("digest"))
 
 
+#: Numbers of events that share a file of a benchmark.
+_FILE_IDS = 100_000
+
+
 def benchmark_audit(spark, d) -> DataFrame:
-    """Benchmarks of events, a file and a manifest's line each, written by executors and checked: one file is altered, some images are missing."""
+    """Benchmarks of events, written by executors and checked: one's files are altered, some images are missing.
+
+    A benchmark is a file and a manifest's line for each ``_FILE_IDS`` numbers of events, so no file grows with the table.
+    """
     path, k = scratch(spark, "benchmark"), F.col("event_id")
     t = scored_rows(spark, d).select(
         F.concat(F.lit("s"), F.when(k % 97 == 0, k - k % 970).otherwise(k)).alias("sample_id"), F.when(k % 51 == 0, "other").otherwise(F.col("event_type")).alias("benchmark"),
         F.when(k % 41 == 0, "drag").otherwise(F.col("target_action")).alias("target_action"), F.col("target_box"), F.concat(F.lit("images/"), k % 20, F.lit(".png")).alias("image"), F.col("event_type").alias("own"),
+        F.floor(k / _FILE_IDS).alias("block"),
     )
-    lines = t.groupBy("own").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("sample_id", "benchmark", "target_action", "target_box", "image")))), "\n").alias("text"), F.count("*").alias("rows"))
-    named = lines.select(F.concat("own", F.lit(".jsonl")).alias("path"), F.encode("text", "UTF-8").alias("content"), "own", "rows").persist()
+    lines = t.groupBy("own", "block").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("sample_id", "benchmark", "target_action", "target_box", "image")))), "\n").alias("text"), F.count("*").alias("rows"))
+    name = F.concat("own", F.lit("/"), "block", F.lit(".jsonl"))
+    named = lines.select(name.alias("path"), F.encode("text", "UTF-8").alias("content"), "own", "rows").persist()
     sinks.write_files(named, "path", "content", path)
     sinks.write_files(t.select("image").distinct().filter("image <> 'images/7.png'").select("image", F.lit("x").cast("binary").alias("content")), "image", "content", path)
     own = F.when(F.col("own") == "click", F.lit("0")).otherwise(F.sha2("content", 256))
     manifest = named.select(F.col("own").alias("benchmark"), "path", (F.col("rows") + F.when(F.col("own") == "view", 1).otherwise(0)).alias("rows"), own.alias("sha256"))
     below = lambda c: F.regexp_extract(c, "/benchmark-[0-9a-f]+/(.*)$", 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select(below(F.col("path")).alias("path"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(path).select(below(F.col("path")).alias("path"), "content")
     images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", True).load(path).select(below(F.col("path")).alias("path"))
     schema = "sample_id string, benchmark string, target_action string, target_box array<double>, image string"
-    records = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(path).select("*", below(F.col("_metadata.file_path")).alias("file"))
-    return U.benchmark_report(files, manifest, records, images, A.ACTIONS)
+    records = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).json(path).select("*", below(F.col("_metadata.file_path")).alias("file"))
+    each = U.benchmark_report(files, manifest, records, images, A.ACTIONS)
+    all_of, sum_of = ("rows_equal", "checksum_equal"), ("wrong_benchmark", "repeated", "bad_actions", "bad_boxes", "missing_images")
+    return each.groupBy("benchmark").agg(F.sum("file_rows").alias("file_rows"), *(F.bool_and(c).alias(c) for c in all_of), *(F.sum(c).alias(c) for c in sum_of))
 
 
 QUERIES = {f.__name__: f for f in (

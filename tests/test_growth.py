@@ -46,8 +46,9 @@ def made(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["tar_trip", "zip_trip"])
 def test_archives_are_bounded_by_bytes(spark, made, name):
-    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
-    for k, v in zip(before, ("64", "20000b"), strict=True):
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", *sizes)}
+    for k, v in zip(before, ("64", "20000b", "1b"), strict=True):
         spark.conf.set(k, v)
     try:
         catalogue.queries()[name](spark, SF).count()
@@ -55,3 +56,10 @@ def test_archives_are_bounded_by_bytes(spark, made, name):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(made()) >= 8  # 0.3 MB of texts and more
+
+
+def test_files_of_a_benchmark_are_bounded(spark, made, monkeypatch):
+    monkeypatch.setattr(io_plans, "_FILE_IDS", 100, raising=False)
+    report = {r.benchmark: r for r in catalogue.queries()["benchmark_audit"](spark, SF).collect()}
+    assert max(sum(1 for _ in open(p)) for p in made()) <= 100 < min(r.file_rows for r in report.values())
+    assert [b for b, r in report.items() if not r.checksum_equal] == ["click"] and [b for b, r in report.items() if not r.rows_equal] == ["view"]
