@@ -12,7 +12,7 @@ kept apart by size class (powers of two); a set whose partners may be in the nex
 
 Entries are not expanded into pairs. In each, all nodes are first verified against its least and its greatest
 node; nodes found linked become one component, and only nodes of an entry that are still in different components
-are paired, in blocks of ``BLOCK`` nodes. Every set also has the parities of its shingles in 512 buckets: two sets differ in at least as many
+are paired, in blocks of ``BLOCK`` nodes; its least and its greatest node have met all others by then, so these two are left out. Every set also has the parities of its shingles in 2,048 buckets: two sets differ in at least as many
 shingles as parities, so a pair with too many different ones, or of sizes too far apart, is never made. Pairs that
 are left are verified on the exact sets.
 
@@ -38,8 +38,8 @@ from gristmill.llm.graphs import components, pairs_within
 SKETCH_BITS, CHUNK = 21, 8192
 #: A shingle is frequent if its rarest word has at least this count plus this many times the mean of the sketch.
 FREQUENT, FREQUENT_LOAD = 256, 4
-#: 64-bit words of parities.
-PARITY_WORDS = 8
+#: 64-bit words of parities: unrelated sets of up to some 4,000 shingles have too many different ones for any similarity of 0.8.
+PARITY_WORDS = 32
 #: log2 of the width of the table of nodes under verification, and nodes of an open entry that meet in one task.
 NODE_BITS, BLOCK = 23, 1024
 
@@ -269,7 +269,8 @@ def similarity_classes(
     links = written(links, "links")
     found = components(links)
 
-    classed = shared.select("entry", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = shared.select("entry", "node", ((F.col("node") == F.col("lo")) | (F.col("node") == F.col("hi"))).alias("met")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = classed.filter("NOT met").drop("met")
     open_entries = classed.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"))
     classed = classed.join(open_entries.filter("c0 <> c1"), "entry").join(nodes.select("node", "n", "parity"), "node")
     classed = written(classed.select("entry", "node", "component", "n", "parity", "m"), "open")
