@@ -34,16 +34,21 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct()
 
 
-def pairs_within(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Every two rows of a key with node < node2, once; the second row's columns end in 2.
+def dealt_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """Rows under (key, _i, _j), which every two blocks of a key's rows share, with the row's own block _own.
 
-    size: the key's number of rows. Its rows are dealt into blocks of about ``block`` by a hash of the node, and every two
-    blocks meet under a join key of their own, so that a long list is many tasks' work.
+    size: the key's number of rows. Its rows are dealt into blocks of about ``block`` by a hash of the node, so that a long list is
+    many tasks' work.
     """
     k = F.ceil(F.col(size) / block).cast("int")
     dealt = rows.withColumn("_own", F.pmod(F.xxhash64("node"), k).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), k - 1)))
     dealt = dealt.select(*rows.columns, "_own", F.least("_own", "_to").alias("_i"), F.greatest("_own", "_to").alias("_j"))
-    dealt = dealt.repartition(key, "_i", "_j")  # once, for both sides
+    return dealt.repartition(key, "_i", "_j")
+
+
+def pairs_within(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """Every two rows of a key with node < node2, once; the second row's columns end in 2. Blocks meet as dealt_blocks() deals them."""
+    dealt = dealt_blocks(rows, key, size, block)  # once, for both sides
     other = dealt.select(*(F.col(c).alias(f"{c}2") for c in dealt.columns))
     meet = (F.col(key) == F.col(f"{key}2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2"))
     once = (F.col("_i") == F.col("_j")) | (F.col("_own") != F.col("_own2"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
 from gristmill.llm._shared import discard, pieces, table, written
-from gristmill.llm.graphs import components, pairs_within
+from gristmill.llm.graphs import components, dealt_blocks
 
 #: log2 of the sketch's width (it has two rows of 32-bit counts), and buckets of it that travel together.
 SKETCH_BITS, CHUNK = 21, 8192
@@ -40,8 +40,12 @@ SKETCH_BITS, CHUNK = 21, 8192
 FREQUENT, FREQUENT_LOAD = 256, 4
 #: 64-bit words of parities: unrelated sets of up to some 4,000 shingles have too many different ones for any similarity of 0.8.
 PARITY_WORDS = 32
+#: Of these, how many turn most pairs down before all are compared.
+FIRST_WORDS = 8
 #: log2 of the width of the table of nodes under verification, and nodes of an open entry that meet in one task.
 NODE_BITS, BLOCK = 23, 1024
+#: Pairs of an open entry whose parities a task compares at once.
+PAIRS_AT_ONCE = 1 << 16
 
 
 def bucket_counts(rows: DataFrame, places, width: int, dtype: str = "<u4") -> np.ndarray:
@@ -150,9 +154,63 @@ def words_of_parity(marks: list[np.ndarray]) -> pa.Array:
 
 
 def may_link(p, m, q, n, num: int, den: int):
-    """Whether sets of m and n shingles with parities p and q can be similar enough."""
-    apart = sum(F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(PARITY_WORDS))
-    return (F.least(m, n) * den >= F.greatest(m, n) * num) & (apart * (den + num) <= (m + n) * (den - num))
+    """Whether sets of m and n shingles with parities p and q can be similar enough.
+
+    Few words come first and stand for themselves; all of them written out would make a method too long for the JVM to compile.
+    """
+    few = lambda apart: apart * (den + num) <= (m + n) * (den - num)
+    first = sum(F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(FIRST_WORDS))
+    each = F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return (F.least(m, n) * den >= F.greatest(m, n) * num) & few(first) & few(F.aggregate(each, F.lit(0), lambda x, y: x + y))
+
+
+def _close(node, component, own, n, parity, within: bool, num: int, den: int):
+    """(a, b) of the rows of two blocks (of one, if within) that are of different components and may link; see may_link()."""
+    first, step = np.ascontiguousarray(parity[:, :FIRST_WORDS]), max(1, PAIRS_AT_ONCE // len(node))
+    for lo in range(0, len(node), step):
+        some = np.s_[lo : lo + step, None]
+        sized = np.minimum(n[some], n) * den >= np.maximum(n[some], n) * num
+        x, y = np.nonzero(sized & (node[some] < node) & (component[some] != component) & (within | (own[some] != own)))
+        x += lo
+        for words in (first, parity):
+            apart = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+            few = apart * (den + num) <= (n[x] + n[y]) * (den - num)
+            x, y = x[few], y[few]
+        if len(x):
+            yield node[x], node[y]
+
+
+def close_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(a, b) of the nodes of an entry that are of different components and may link; rows: entry, node, component, n, parity, m (of the entry).
+
+    A task holds two blocks of an entry at a time, and compares their parities in numpy.
+    """
+    names = ("entry", "_i", "_j", "node", "component", "_own", "n")
+
+    def groups(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parity = b.column(len(names)).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, PARITY_WORDS)
+            columns = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))), parity]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            entry, i, j = columns[:3]
+            cuts = np.flatnonzero((entry[1:] != entry[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for lo, hi in zip([0, *cuts[:-1].tolist()] if len(cuts) else [], cuts.tolist(), strict=True):
+                yield [c[lo:hi] for c in columns]
+            held = [c[cuts[-1] if len(cuts) else 0 :].copy() for c in columns]
+        if held is not None:
+            yield held
+
+    def run(batches):
+        for _, i, j, node, component, own, n, parity in groups(batches):
+            for a, b in _close(node, component, own, n, parity, bool(i[0] == j[0]), num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = dealt_blocks(rows, "entry", "m", block).sortWithinPartitions("entry", "_i", "_j")
+    return dealt.select(*names, "parity").mapInArrow(run, "a long, b long")
 
 
 def _sets(texts: list[str | None], k: int):
@@ -274,9 +332,7 @@ def similarity_classes(
     open_entries = classed.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"))
     classed = classed.join(open_entries.filter("c0 <> c1"), "entry").join(nodes.select("node", "n", "parity"), "node")
     classed = written(classed.select("entry", "node", "component", "n", "parity", "m"), "open")
-    close = may_link(F.col("parity"), F.col("n"), F.col("parity2"), F.col("n2"), num, den)
-    rest = pairs_within(classed, "entry", "m", BLOCK).filter((F.col("component") != F.col("component2")) & close)
-    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = close_pairs(classed, num, den, BLOCK).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
     discard(shared)
     discard(classed)

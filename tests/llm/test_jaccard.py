@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.llm import hashing, jaccard
 from gristmill.llm.graphs import components
@@ -174,3 +175,41 @@ def test_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert got(jaccard.op2_jaccard_join(spark, sf)) == sorted(con.execute(jaccard.OP2_SQL).fetchall())
+
+
+def marked(rng, n):
+    tokens = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    return tokens, [int(x) for x in jaccard.parities(tokens)]
+
+
+def test_the_test_of_parities_is_short_code(spark):
+    """A condition of all words written out is longer than what the JVM compiles."""
+    p, q = F.array(*(F.col("id") + i for i in range(jaccard.PARITY_WORDS))), F.array(*(F.col("id") * i for i in range(jaccard.PARITY_WORDS)))
+    rows = spark.range(50).select("id", p.alias("p"), q.alias("q"), (F.col("id") * 41 + 1).alias("m"), (F.col("id") * 40 + 9).alias("n"))
+    found = rows.select("*", jaccard.may_link(F.col("p"), F.col("m"), F.col("q"), F.col("n"), 80, 100).alias("may")).localCheckpoint()
+    want = lambda r: min(r.m, r.n) * 100 >= 80 * max(r.m, r.n) and sum((x ^ y).bit_count() for x, y in zip(r.p, r.q)) * 180 <= (r.m + r.n) * 20
+    got = [(r.may, want(r)) for r in found.collect()]
+    assert all(a == b for a, b in got) and {a for a, _ in got} == {True, False}
+    condition = rows.filter(jaccard.may_link(F.col("p"), F.col("m"), F.col("q"), F.col("n"), 80, 100))._jdf.queryExecution().analyzed().toString()
+    assert 0 < condition.count("bit_count(") <= 12
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_close_pairs_equal_all_pairs(spark, block):
+    rng, rows, sets = np.random.default_rng(5), [], {}
+    for entry, size in ((1, 2), (2, 40), (3, 1), (4, 17)):
+        base, _ = marked(rng, 300)
+        for i in range(size):
+            node = entry * 1000 + i
+            tokens = np.union1d(base[rng.integers(0, 30) :], marked(rng, rng.integers(1, 20))[0]) if i % 3 else marked(rng, 300)[0]
+            sets[node] = (entry, node % 7, len(tokens), jaccard.parities(tokens))
+            rows.append((entry, node, node % 7, len(tokens), [int(x) for x in sets[node][3]], size))
+    df = spark.createDataFrame(rows, "entry long, node long, component long, n long, parity array<long>, m long").repartition(3)
+    apart = lambda p, q: int(np.bitwise_count((p ^ q).view(np.uint64)).sum())
+    want = sorted(
+        (a, b)
+        for a, (e, c, m, p) in sets.items()
+        for b, (f, d, n, q) in sets.items()
+        if a < b and e == f and c != d and min(m, n) * 100 >= 90 * max(m, n) and apart(p, q) * 190 <= (m + n) * 10
+    )
+    assert want and sorted((r.a, r.b) for r in jaccard.close_pairs(df, 90, 100, block).collect()) == want
