@@ -244,12 +244,10 @@ def image_grids(spark, d) -> DataFrame:
 
 def flattened_images(spark, d) -> DataFrame:
     """Every vector as sixteen pixels of colour and see-through, on white."""
-    header = "89504e470d0a1a0a"
     rows = table(spark, d, "embeddings").select("vec_id", _graymap("embedding").alias("image"))
-    out = rows.select("vec_id", raster.see_through(F.col("image")).alias("image"))
-    flat = out.select("vec_id", raster.stepped(F.col("image"), [("flatten", {})], F.col("vec_id")).alias("image"))
-    signed = F.lower(F.hex(F.substring("image", 1, 8))) == header
-    return flat.filter(signed).select("vec_id", raster.samples("image").alias("p")).select("vec_id", F.md5(F.array_join("p", ",")).alias("digest"))
+    flat = raster.stepped(raster.see_through(F.col("image")), [("flatten", {})])
+    pixels = rows.select("vec_id", raster.signed_samples(flat).alias("p")).filter("p IS NOT NULL")
+    return pixels.select("vec_id", F.md5(F.array_join("p", ",")).alias("digest"))
 
 
 #: Numbers of events that share a file of a benchmark.

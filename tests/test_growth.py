@@ -63,3 +63,8 @@ def test_files_of_a_benchmark_are_bounded(spark, made, monkeypatch):
     report = {r.benchmark: r for r in catalogue.queries()["benchmark_audit"](spark, SF).collect()}
     assert max(sum(1 for _ in open(p)) for p in made()) <= 100 < min(r.file_rows for r in report.values())
     assert [b for b, r in report.items() if not r.checksum_equal] == ["click"] and [b for b, r in report.items() if not r.rows_equal] == ["view"]
+
+
+def test_images_are_made_once_by_one_worker_of_a_task(spark):
+    plan = catalogue.queries()["flattened_images"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("see_through(") == 1

@@ -140,3 +140,12 @@ def test_steps_and_grids_on_tables(spark):
     assert once == again and once[9] is None and once[11] is None and sum(v is not None for v in once.values()) == 7
     with pytest.raises(KeyError, match="unknown step"):
         R.stepped(F.col("image"), [("nothing", {})], F.col("i"))
+
+
+def test_samples_of_signed_images_alone(spark):
+    x = image(2, 4, 4)
+    rows = [(1, R.encode(x)), (2, b"P5 1 1 255\n\x07"), (3, None), (4, b"none"), (5, R.encode(x[:, :, :1]))]
+    df = spark.createDataFrame(rows, "i int, image binary")
+    got = {r.i: r.p for r in df.select("i", R.signed_samples(R.stepped(F.col("image"), [])).alias("p")).filter("p IS NOT NULL").collect()}
+    assert got == {1: [2, 4, 4, *x.ravel().tolist()], 2: [1, 1, 1, 7], 5: [2, 4, 1, *x[:, :, 0].ravel().tolist()]}
+    assert [r.i for r in df.select("i", R.signed_samples(F.col("image")).alias("p")).filter("p IS NOT NULL").orderBy("i").collect()] == [1, 5]
