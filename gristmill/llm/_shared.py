@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
@@ -116,6 +116,26 @@ def pieces(batches, most_bytes: int = 4 << 20):
             yield b.slice(lo, step)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What make() gives, which this worker process keeps for its next tasks; anything kept under another key goes.
+
+    Spark hands a worker from step to step. So a worker never holds the tables of two steps, and steps with tables of their
+    own call release() first.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drop what kept() holds for an earlier step."""
+    _KEPT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm._shared import pieces, table
+from gristmill.llm._shared import kept, pieces, table
 from gristmill.llm.chunking import BYTE_CHUNK, OTHER_SPACE, ChunkEncoder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -140,16 +140,15 @@ class ByteBPE:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[tuple[str, str], tuple[ByteBPE, ChunkEncoder]] = {}
-
-
 def loaded(path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
-    """One per worker process."""
-    if (path, pattern) not in _LOADED:
+    """One per worker process, as long as its tasks encode or decode."""
+
+    def load():
         bpe = ByteBPE(read_ranks(path), pattern)
         many = lambda chunks: [bpe.encode_chunk(c) for c in chunks]
-        _LOADED[path, pattern] = bpe, ChunkEncoder(many, BYTE_CHUNK, OTHER_SPACE)
-    return _LOADED[path, pattern]
+        return bpe, ChunkEncoder(many, BYTE_CHUNK, OTHER_SPACE)
+
+    return kept((path, pattern), load)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,8 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+from gristmill.llm._shared import kept
+
 BYTE_CHUNK = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 WORD_CHUNK = re.compile("[^ \t\n\r]+")
 _SPACES = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -119,16 +121,14 @@ class _Joined:
         return [out[i] for i in range(len(chunks))]
 
 
-_LOADED: dict[tuple, ChunkEncoder] = {}
-
-
 def tokenizer_encoder(path: str, byte_level: bool) -> ChunkEncoder:
-    """Of a tokenizers file; one per worker process."""
-    key = (path, byte_level)
-    if key not in _LOADED:
+    """Of a tokenizers file; one per worker process, as long as its tasks encode."""
+
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         encode = _Joined(Tokenizer.from_file(path), byte_level)
-        _LOADED[key] = ChunkEncoder(encode, BYTE_CHUNK, OTHER_SPACE) if byte_level else ChunkEncoder(encode, WORD_CHUNK)
-    return _LOADED[key]
+        return ChunkEncoder(encode, BYTE_CHUNK, OTHER_SPACE) if byte_level else ChunkEncoder(encode, WORD_CHUNK)
+
+    return kept((path, byte_level), load)

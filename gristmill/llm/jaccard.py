@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
-from gristmill.llm._shared import discard, pieces, table, written
+from gristmill.llm._shared import discard, pieces, release, table, written
 from gristmill.llm.graphs import components, dealt_blocks
 
 #: log2 of the sketch's width (it has two rows of 32-bit counts), and buckets of it that travel together.
@@ -59,6 +59,7 @@ def bucket_counts(rows: DataFrame, places, width: int, dtype: str = "<u4") -> np
     def count(batches):
         from pyspark import TaskContext
 
+        release()
         counts, part = np.zeros(width, np.int32), TaskContext.get().partitionId() % 32
         for b in pieces(batches):
             for at in places(b):
@@ -205,6 +206,7 @@ def close_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
             yield held
 
     def run(batches):
+        release()
         for _, i, j, node, component, own, n, parity in groups(batches):
             for a, b in _close(node, component, own, n, parity, bool(i[0] == j[0]), num, den):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -231,6 +233,7 @@ def index(docs: DataFrame, k: int, num: int, den: int, bits: int = SKETCH_BITS)
     shared = spark.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches):
+        release()
         counts = shared.value
         for b in pieces(batches):
             ns, keys, marks, found = [], [], [], []
@@ -274,6 +277,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     wanted = spark.sparkContext.broadcast(np.packbits(bucket_counts(nodes, _node_places, 1 << NODE_BITS, "<u1") > 0))  # of fixed size
 
     def sets(batches):
+        release()
         bitmap = np.unpackbits(wanted.value).view(bool)
         for b in pieces(batches):
             b = b.filter(b.column(0).is_valid())
@@ -283,6 +287,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "tokens"])
 
     def similar(batches):
+        release()
         for b in pieces(batches):
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gristmill.llm._shared import pieces, small_batches, table
+from gristmill.llm._shared import pieces, release, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -59,6 +59,7 @@ def _counted(rows: DataFrame) -> tuple[pa.Table, pa.Table]:
     """lang, token, n of all words and n-grams; counted where the rows are, then summed by key."""
 
     def count(batches):
+        release()
         for b in pieces(batches):
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -68,6 +69,7 @@ def _counted(rows: DataFrame) -> tuple[pa.Table, pa.Table]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "token", "n"])
 
     def split(batches):
+        release()
         for b in pieces(batches):
             c: Counter = Counter()
             for lang, w, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -164,6 +166,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     schema = StructType([rows.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
+        release()
         scorer = Scorer(shared.value)
         for b in pieces(batches):
             found = [scorer(t) for t in b.column(1).to_pylist()]
@@ -192,6 +195,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
 
     def run(batches):
+        release()
         scorer = Scorer(shared.value)
         for b in pieces(batches):
             found = [scorer(t) for t in b.column(at).to_pylist()]

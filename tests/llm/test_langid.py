@@ -1,10 +1,15 @@
 import math
+import weakref
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
 from gristmill.llm import langid
+from gristmill.llm.chunking import tokenizer_encoder
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,3 +115,18 @@ def test_ties_repeats_and_clashing_names(spark):
     got = langid.predict(df.union(df), model, keep=("doc_id", "kept", "score")).collect()
     assert [(r["doc_id"], r["kept"], r["lang_pred"], r["score"]) for r in sorted(got)] == [(1, "x", "a", 0.5)] * 2 + [(2, "y", "a", 0.5)] * 2
     assert langid.keep_identified(df, model).columns == df.columns
+
+
+def test_a_worker_drops_the_cache_of_an_earlier_step():
+    """Spark hands a worker on; with the chunks of a tokenizer beside the language model it would hold the tables of two steps."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokenizer_encoder(path, True)
+    assert tokenizer_encoder(path, True) is encoder and list(encoder.texts(["one two"]))
+    gone = weakref.ref(encoder)
+    del encoder
+    model = langid.Model(["aa", "bb"], ["one"], np.array([[0.0, -1.0]]), ["o"], np.array([[-1.0, 0.0]]))
+    broadcast = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    docs = SimpleNamespace(columns=["text"], schema=None, sparkSession=SimpleNamespace(sparkContext=broadcast), mapInArrow=lambda run, schema: run)
+    run = langid.keep_identified(docs, model)
+    (out,) = run(iter([pa.RecordBatch.from_pydict({"text": ["one", None]})]))
+    assert out.column(0).to_pylist() == ["one"] and gone() is None
