@@ -44,12 +44,3 @@ def dealt_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     dealt = rows.withColumn("_own", F.pmod(F.xxhash64("node"), k).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), k - 1)))
     dealt = dealt.select(*rows.columns, "_own", F.least("_own", "_to").alias("_i"), F.greatest("_own", "_to").alias("_j"))
     return dealt.repartition(key, "_i", "_j")
-
-
-def pairs_within(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Every two rows of a key with node < node2, once; the second row's columns end in 2. Blocks meet as dealt_blocks() deals them."""
-    dealt = dealt_blocks(rows, key, size, block)  # once, for both sides
-    other = dealt.select(*(F.col(c).alias(f"{c}2") for c in dealt.columns))
-    meet = (F.col(key) == F.col(f"{key}2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2"))
-    once = (F.col("_i") == F.col("_j")) | (F.col("_own") != F.col("_own2"))
-    return dealt.join(other, meet & once & (F.col("node") < F.col("node2"))).drop("_own", "_i", "_j", "_own2", "_i2", "_j2")

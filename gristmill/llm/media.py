@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import hashing
 from gristmill.llm._shared import discard, pieces, table, written
-from gristmill.llm.graphs import components, pairs_within
+from gristmill.llm.graphs import components, dealt_blocks
 
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
 AREA_PER_POINT, LEAST_POINTS = 3072, 16
@@ -40,6 +40,10 @@ MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT = 20, 4, 0.3, 16
 BLOCK, SHORT = 1024, 8
 #: Of the points that must agree, how many have to be found before two images of different classes are compared.
 SPARE = 3
+#: Pixels of images that are described together, and of a stack of images of one shape.
+TOGETHER, STACK = 1 << 23, 1 << 16
+#: Pairs of points that a task compares at once.
+PAIRS_AT_ONCE = 1 << 18
 #: Bits of a table's key with the table's number; keys that a task packs at once; keys of a bucket, and least buckets.
 KEY_BITS, GROUP_KEYS, BUCKET_KEYS, LEAST_BUCKETS = 34, 1 << 20, 1 << 21, 64
 
@@ -73,13 +77,13 @@ def decode_graymap(data: bytes | None) -> np.ndarray | None:
 
 def _box(a: np.ndarray) -> np.ndarray:
     """Sums over 3 x 3 places; two rows and columns fewer."""
-    a = a[:-2] + a[1:-1] + a[2:]
-    return a[:, :-2] + a[:, 1:-1] + a[:, 2:]
+    a = a[..., :-2, :] + a[..., 1:-1, :] + a[..., 2:, :]
+    return a[..., :-2] + a[..., 1:-1] + a[..., 2:]
 
 
-def _points(level: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the n strongest corners away from the border."""
-    gx, gy = level[1:-1, 2:] - level[1:-1, :-2], level[2:, 1:-1] - level[:-2, 1:-1]
+def _points(levels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a stack of images: image, row and column of the n strongest corners of each away from the border."""
+    gx, gy = levels[:, 1:-1, 2:] - levels[:, 1:-1, :-2], levels[:, 2:, 1:-1] - levels[:, :-2, 1:-1]
     xy = _box(gx * gy)
     gx *= gx
     gy *= gy
@@ -92,36 +96,61 @@ def _points(level: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     xx *= 0.05
     r -= xx
     m = MARGIN - 2
-    rows = np.maximum(np.maximum(r[m - 1 : -m - 1], r[m + 1 : r.shape[0] - m + 1]), r[m : r.shape[0] - m])
-    top = np.maximum(np.maximum(rows[:, m - 1 : -m - 1], rows[:, m + 1 : rows.shape[1] - m + 1]), rows[:, m : rows.shape[1] - m])
-    inner = r[m : r.shape[0] - m, m : r.shape[1] - m]
-    y, x = np.nonzero((inner == top) & (top > 0))
-    best = np.argsort(-inner[y, x], kind="stable")[:n]
-    return y[best] + MARGIN, x[best] + MARGIN
-
-
-def keypoints(image: np.ndarray | None, area: int = AREA_PER_POINT) -> np.ndarray:
-    """Rows (x, y, octave, turn, d0, d1); x and y in pixels of the image."""
-    rows = [np.zeros((0, 6), np.int64)]
-    level = None if image is None or image.ndim != 2 else image.astype(np.float32)
+    rows = np.maximum(np.maximum(r[:, m - 1 : -m - 1], r[:, m + 1 : r.shape[1] - m + 1]), r[:, m : r.shape[1] - m])
+    top = np.maximum(np.maximum(rows[..., m - 1 : -m - 1], rows[..., m + 1 : rows.shape[2] - m + 1]), rows[..., m : rows.shape[2] - m])
+    inner = r[:, m : r.shape[1] - m, m : r.shape[2] - m]
+    k, y, x = np.nonzero((inner == top) & (top > 0))
+    best = np.lexsort((-inner[k, y, x], k))  # keeps the order of equal ones
+    best = best[np.arange(len(k)) - np.searchsorted(k, k) < n]
+    return k[best], y[best] + MARGIN, x[best] + MARGIN
+
+
+def _stacked(images: np.ndarray, area: int) -> list[np.ndarray]:
+    """keypoints() of images of one shape."""
+    rows, of = [np.zeros((0, 6), np.int64)], [np.zeros(0, np.int64)]
+    levels = images.astype(np.float32)
     for octave in range(2):
-        if level is None or min(level.shape) < 2 * MARGIN + 3:
+        h, w = levels.shape[1:]
+        if min(h, w) < 2 * MARGIN + 3:
             break
-        y, x = _points(level, max(LEAST_POINTS, level.size // area))
+        image, y, x = _points(levels, max(LEAST_POINTS, h * w // area))
         if len(y):
-            disc, places = _steps(level.shape[1])
-            patch = level.ravel().take((y * level.shape[1] + x)[:, None] + disc)
+            disc, places = _steps(w)
+            patch = levels.ravel().take(((image * h + y) * w + x)[:, None] + disc)
             angle = np.arctan2(patch @ _DISC[0].astype(np.float32), patch @ _DISC[1].astype(np.float32))
             turn = np.rint(angle / (2 * math.pi / TURNS)).astype(np.int64) % TURNS
-            smooth = _box(level)
-            values = smooth.ravel().take(((y - 1) * smooth.shape[1] + x - 1)[:, None, None] + places[turn])
+            smooth = _box(levels)
+            values = smooth.ravel().take(((image * (h - 2) + y - 1) * (w - 2) + x - 1)[:, None, None] + places[turn])
             bits = np.packbits(values[:, 0] < values[:, 1], axis=1).view("<i8").reshape(len(y), 2)
             k = 1 << octave
             rows.append(np.column_stack([x * k, y * k, np.full(len(y), octave), turn, bits]))
+            of.append(image)
         if octave == 0:
-            h, w = level.shape[0] // 2 * 2, level.shape[1] // 2 * 2
-            level = (level[0:h:2, 0:w:2] + level[0:h:2, 1:w:2] + level[1:h:2, 0:w:2] + level[1:h:2, 1:w:2]) * np.float32(0.25)
-    return np.concatenate(rows)
+            h, w = h // 2 * 2, w // 2 * 2
+            levels = (levels[:, 0:h:2, 0:w:2] + levels[:, 0:h:2, 1:w:2] + levels[:, 1:h:2, 0:w:2] + levels[:, 1:h:2, 1:w:2]) * np.float32(0.25)
+    rows, of = np.concatenate(rows), np.concatenate(of)
+    return np.split(rows[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(images)))[:-1])
+
+
+def all_keypoints(images: list[np.ndarray | None], area: int = AREA_PER_POINT) -> list[np.ndarray]:
+    """keypoints() of each image; images of one shape are taken in stacks of up to STACK pixels."""
+    out = [np.zeros((0, 6), np.int64)] * len(images)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, image in enumerate(images):
+        if image is not None and image.ndim == 2 and image.size:
+            shapes.setdefault(image.shape, []).append(i)
+    for (h, w), places in shapes.items():
+        step = max(1, STACK // (h * w))
+        for lo in range(0, len(places), step):
+            some = places[lo : lo + step]
+            for i, found in zip(some, _stacked(np.stack([images[i] for i in some]), area), strict=True):
+                out[i] = found
+    return out
+
+
+def keypoints(image: np.ndarray | None, area: int = AREA_PER_POINT) -> np.ndarray:
+    """Rows (x, y, octave, turn, d0, d1); x and y in pixels of the image."""
+    return all_keypoints([image], area)[0]
 
 
 POINT = "struct<x:int,y:int,octave:int,turn:int,d0:long,d1:long>"
@@ -165,13 +194,24 @@ def describe(
     """id, digest (of the pixels, null without), points: array of POINT, or packed. to_images: column values to arrays or None."""
     import xxhash
 
+    def groups(values):
+        held, size = [], 0
+        for image in to_images(values):
+            held.append(image)
+            size += 0 if image is None else image.size
+            if size >= TOGETHER:
+                yield held
+                held, size = [], 0
+        yield held
+
     def run(batches):
         for b in pieces(batches):
             digests, points = [], []
-            for image in to_images(b.column(1).to_pylist()):
-                points.append(keypoints(image, area))
-                some = image is not None and image.size
-                digests.append(xxhash.xxh3_128_digest(np.ascontiguousarray(image).tobytes() + b"%d" % image.shape[1]) if some else None)
+            for images in groups(b.column(1).to_pylist()):
+                points += all_keypoints(images, area)
+                for image in images:
+                    some = image is not None and image.size
+                    digests.append(xxhash.xxh3_128_digest(np.ascontiguousarray(image).tobytes() + b"%d" % image.shape[1]) if some else None)
             if pack:
                 data = [pack_points(dict(zip(NAMES, p.T))) for p in points]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["id", "digest", "points"])
@@ -402,8 +442,8 @@ def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     return fetched.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _opened(classed: DataFrame) -> DataFrame:
-    """Rows of entries in several classes, with their point's rank r among its image's, the most crowded first.
+def _opened(classed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of entries in several classes, with their point's descriptor and its rank r among its image's, the most crowded first.
 
     Short entries are all passed on, as pairs of one class are dropped later.
     """
@@ -412,18 +452,66 @@ def _opened(classed: DataFrame) -> DataFrame:
     rows = classed.filter(F.col("m") <= SHORT).unionByName(crowded.join(several, "entry").select(*classed.columns)).repartition("node")
     rows = rows.withColumn("most", F.max("m").over(Window.partitionBy("node", "i")))
     rank = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("most"), "i")) - 1
-    return rows.select("entry", "node", "i", "m", "class", "n", rank.alias("r"))
+    rows = rows.select("entry", "node", "i", "m", "class", "n", rank.alias("r")).join(nodes.select("node", "points"), "node")
+    word = lambda at: F.substring("points", 8 * at + 1, F.lit(8))  # noqa: E731  see LAYOUT
+    return rows.select("entry", "node", "i", "m", "class", "n", "r", F.concat(word(F.col("i")), word(F.col("n") + F.col("i"))).alias("bits"))
+
+
+def _near(entry, first, second, own, node, i, of, n, r, bits):
+    """(a, b, i of a) of the rows that may match, of whole pairs of blocks in order of their nodes; see _across()."""
+    starts = np.flatnonzero(np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in (entry, first, second)], axis=0))
+    sizes = np.diff(np.append(starts, len(entry)))
+    need = lambda n: np.maximum(LEAST_INLIERS, np.ceil(n * LEAST_SHARE)) - SPARE
+    later = np.repeat(starts + sizes, sizes) - np.arange(len(entry)) - 1
+    later[r < need(np.minimum(n, np.repeat(np.minimum.reduceat(n, starts), sizes)))] = 0
+    total = np.concatenate(([0], np.cumsum(later)))
+    lo = 0
+    while lo < len(entry):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS_AT_ONCE, "right")) - 1)
+        x = np.repeat(np.arange(lo, hi), later[lo:hi])
+        y = x + 1 + np.arange(len(x)) - (total[x] - total[lo])
+        wanted = (of[x] != of[y]) & (r[x] >= need(np.minimum(n[x], n[y]))) & ((first[x] == second[x]) | (own[x] != own[y]))
+        x, y = x[wanted], y[wanted]
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
+        x, y = x[near], y[near]
+        if len(x):
+            yield node[x], node[y], i[x]
+        lo = hi
 
 
 def _across(opened: DataFrame, block: int) -> DataFrame:
     """Matches (a, b, i) of images of different classes, without the most crowded points of a.
 
     Images that are copies have t points of a or more that agree. At most t - SPARE of these rank before t - SPARE, so
-    SPARE of them or more are found when only the others look for partners.
+    SPARE of them or more are found when only the others look for partners. Points match if few enough of their bits
+    differ; a task compares two blocks of an entry at a time, in numpy, and only matches leave it.
     """
-    least = F.greatest(F.lit(LEAST_INLIERS), F.ceil(F.least("n", "n2") * LEAST_SHARE))
-    wanted = (F.col("class") != F.col("class2")) & (F.col("r") >= least - SPARE)
-    return pairs_within(opened, "entry", "m", block).filter(wanted).select(F.col("node").alias("a"), F.col("node2").alias("b"), "i")
+    names = ("entry", "_i", "_j", "_own", "node", "i", "class", "n", "r")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = b.column(len(names))
+            bits = np.frombuffer(bits.buffers()[2], "<u8", 2 * len(bits), 16 * bits.offset).reshape(-1, 2)
+            columns = [*(b.column(k).to_numpy() for k in range(len(names))), bits]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            open_rows = np.all([c == c[-1] for c in columns[:3]], axis=0)  # of two blocks whose rows may go on
+            cut = int(np.argmax(open_rows))
+            if cut:
+                yield from found([c[:cut] for c in columns])
+            held = [c[cut:].copy() for c in columns]
+        if held is not None:
+            yield from found(held)
+
+    def found(columns):
+        for a, b, i in _near(*columns):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i)], ["a", "b", "i"])
+
+    dealt = dealt_blocks(opened, "entry", "m", block).sortWithinPartitions("entry", "_i", "_j", "node")
+    return dealt.select(*names, "bits").mapInArrow(run, "a long, b long, i int")
 
 
 def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -455,7 +543,7 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
     classed = shared.select("entry", "node", "i", "m").join(nodes.select("node", "n"), "node").join(found, "node", "left")
     classed = written(classed.select("entry", "node", "i", "m", "n", F.coalesce("component", "node").alias("class")), "classed")
     discard(shared)
-    opened = written(_opened(classed), "open")
+    opened = written(_opened(classed, nodes), "open")
     discard(classed)
     matches = written(_across(opened, block), "matches")
     discard(opened)

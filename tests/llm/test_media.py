@@ -177,3 +177,25 @@ def test_classes_equal_all_pairs(spark):
     assert 5 < len(set(want.values())) < 65
     for block in (9, 1024):
         assert {r["id"]: r["class_id"] for r in media.copies(df, block).collect()} == want
+
+
+def test_only_points_that_match_leave_an_entry(spark):
+    """A key in common is not a match: of 40 images under one key only 3 and 7 have descriptors that are near enough."""
+    rng = np.random.default_rng(8)
+    bits = {i: rng.bytes(16) for i in range(40)}
+    bits[7] = bytes([bits[3][0] ^ 0xFF, bits[3][1] ^ 0xFF, bits[3][2] ^ 0x0F, *bits[3][3:]])  # 20 bits
+    bits[9] = bytes([bits[3][0] ^ 0xFF, bits[3][1] ^ 0xFF, bits[3][2] ^ 0x1F, *bits[3][3:]])  # 21 bits
+    rows = [(5, i, 2, 40, i, 16, 9, bytearray(b)) for i, b in bits.items()] + [(6, i, 2, 2, 0, 16, 9, bytearray(bits[3])) for i in (3, 4)]
+    opened = spark.createDataFrame(rows, "entry long, node long, i int, m long, class long, n int, r int, bits binary")
+    for block in (7, 1024):
+        got = [(r["a"], r["b"], r["i"]) for r in media._across(opened, block).collect()]
+        assert [x for x in got if 9 not in x[:2]] == [(3, 7, 2)]
+        assert (3, 9, 2) not in got
+
+
+def test_images_in_stacks_have_the_points_that_each_has():
+    images = [scene(i, 40 + 4 * (i % 3), 48) for i in range(30)] + [None, np.zeros((0, 5), np.uint8), np.zeros((30, 30), np.uint8), scene(99, 200, 180)]
+    for image, found in zip(images, media.all_keypoints(images), strict=True):
+        alone = media.keypoints(image)
+        assert found.shape == alone.shape and (found == alone).all()
+    assert sum(map(len, media.all_keypoints(images))) > 500 and media.all_keypoints([]) == []
