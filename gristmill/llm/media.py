@@ -36,8 +36,8 @@ from gristmill.llm.graphs import components, dealt_blocks
 RADIUS, MARGIN, TURNS, TESTS = 7, 11, 32, 128
 AREA_PER_POINT, LEAST_POINTS = 3072, 16
 MAX_DISTANCE, LEAST_INLIERS, LEAST_SHARE, SHIFT = 20, 4, 0.3, 16
-#: Points of an entry that meet in one task, and points of an entry that is compared without asking for its classes.
-BLOCK, SHORT = 1024, 8
+#: Points of an entry that meet in one task, and points of one class that a task holds while no other class has come.
+BLOCK, HELD = 1024, 1 << 16
 #: Of the points that must agree, how many have to be found before two images of different classes are compared.
 SPARE = 3
 #: Pixels of images that are described together, and of a stack of images of one shape.
@@ -395,22 +395,44 @@ def _candidates(matches: DataFrame, least: int) -> DataFrame:
     return dealt.groupBy("a", "b").count().filter(F.col("count") >= least).select("a", "b")
 
 
-def _agree(one: bytes, other: bytes) -> bool:
-    """Whether enough points of two images match under one rotation, scale and shift."""
+def _matches(ones: list[bytes], others: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each two images: the points of the one and of the other that match, if enough of the one's do; else none."""
+    if not ones:
+        return []
+    p, q = ([unpack_points(d) for d in side] for side in (ones, others))
+    n, k = (np.array([len(f["x"]) for f in side], np.int64) for side in (p, q))
+    bits = [np.column_stack([np.concatenate([f[name] for f in side]) for name in ("d0", "d1")]) for side in (p, q)]
+    words = [b.view("<u4") for b in bits]
+    first, other = np.cumsum(n) - n, np.cumsum(k) - k
+    pair = np.repeat(np.arange(len(n)), n)
+    total = np.concatenate(([0], np.cumsum(k[pair])))
+    found, lo = [], 0
+    while lo < len(pair):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS_AT_ONCE, "right")) - 1)
+        of = pair[lo:hi]
+        x = np.repeat(np.arange(lo, hi), k[of])
+        y = np.arange(len(x)) - np.repeat(total[lo:hi] - total[lo] - other[of], k[of])
+        meet = np.zeros(len(x), bool)
+        for t in range(4):
+            meet |= words[0][x, t] == words[1][y, t]
+        x, y = x[meet], y[meet]
+        near = np.bitwise_count((bits[0][x] ^ bits[1][y]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
+        found.append((x[near], y[near]))
+        lo = hi
+    x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    distinct = np.bincount(pair[x[np.diff(x, prepend=-1) != 0]], minlength=len(n))
+    enough = distinct >= np.maximum(LEAST_INLIERS, LEAST_SHARE * np.minimum(n, k))
+    cuts = np.searchsorted(pair[x], np.arange(len(n) + 1)).tolist()
+    none = np.zeros(0, np.int64)
+    return [(x[lo:hi] - a, y[lo:hi] - b) if some else (none, none) for lo, hi, a, b, some in zip(cuts, cuts[1:], first.tolist(), other.tolist(), enough.tolist())]
+
+
+def _agree(one: bytes, other: bytes, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether enough of the points of two images that match do so under one rotation, scale and shift."""
+    if not len(x):
+        return False
     p, q = ([d[name] for name in NAMES] for d in (unpack_points(one), unpack_points(other)))
     need = max(LEAST_INLIERS, LEAST_SHARE * min(len(p[0]), len(q[0])))
-    words = [np.column_stack(d[4:]).view("<u4").reshape(-1, 4) for d in (p, q)]
-    at = []
-    step = max(1, (1 << 20) // len(q[0]))
-    for lo in range(0, len(p[0]), step):
-        some = slice(lo, lo + step)
-        far = sum(np.bitwise_count((p[d][some, None] ^ q[d]).view(np.uint64)).astype(np.int16) for d in (4, 5))
-        meet = (words[0][some, None] == words[1]).any(axis=2) & (far <= MAX_DISTANCE)
-        x, y = np.nonzero(meet)
-        at.append((x + lo, y))
-    x, y = (np.concatenate(c) for c in zip(*at))
-    if not len(x) or 1 + np.count_nonzero(np.diff(x)) < need:
-        return False
     px, py, po, pt = (c[x].astype(np.int64) for c in p[:4])
     qx, qy, qo, qt = (c[y].astype(np.int64) for c in q[:4])
     turn, scale = (qt - pt) % TURNS, 2.0 ** (qo - po)
@@ -434,7 +456,8 @@ def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in pieces(batches):
-            keep = [_agree(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            p, q = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep = [_agree(*images, *meet) for *images, meet in zip(p, q, _matches(p, q))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     fetched = candidates.join(own.withColumnRenamed("node", "a").withColumnRenamed("points", "p"), "a")
@@ -442,14 +465,45 @@ def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     return fetched.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _opened(classed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of entries in several classes, with their point's descriptor and its rank r among its image's, the most crowded first.
+def _open(classed: DataFrame) -> DataFrame:
+    """The rows of entries in several classes, with a few of one class where an entry is longer than a task holds."""
 
-    Short entries are all passed on, as pairs of one class are dropped later.
-    """
-    crowded = classed.filter(F.col("m") > SHORT)
-    several = crowded.groupBy("entry").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 < c1").select("entry")
-    rows = classed.filter(F.col("m") <= SHORT).unionByName(crowded.join(several, "entry").select(*classed.columns)).repartition("node")
+    def run(batches):
+        held, passed = None, None  # rows of an entry that may go on, and one whose rows all pass
+        for b in batches:
+            columns = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield several([c[:cut] for c in columns], passed)
+            held = [c[cut:].copy() for c in columns]
+            if len(held[0]) > HELD:
+                passed = held[0][0]
+                yield several(held, passed)
+                held = None
+        if held is not None:
+            yield several(held, passed)
+
+    def several(columns, passed):
+        entry, of = columns[0], columns[4]
+        if len(entry):
+            starts = np.flatnonzero(np.diff(entry, prepend=entry[0] - 1))
+            keep = np.repeat(np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts), np.diff(np.append(starts, len(entry))))
+            if passed is not None:
+                keep |= entry == passed
+            columns = [c[keep] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    names = ["entry", "node", "i", "m", "class", "n"]
+    dealt = classed.repartition("entry").sortWithinPartitions("entry")
+    return dealt.select(*names).mapInArrow(run, "entry long, node long, i int, m long, class long, n int")
+
+
+def _opened(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of open entries, with their point's descriptor and its rank r among its image's, the most crowded first."""
+    rows = rows.repartition("node")
     rows = rows.withColumn("most", F.max("m").over(Window.partitionBy("node", "i")))
     rank = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("most"), "i")) - 1
     rows = rows.select("entry", "node", "i", "m", "class", "n", rank.alias("r")).join(nodes.select("node", "points"), "node")
@@ -541,7 +595,7 @@ def copies(described: DataFrame, block: int = BLOCK) -> DataFrame:
     found = components(links)
 
     classed = shared.select("entry", "node", "i", "m").join(nodes.select("node", "n"), "node").join(found, "node", "left")
-    classed = written(classed.select("entry", "node", "i", "m", "n", F.coalesce("component", "node").alias("class")), "classed")
+    classed = written(_open(classed.select("entry", "node", "i", "m", "n", F.coalesce("component", "node").alias("class"))), "classed")
     discard(shared)
     opened = written(_opened(classed, nodes), "open")
     discard(classed)

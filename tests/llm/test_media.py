@@ -199,3 +199,45 @@ def test_images_in_stacks_have_the_points_that_each_has():
         alone = media.keypoints(image)
         assert found.shape == alone.shape and (found == alone).all()
     assert sum(map(len, media.all_keypoints(images))) > 500 and media.all_keypoints([]) == []
+
+
+def test_rows_of_entries_of_one_class_go_before_images_are_asked_for_their_points(spark):
+    """Entries of one class, short ones too, give no row; of an entry longer than a task holds every row may pass."""
+    rows = [(e, 10 * e + j, 0, 3, 7 if e % 2 else j // 2, 16) for e in range(40) for j in range(3)]
+    rows += [(99, j, 0, 500, 5, 16) for j in range(250)] + [(99, j, 0, 500, 6 if j == 499 else 5, 16) for j in range(250, 500)]
+    df = spark.createDataFrame(rows, "entry long, node long, i int, m long, class long, n int")
+    want = sorted(r[:3] for r in rows if r[0] % 2 == 0 or r[0] == 99)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            assert sorted((r["entry"], r["node"], r["i"]) for r in media._open(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_matches_of_many_pairs_at_once(monkeypatch):
+    monkeypatch.setattr(media, "PAIRS_AT_ONCE", 500)
+    rng = np.random.default_rng(4)
+    bits = lambda v: bin(int(v) & (2**64 - 1)).count("1")
+    pool = rng.integers(-(2**63), 2**63 - 1, (9, 2))
+    images = []
+    for n in (0, 1, 7, 20, 40, 13):
+        points = rng.integers(0, 30, (n, 6))
+        points[:, 4:] = pool[rng.integers(0, 9, n)] ^ (1 << rng.integers(0, 60, (n, 2)))
+        images.append(points)
+    pack = lambda p: media.pack_points(dict(zip(media.NAMES, p.T)))
+    pairs = [(p, q) for p in images for q in images]
+    got = media._matches([pack(p) for p, _ in pairs], [pack(q) for _, q in pairs])
+    some = 0
+    for (p, q), (x, y) in zip(pairs, got, strict=True):
+        words = lambda r: np.ascontiguousarray(r[4:]).view("<u4")
+        want = [
+            (i, j) for i in range(len(p)) for j in range(len(q))
+            if bits(p[i, 4] ^ q[j, 4]) + bits(p[i, 5] ^ q[j, 5]) <= media.MAX_DISTANCE and (words(p[i]) == words(q[j])).any()
+        ]
+        if len({i for i, _ in want}) < max(media.LEAST_INLIERS, media.LEAST_SHARE * min(len(p), len(q))):
+            want = []
+        assert list(zip(x.tolist(), y.tolist())) == want
+        some += bool(want)
+    assert some > 9 and media._matches([], []) == []
