@@ -42,8 +42,8 @@ BLOCK, HELD = 1024, 1 << 16
 SPARE = 3
 #: Pixels of images that are described together, and of a stack of images of one shape.
 TOGETHER, STACK = 1 << 23, 1 << 16
-#: Pairs of points that a task compares at once.
-PAIRS_AT_ONCE = 1 << 18
+#: Pairs of points that a task compares at once, and most matches that it holds for more than one pair of images.
+PAIRS_AT_ONCE, MATCHES_AT_ONCE = 1 << 18, 1 << 20
 #: Bits of a table's key with the table's number; keys that a task packs at once; keys of a bucket, and least buckets.
 KEY_BITS, GROUP_KEYS, BUCKET_KEYS, LEAST_BUCKETS = 34, 1 << 20, 1 << 21, 64
 
@@ -395,6 +395,19 @@ def _candidates(matches: DataFrame, least: int) -> DataFrame:
     return dealt.groupBy("a", "b").count().filter(F.col("count") >= least).select("a", "b")
 
 
+def _groups_of_pairs(ones: list[bytes], others: list[bytes]):
+    """(start, end) of pairs of images whose matches are held together: all their points may match, as in pages of one word."""
+    lo = held = 0
+    for i, (p, q) in enumerate(zip(ones, others)):
+        size = len(p) // POINT_BYTES * (len(q) // POINT_BYTES)
+        if held + size > MATCHES_AT_ONCE and i > lo:
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if lo < len(ones):
+        yield lo, len(ones)
+
+
 def _matches(ones: list[bytes], others: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each two images: the points of the one and of the other that match, if enough of the one's do; else none."""
     if not ones:
@@ -457,7 +470,9 @@ def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for b in pieces(batches):
             p, q = b.column(2).to_pylist(), b.column(3).to_pylist()
-            keep = [_agree(*images, *meet) for *images, meet in zip(p, q, _matches(p, q))]
+            keep = []
+            for lo, hi in _groups_of_pairs(p, q):
+                keep += [_agree(*images, *meet) for *images, meet in zip(p[lo:hi], q[lo:hi], _matches(p[lo:hi], q[lo:hi]))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     fetched = candidates.join(own.withColumnRenamed("node", "a").withColumnRenamed("points", "p"), "a")

@@ -241,3 +241,12 @@ def test_matches_of_many_pairs_at_once(monkeypatch):
         assert list(zip(x.tolist(), y.tolist())) == want
         some += bool(want)
     assert some > 9 and media._matches([], []) == []
+
+
+def test_matches_of_few_pairs_are_held_together(monkeypatch):
+    """Pairs of images meet in groups bounded by the points that could match, a pair beyond the bound alone."""
+    monkeypatch.setattr(media, "MATCHES_AT_ONCE", 100)
+    image = lambda n: bytes(n * media.POINT_BYTES)
+    sizes = [(3, 3), (9, 9), (2, 5), (1, 1), (30, 30), (0, 4), (5, 5)]
+    assert list(media._groups_of_pairs(*([image(n) for n in side] for side in zip(*sizes)))) == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    assert list(media._groups_of_pairs([], [])) == []
